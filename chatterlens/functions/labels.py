@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from chatterlens import schemas
-from chatterlens.functions.scalars import Name, as_col, find_span, lookup
+from chatterlens.functions.scalars import Name, as_col, lookup, phrase_start, span_from
 
 
 def has_labels(labels: Name) -> Column:
@@ -68,17 +68,24 @@ def topics_of(labels: Name, fallback: str = "general") -> Column:
     return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(fallback)))
 
 
-def align(labels: Name, text: Name) -> Column:
-    """Attach entity and opinion spans; drop labels whose phrases are not in the text."""
-    spanned = F.transform(as_col(labels), lambda q: F.struct(
-        q["entity"].alias("entity"), find_span(text, q["entity"]).alias("entity_span"),
-        q["aspect"].alias("aspect"),
-        q["opinion"].alias("opinion"), find_span(text, q["opinion"]).alias("opinion_span"),
-        q["sentiment"].alias("sentiment"),
+def align(labels: Name, text: Name, folded: Name | None = None) -> Column:
+    """Attach entity and opinion spans; drop labels whose phrases are not in the text.
+
+    Works in stages, so that each phrase is searched once. ``folded`` is the
+    lower-cased text when the caller has it as a column.
+    """
+    low = as_col(folded) if folded is not None else F.lower(as_col(text))
+    placed = F.transform(as_col(labels), lambda q: F.struct(
+        q.alias("label"), phrase_start(low, q["entity"]).alias("e"),
+        phrase_start(low, q["opinion"]).alias("o"),
+    ))
+    found = F.filter(placed, lambda p: (p["e"] >= -1) & (p["o"] >= -1))
+    return F.transform(found, lambda p: F.struct(
+        p["label"]["entity"].alias("entity"), span_from(p["e"], p["label"]["entity"]).alias("entity_span"),
+        p["label"]["aspect"].alias("aspect"),
+        p["label"]["opinion"].alias("opinion"), span_from(p["o"], p["label"]["opinion"]).alias("opinion_span"),
+        p["label"]["sentiment"].alias("sentiment"),
     ))
-    return F.filter(
-        spanned, lambda q: q["entity_span"].isNotNull() & q["opinion_span"].isNotNull()
-    )
 
 
 def training_quadruples(labels: Name) -> Column:
@@ -88,22 +95,30 @@ def training_quadruples(labels: Name) -> Column:
     ))
 
 
-def word_at(text: Name, position: Column, max_tokens: int = schemas.MAX_TOKENS) -> Column:
-    """1-based number of the whitespace-separated word covering a character.
+def _words(text: Column) -> Column:
+    """Number of whitespace-separated words; leading whitespace is no word."""
+    return F.size(F.split(text, r"\s+")) - text.rlike(r"^\s").cast("int")
 
-    0 stands for "implicit", "between words" or beyond the model's positions.
-    """
-    body = as_col(text)
-    upto = F.substr(body, F.lit(1), position + 1)
-    words = F.size(F.filter(F.split(upto, r"\s+"), lambda w: w != ""))
-    inside = ~F.substr(body, position + 1, F.lit(1)).rlike(r"\s")
-    return F.when((position >= 0) & (position < F.length(body)) & inside & (words < max_tokens), words).otherwise(0)
+
+def _edges(text: Column, span: Column) -> Column:
+    """First and last word of a character span, unchecked, plus whether the span
+    starts and ends inside words."""
+    start, end = span["start"], span["end"]
+    part = F.substr(text, start + 1, end - start)
+    return F.when(start >= 0, F.struct(
+        _words(F.substr(text, F.lit(1), start + 1)).alias("first"), _words(part).alias("words"),
+        (~part.rlike(r"^\s")).alias("starts"), (~part.rlike(r"\s$")).alias("ends"),
+    ))
 
 
-def _word_span(text: Name, span: Column, max_tokens: int) -> tuple[Column, Column]:
-    first = word_at(text, span["start"], max_tokens)
-    last = word_at(text, span["end"] - 1, max_tokens)
-    return first, F.when((first > 0) & (last == 0), first).when(first == 0, 0).otherwise(last)
+def _word_span(edges: Column, max_tokens: int) -> tuple[Column, Column]:
+    """1-based word numbers of a span. 0 stands for "implicit", "starts between
+    words" or beyond the model's positions; a last word that has no number is
+    the first word."""
+    usable = edges.isNotNull() & edges["starts"] & (edges["first"] < max_tokens)
+    first = F.when(usable, edges["first"]).otherwise(0)
+    last = edges["first"] + edges["words"] - 1
+    return first, F.when(usable, F.when(edges["ends"] & (last < max_tokens), last).otherwise(first)).otherwise(0)
 
 
 def target_matrix(
@@ -111,11 +126,12 @@ def target_matrix(
     max_tokens: int = schemas.MAX_TOKENS,
 ) -> Column:
     """First ``max_quads`` aligned labels as rows of six numbers, padded with -1 rows."""
-    def row(q: Column) -> Column:
-        return F.array(
-            *_word_span(text, q["entity_span"], max_tokens),
-            *_word_span(text, q["opinion_span"], max_tokens),
-            aspect_id(q["aspect"]), sentiment_id(q["sentiment"]),
-        )
+    body = as_col(text)
+    measured = F.transform(F.slice(as_col(aligned), 1, max_quads), lambda q: F.struct(
+        _edges(body, q["entity_span"]).alias("e"), _edges(body, q["opinion_span"]).alias("o"),
+        aspect_id(q["aspect"]).alias("aspect"), sentiment_id(q["sentiment"]).alias("sentiment"),
+    ))
+    rows = F.transform(measured, lambda m: F.array(
+        *_word_span(m["e"], max_tokens), *_word_span(m["o"], max_tokens), m["aspect"], m["sentiment"]))
     pad = F.array_repeat(F.array_repeat(F.lit(-1), 6), max_quads)
-    return F.slice(F.concat(F.transform(as_col(aligned), row), pad), 1, max_quads)
+    return F.slice(F.concat(rows, pad), 1, max_quads)

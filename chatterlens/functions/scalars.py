@@ -16,6 +16,21 @@ def as_col(value: Name) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def each(df: DataFrame, items: Name, name: str, *keep: str) -> DataFrame:
+    """One row per element of a costly array expression.
+
+    The outer generator matters: from an inner one Catalyst infers a size
+    filter, pushes it below the projection and so evaluates the array twice.
+    """
+    return df.select(*keep, F.explode_outer(as_col(items)).alias(name)).filter(F.col(name).isNotNull())
+
+
+def where_found(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows for which a costly expression is not NULL, with its value; evaluated
+    once, where a plain filter would be pushed down as a second copy."""
+    return each(df, F.array(value), name, *[c for c in df.columns if c != name])
+
+
 def tidy(value: Name, digits: int) -> Column:
     """Round for reporting; the inner rounding absorbs summation-order noise."""
     return F.round(F.round(as_col(value), 10), digits)
@@ -143,22 +158,36 @@ def tokens(text: Name) -> Column:
     return F.filter(F.split(F.lower(as_col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def has_token(text: Name, words: list[str]) -> Column:
+    """Whether any of the given lower-case words occurs as a token. Stops at the
+    first hit, so it is much cheaper than cutting the text up."""
+    letter = r"[\p{L}\p{N}]"
+    return F.lower(as_col(text)).rlike(rf"(?<!{letter})(?:{'|'.join(words)})(?!{letter})")
+
+
 def contains_folded(text: Name, needle: str) -> Column:
     return F.lower(as_col(text)).contains(F.lower(F.lit(needle)))
 
 
+def phrase_start(folded: Column, phrase: Name) -> Column:
+    """0-based start of a phrase in a lower-cased text; -1 for an implicit phrase
+    (empty or 'null'), -2 when it does not occur."""
+    wanted = F.lower(as_col(phrase))
+    implicit = wanted.isNull() | wanted.isin("", "null")
+    return F.when(implicit, -1).otherwise(
+        F.coalesce(F.nullif(F.instr(folded, wanted), F.lit(0)) - 1, F.lit(-2)))
+
+
+def span_from(start: Column, phrase: Name) -> Column:
+    """(start, end) for a position given by :func:`phrase_start`."""
+    end = F.when(start >= 0, start + F.length(as_col(phrase))).otherwise(start)
+    return F.when(start >= -1, F.struct(start.alias("start"), end.alias("end")))
+
+
 def find_span(text: Name, phrase: Name) -> Column:
     """(start, end) of the first case-insensitive hit; (-1, -1) when the phrase
     is empty or 'null'; NULL when it does not occur."""
-    body, wanted = as_col(text), as_col(phrase)
-    start = F.instr(F.lower(body), F.lower(wanted)) - 1
-    return (
-        F.when(
-            wanted.isNull() | (wanted == "") | (F.lower(wanted) == "null"),
-            F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")),
-        )
-        .when(start >= 0, F.struct(start.alias("start"), (start + F.length(wanted)).alias("end")))
-    )
+    return span_from(phrase_start(F.lower(as_col(text)), phrase), phrase)
 
 
 def fingerprint(prefix: str, *columns: Name) -> Column:

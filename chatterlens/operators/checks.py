@@ -50,10 +50,10 @@ def anomaly_rules() -> dict[str, Column]:
 
 def prediction_rules(labels: str = "labels") -> dict[str, Column]:
     """Every quad carries all its fields."""
-    return {
-        f"{field}_present": F.forall(labels, lambda q, f=field: q[f].isNotNull())
-        for field in ("entity", "aspect", "opinion", "sentiment", "confidence")
-    }
+    def present(field: str):
+        return lambda quad: quad[field].isNotNull()
+    fields = ("entity", "aspect", "opinion", "sentiment", "confidence")
+    return {f"{field}_present": F.forall(labels, present(field)) for field in fields}
 
 
 def rank_gaps(ranked: DataFrame) -> DataFrame:

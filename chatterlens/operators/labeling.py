@@ -6,6 +6,7 @@ scorer behind an Arrow UDF.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
@@ -66,7 +67,7 @@ def lexicon_join(
     """The same for a lexicon table of any size: distinct tokens joined on the
     phrase. Spark broadcasts the table while its size allows and otherwise
     shuffles, splitting tokens that are too frequent for one task."""
-    words = comments.select(key, F.explode(F.array_distinct(sc.tokens("text"))).alias("phrase"))
+    words = sc.each(comments, F.array_distinct(sc.tokens("text")), "phrase", key)
     hits = words.join(lexicon, "phrase")
     order = Window.partitionBy(key).orderBy("phrase")
     return (
@@ -76,7 +77,9 @@ def lexicon_join(
 
 
 def lexicon_frame(spark: SparkSession, lexicon: Sequence[Entry] = LEXICON) -> DataFrame:
-    return spark.createDataFrame(list(lexicon), list(Entry._fields))
+    """The lexicon as a relation whose size the optimizer knows."""
+    rows = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in e._asdict().items()]) for e in lexicon])
+    return spark.range(1).select(F.inline(rows))
 
 
 def with_lexicon_labels(comments: DataFrame, lexicon: Sequence[Entry] = LEXICON) -> DataFrame:
@@ -86,8 +89,7 @@ def with_lexicon_labels(comments: DataFrame, lexicon: Sequence[Entry] = LEXICON)
 def quad_rows(comments: DataFrame, lexicon: Sequence[Entry] = LEXICON, *keep: str) -> DataFrame:
     """One row per quad with the comment's id and any further columns."""
     columns = ("comment_id", *keep)
-    rows = comments.select(*columns, F.explode(lexicon_labels("text", lexicon)).alias("q"))
-    return rows.select(
+    return sc.each(comments, lexicon_labels("text", lexicon), "q", *columns).select(
         *columns, "q.entity", "q.aspect", "q.opinion",
         english_sentiment("q.sentiment").alias("sentiment"),
     )
@@ -107,15 +109,12 @@ _loaded: dict[str, Scorer] = {}
 def lexicon_scorer(lexicon: Sequence[Entry] = LEXICON, max_quads: int = schemas.MAX_QUADS) -> Callable[[], Scorer]:
     """Loader of a scorer that looks phrases up; stands in for a neural model."""
     def load() -> Scorer:
-        import regex
-
-        cut = regex.compile(r"[^\p{L}\p{N}]+")
-        table = {e.phrase: e for e in lexicon}
+        cut = re.compile(r"[^\W_]+")
+        table = {e.phrase: {**e._asdict(), "confidence": 1.0} for e in lexicon}
 
         def score(texts: list[str]) -> list[list[Quad]]:
             return [
-                [{**table[p]._asdict(), "confidence": 1.0}
-                 for p in sorted(set(cut.split(text.lower())) & table.keys())[:max_quads]]
+                [table[p] for p in sorted(table.keys() & set(cut.findall(text.lower())))[:max_quads]]
                 for text in texts
             ]
         return score

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatterlens.functions import labels as lab, scalars as sc
-from chatterlens.operators import filters
 
 
 def top(df: DataFrame, measure: str, key: str, limit: int) -> DataFrame:
@@ -101,8 +100,7 @@ def themes(comments: DataFrame, min_mentions: int = 5, size: int = 20) -> DataFr
 
 def quads_of(comments: DataFrame, *keep: str) -> DataFrame:
     """One row per label, sentiments in one vocabulary."""
-    rows = filters.labeled(comments).select(*keep, F.explode("labels").alias("q"))
-    return rows.select(
+    return sc.each(comments, "labels", "q", *keep).select(
         *keep, "q.entity", "q.aspect", "q.opinion",
         lab.english_sentiment("q.sentiment").alias("sentiment"),
     )

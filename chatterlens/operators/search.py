@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from chatterlens.functions import scalars as sc
 from chatterlens.operators import filters
@@ -30,22 +30,23 @@ def substring_search(
     return filters.newest(substring_matches(comments, query, start, end, **equal), limit)
 
 
-def term_counts(text: sc.Name, terms: list[str]) -> Column:
-    """How often each query term occurs, in the order of ``terms``."""
-    words = F.filter(sc.tokens(text), lambda t: t.isin(terms))
-    return F.aggregate(
-        words, F.array_repeat(F.lit(0), len(terms)),
-        lambda acc, w: F.zip_with(
-            acc, F.lit(terms), lambda n, t: n + F.when(w == t, 1).otherwise(0)),
-    )
-
-
 def text_matches(comments: DataFrame, query: str) -> DataFrame:
     """Comments holding at least one query token."""
     terms = query_terms(query)
-    if not terms:
-        return comments
-    return comments.filter(F.arrays_overlap(sc.tokens("text"), F.lit(terms)))
+    return comments.filter(sc.has_token("text", terms)) if terms else comments
+
+
+def is_word(word: str):
+    return lambda token: token == word
+
+
+def _term_hits(df: DataFrame, terms: list[str], *keep: str) -> DataFrame:
+    """Document length and the occurrences of query terms, texts cut up once."""
+    words = df.select(*keep, sc.tokens("text").alias("words"))
+    return words.select(
+        *keep, F.size("words").alias("doc_length"),
+        F.filter("words", lambda w: w.isin(terms)).alias("hits"),
+    )
 
 
 def with_relevance(comments: DataFrame, query: str, corpus: DataFrame | None = None) -> DataFrame:
@@ -55,26 +56,20 @@ def with_relevance(comments: DataFrame, query: str, corpus: DataFrame | None = N
     terms = query_terms(query)
     if not terms:
         return comments.withColumn("relevance", F.lit(1.0))
-
-    def counted(df: DataFrame, *keep: str) -> DataFrame:
-        return df.select(
-            *keep, F.size(sc.tokens("text")).alias("doc_length"),
-            term_counts("text", terms).alias("tf"),
-        )
-    stats = counted(corpus if corpus is not None else comments).agg(F.struct(
+    stats = _term_hits(corpus if corpus is not None else comments, terms).agg(F.struct(
         F.count("*").alias("docs"), F.avg("doc_length").alias("avg_length"),
-        *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))],
+        *[F.count_if(F.array_contains("hits", t)).alias(f"df{i}") for i, t in enumerate(terms)],
     ).alias("stats")).scalar()
 
-    hits = counted(comments, *comments.columns).filter(F.exists("tf", lambda n: n > 0))
-    hits = hits.withColumn("stats", stats)
+    found = _term_hits(text_matches(comments, query), terms, *comments.columns).withColumn("stats", stats)
     length_norm = K1 * (1 - B + B * F.col("doc_length") / F.col("stats.avg_length"))
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col("tf")[i], F.col(f"stats.df{i}")
+    for i, term in enumerate(terms):
+        tf = F.size(F.filter("hits", is_word(term)))
+        df = F.col(f"stats.df{i}")
         idf = F.log(1 + (F.col("stats.docs") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + length_norm)
-    return hits.withColumn("relevance", score).drop("doc_length", "tf", "stats")
+    return found.withColumn("relevance", score).drop("doc_length", "hits", "stats")
 
 
 def text_search(

@@ -23,8 +23,9 @@ DEFAULT_LOSS = 15.0
 
 def aligned(comments: DataFrame) -> DataFrame:
     """Labels with spans; comments left without labels drop out."""
-    spans = comments.withColumn("labels", lab.align("labels", "text"))
-    return spans.filter(F.size("labels") > 0)
+    folded = comments.withColumn("folded", F.lower("text"))
+    spans = folded.withColumn("labels", lab.align("labels", "text", "folded")).drop("folded")
+    return sc.where_found(spans, "labels", F.when(F.size("labels") > 0, F.col("labels")))
 
 
 def with_targets(comments: DataFrame, **limits) -> DataFrame:
@@ -77,8 +78,8 @@ def slot_metrics(rows: DataFrame, predicted: str, target: str) -> DataFrame:
     """Strict slot-by-slot match of six numbers. A slot is valid when its
     target starts with anything but -1; every miss is a false positive and a
     false negative at once."""
-    slots = rows.select(F.explode(F.arrays_zip(
-        F.col(predicted).alias("p"), F.col(target).alias("t"))).alias("slot")).select("slot.*")
+    pairs = F.arrays_zip(F.col(predicted).alias("p"), F.col(target).alias("t"))
+    slots = sc.each(rows, pairs, "slot").select("slot.*")
     valid = slots.filter(F.col("t")[0] != -1)
     counts = valid.agg(F.count("*").alias("valid"), F.count_if(F.col("p") == F.col("t")).alias("tp"))
     miss = F.col("valid") - F.col("tp")

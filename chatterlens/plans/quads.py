@@ -129,10 +129,10 @@ SELECT comment_id, entity, vi_sentiment AS before, sentiment FROM quads
 """, "quads"))
 def normalise_labels(spark, folder):
     rows = labeled_texts(spark, folder).withColumn("after", lab.normalise_labels("labels"))
-    pairs = F.inline(F.arrays_zip(F.col("labels").alias("b"), F.col("after").alias("a")))
-    return rows.select("comment_id", pairs).select(
-        "comment_id", F.col("b.entity").alias("entity"), F.col("b.sentiment").alias("before"),
-        F.col("a.sentiment").alias("sentiment"))
+    pairs = F.arrays_zip(F.col("labels").alias("b"), F.col("after").alias("a"))
+    return sc.each(rows, pairs, "pair", "comment_id").select(
+        "comment_id", F.col("pair.b.entity").alias("entity"), F.col("pair.b.sentiment").alias("before"),
+        F.col("pair.a.sentiment").alias("sentiment"))
 
 
 # --- training targets -------------------------------------------------------
@@ -166,8 +166,8 @@ SELECT comment_id, entity, aspect, opinion, vi_sentiment AS sentiment, CAST(es A
        CAST(ee AS INTEGER) AS e_end, CAST(os AS INTEGER) AS o_start, CAST(oe AS INTEGER) AS o_end FROM aligned
 """, "quads", "timed"))
 def align_labels(spark, folder):
-    rows = training.aligned(phrase_labels(spark, folder)).select("comment_id", F.inline("labels"))
-    return rows.select(
+    rows = sc.each(training.aligned(phrase_labels(spark, folder)), "labels", "label", "comment_id")
+    return rows.select("comment_id", "label.*").select(
         "comment_id", "entity", "aspect", "opinion", "sentiment",
         F.col("entity_span.start").alias("e_start"), F.col("entity_span.end").alias("e_end"),
         F.col("opinion_span.start").alias("o_start"), F.col("opinion_span.end").alias("o_end"))
@@ -202,7 +202,7 @@ FROM slots LEFT JOIN filled USING (comment_id, slot)
 """, "quads", "timed"))
 def target_matrix(spark, folder):
     rows = training.with_targets(phrase_labels(spark, folder))
-    return rows.select("comment_id", F.posexplode("targets").alias("slot", "t")).select(
+    return rows.select("comment_id", F.posexplode_outer("targets").alias("slot", "t")).select(
         "comment_id", "slot", F.array_join(F.col("t").cast("array<string>"), ",").alias("target"))
 
 
@@ -217,9 +217,8 @@ SELECT vec_id,
 FROM heads WHERE es <= ee AND os <= oe AND es <> 0 AND ee <> 0 AND confidence >= 0.24
 """, "heads"))
 def decode_quads(spark, folder):
-    rows = tables.logits(spark, folder)
-    quad = dec.decode(*HEADS, threshold=0.24).alias("quad")
-    return rows.select("vec_id", quad).filter(F.col("quad").isNotNull()).select("vec_id", "quad.*")
+    rows = sc.where_found(tables.logits(spark, folder), "quad", dec.decode(*HEADS, threshold=0.24))
+    return rows.select("vec_id", "quad.*")
 
 
 @query("quad_eval", with_views(f"""

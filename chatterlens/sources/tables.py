@@ -22,6 +22,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for costly work on a small input. A scan with fewer splits
+    than cores is redistributed by id; a large one already has more splits and
+    is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select(*columns or ["*"]), "doc_id")
+
+
 def _event_sentiment() -> Column:
     return (
         F.when(F.col("event_type").isin("purchase", "signup"), "positive")
@@ -88,7 +100,8 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 def timed_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as comments for searching, without the label join."""
     created = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
-    return table(spark, folder, "documents").select(
+    rows = documents(spark, folder, "doc_id", "lang", "source", "text")
+    return rows.select(
         F.col("doc_id").alias("comment_id"), F.col("lang").alias("program_id"),
         F.col("source").alias("video_id"), "text", created.alias("timestamp"),
     )
