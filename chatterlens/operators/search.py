@@ -77,10 +77,11 @@ def text_search(
     size: int = 100, **equal,
 ) -> DataFrame:
     """Full-text hits with relevance, newest first. Relevance counts the whole
-    corpus; filters only choose which hits are returned."""
+    corpus; filters only choose which hits are returned, and only those are
+    scored."""
     kept = filters.any_of(filters.equal_to(comments, **equal), "topics", topics)
-    kept = filters.in_range(kept, start, end)
-    return filters.newest(with_relevance(kept, query, comments), size)
+    page = filters.newest(text_matches(filters.in_range(kept, start, end), query), size)
+    return with_relevance(page, query, comments)
 
 
 def search_page(
