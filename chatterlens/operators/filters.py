@@ -25,7 +25,8 @@ def trailing(
     df: DataFrame, back: timedelta, as_of: datetime | Column | None = None, ts: str = "timestamp",
 ) -> DataFrame:
     """Rows of the last ``back`` before ``as_of`` (default: newest row)."""
-    return in_range(df, sc.moment(df, as_of, back, ts), sc.moment(df, as_of, ts=ts), ts)
+    end = None if as_of is None else sc.moment(df, as_of, ts=ts)
+    return in_range(df, sc.moment(df, as_of, back, ts), end, ts)
 
 
 def in_labeled_range(

@@ -37,7 +37,7 @@ def sentiment_shares(comments: DataFrame, by: str = "program_id") -> DataFrame:
 
 def _mentions(comments: DataFrame, column: str, name: str, distinct: bool, *keep: str) -> DataFrame:
     items = F.array_distinct(column) if distinct else F.col(column)
-    return comments.select(*keep, F.explode(items).alias(name))
+    return sc.each(comments, items, name, *keep)
 
 
 def top_entities(comments: DataFrame, limit: int = 10, column: str = "topics") -> DataFrame:

@@ -41,9 +41,7 @@ def by_program(comments: DataFrame, width: str = "5 minutes") -> DataFrame:
 
 def by_topic(comments: DataFrame, width: str = "1 hour") -> DataFrame:
     """One row per program, window and topic; comments without topics drop out."""
-    exploded = comments.filter(F.size("topics") > 0).select(
-        "program_id", "timestamp", "sentiment_score", F.explode("topics").alias("topic"),
-    )
+    exploded = sc.each(comments, "topics", "topic", "program_id", "timestamp", "sentiment_score")
     start = sc.window_start("timestamp", width).alias("hour_start")
     return exploded.groupBy("program_id", start, "topic").agg(*_count_measures())
 
@@ -54,7 +52,7 @@ def by_sentiment(comments: DataFrame, width: str = "1 minute") -> DataFrame:
 
 
 def by_entity(comments: DataFrame, width: str = "1 hour", entities: str = "topics") -> DataFrame:
-    exploded = comments.select("timestamp", "sentiment_score", F.explode(entities).alias("entity"))
+    exploded = sc.each(comments, entities, "entity", "timestamp", "sentiment_score")
     start = sc.window_start("timestamp", width).alias("timestamp_hour")
     return exploded.groupBy(start, "entity").agg(*_count_measures())
 

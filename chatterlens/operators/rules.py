@@ -161,28 +161,38 @@ SUMMARY = (
 TONES = ("tích cực", "trung lập")
 
 
-def summary_text(quads: DataFrame, by: str = "program_id", comment: str = "comment_id") -> DataFrame:
-    """One paragraph per program about its labels.
+def summary_text(comments: DataFrame, by: str = "program_id") -> DataFrame:
+    """One paragraph per program about the labels of its comments.
 
     Shares are taken over labels; the top entity is the most frequent one, by
-    name on a tie.
+    name on a tie. Label combinations are counted in one pass over the
+    comments, everything else comes from that small table.
     """
-    of = {s: F.count_if(F.col("sentiment") == s) for s in ("positive", "negative", "neutral")}
-    rows = quads.withColumn("sentiment", english_sentiment("sentiment"))
-    figures = rows.groupBy(by).agg(
-        F.count("*").alias("labels"), F.count_distinct(comment).alias("comments"),
-        *[count.alias(name) for name, count in of.items()],
+    quads = comments.select(by, F.posexplode_outer("labels").alias("place", "q")).filter(F.col("q").isNotNull())
+    combos = quads.groupBy(
+        by, english_sentiment("q.sentiment").alias("sentiment"), "q.entity", "q.aspect",
+    ).agg(F.count("*").alias("n"), F.count_if(F.col("place") == 0).alias("comments"))
+    kinds = F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("key"))
+        for kind in ("sentiment", "entity", "aspect")
+    ]))
+    counts = combos.select(by, kinds.alias("item"), "n", "comments").groupBy(by, "item.kind", "item.key").agg(
+        F.sum("n").alias("n"), F.sum("comments").alias("comments"))
+
+    def total(measure: str, sentiment: str | None = None) -> Column:
+        wanted = F.col("kind") == "sentiment"
+        wanted = wanted & (F.col("key") == sentiment) if sentiment else wanted
+        return F.coalesce(F.sum(F.when(wanted, F.col(measure))), F.lit(0))
+    entity = F.when(F.col("kind") == "entity", F.struct((-F.col("n")).alias("n"), "key"))
+    figures = counts.groupBy(by).agg(
+        total("n").alias("labels"), total("comments").alias("comments"),
+        *[total("n", s).alias(s) for s in ("positive", "negative", "neutral")],
+        F.count_if(F.col("kind") == "aspect").alias("aspects"), F.min(entity).alias("best"),
     )
-    aspects = quads.groupBy(by).agg(F.count_distinct("aspect").alias("aspects"))
-    favourite = (
-        quads.groupBy(by, "entity").agg(F.count("*").alias("n"))
-        .groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("n"), "entity")).alias("best"))
-        .select(by, F.col("best.entity").alias("top_entity"))
-    )
-    share = [sc.tidy(sc.percent(s, "labels"), 1) for s in of]
+    share = [sc.tidy(sc.percent(s, "labels"), 1) for s in ("positive", "negative", "neutral")]
     tone = F.when(F.col("positive") > F.col("negative"), TONES[0]).otherwise(TONES[1])
-    return figures.join(aspects, by).join(favourite, by).select(by, F.format_string(
-        SUMMARY, "comments", *share, "top_entity", "aspects", tone,
+    return figures.select(by, F.format_string(
+        SUMMARY, "comments", *share, "best.key", "aspects", tone,
     ).alias("summary"))
 
 

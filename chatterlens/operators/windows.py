@@ -90,35 +90,29 @@ def program_events(
     plus one segment marker per program when ``marker_at`` is given."""
     series = Window.partitionBy("program_id").orderBy(ts)
     steps = metrics.select(
-        "program_id", F.col(ts).alias("timestamp"), "total_comments", "score",
+        "program_id", F.col(ts).alias("at"), "total_comments", "score",
         F.lag("total_comments").over(series).alias("total_before"),
         F.lag("score").over(series).alias("score_before"),
+        F.row_number().over(series).alias("place"),
+        (marker_at if isinstance(marker_at, Column) else F.lit(marker_at)).alias("marker_at"),
     )
     spiked = F.col("total_comments") > spike * F.col("total_before")
     dropped = F.round("score", 9) < F.round(drop * F.col("score_before"), 9)
-    happened = F.filter(F.array(
-        F.when(spiked, F.struct(
-            F.lit("volume_spike").alias("event_type"),
-            F.format_string(
-                "Sudden increase in viewer engagement (%d comments)", "total_comments",
-            ).alias("description"),
-        )),
-        F.when(dropped, F.struct(
-            F.lit("eaos_drop").alias("event_type"),
-            F.format_string(
-                "EAOS dropped from %.2f to %.2f", F.round("score_before", 9), F.round("score", 9),
-            ).alias("description"),
-        )),
-    ), lambda e: e.isNotNull())
-    inferred = steps.select("program_id", "timestamp", F.inline(happened))
-    if marker_at is None:
-        return inferred
-    at = marker_at if isinstance(marker_at, Column) else F.lit(marker_at)
-    marker = metrics.select("program_id").distinct().select(
-        "program_id", at.alias("timestamp"), F.lit("segment").alias("event_type"),
-        F.lit("Program segment (inferred)").alias("description"),
-    )
-    return inferred.unionByName(marker)
+
+    def event(at: Column, kind: str, text: Column) -> Column:
+        return F.struct(at.alias("timestamp"), F.lit(kind).alias("event_type"), text.alias("description"))
+    candidates = [
+        F.when(spiked, event(F.col("at"), "volume_spike", F.format_string(
+            "Sudden increase in viewer engagement (%d comments)", "total_comments"))),
+        F.when(dropped, event(F.col("at"), "eaos_drop", F.format_string(
+            "EAOS dropped from %.2f to %.2f", sc.tidy("score_before", 2), sc.tidy("score", 2)))),
+    ]
+    if marker_at is not None:
+        first = F.col("place") == 1
+        candidates.append(F.when(
+            first, event(F.col("marker_at"), "segment", F.lit("Program segment (inferred)"))))
+    happened = F.filter(F.array(*candidates), lambda e: e.isNotNull())
+    return sc.each(steps, happened, "event", "program_id").select("program_id", "event.*")
 
 
 def recent_events(events: DataFrame, days: int = 1, limit: int = 50, as_of=None) -> DataFrame:
@@ -139,13 +133,10 @@ def recent_events(events: DataFrame, days: int = 1, limit: int = 50, as_of=None)
 def topic_changes(comments: DataFrame, back: timedelta, as_of=None, by: tuple[str, ...] = ()) -> DataFrame:
     """Mentions of each topic in the current and the preceding window of equal
     length, counted in one pass."""
-    end, start = sc.moment(comments, as_of), sc.moment(comments, as_of, back)
-    before = sc.moment(comments, as_of, 2 * back)
+    start = sc.moment(comments, as_of, back)
     current = F.col("timestamp") >= F.col("start")
-    rows = (
-        filters.in_range(comments, before, end)
-        .select(*by, "timestamp", "sentiment_score", start.alias("start"), F.explode("topics").alias("topic"))
-    )
+    recent = filters.trailing(comments, 2 * back, as_of).withColumn("start", start)
+    rows = sc.each(recent, "topics", "topic", *by, "timestamp", "sentiment_score", "start")
     return rows.groupBy(*by, "topic").agg(
         F.count_if(current).alias("current_count"),
         F.count_if(~current).alias("previous_count"),
@@ -176,11 +167,9 @@ def related_topics(comments: DataFrame, trending: DataFrame, limit: int = 5) ->
 
     ``trending`` is a top list, so it is small by construction and broadcast.
     """
-    named = F.explode(F.array_distinct("topics"))
-    hits = comments.select("topics", named.alias("topic")).join(
-        F.broadcast(trending.select("topic")), "topic")
-    others = hits.select(
-        "topic", F.explode(F.array_except("topics", F.array("topic"))).alias("related"))
+    named = sc.each(comments, F.array_distinct("topics"), "topic", "topics")
+    hits = named.join(F.broadcast(trending.select("topic")), "topic")
+    others = sc.each(hits, F.array_except("topics", F.array("topic")), "related", "topic")
     counted = others.groupBy("topic", "related").agg(F.count("*").alias("together"))
     best = mt.top_per(counted, ["topic"], "together", "related", limit)
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("together")).alias("n"), "related")))

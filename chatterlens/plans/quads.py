@@ -104,7 +104,7 @@ SELECT program_id, printf(
 FROM figures JOIN best USING (program_id)
 """, "quads"))
 def summary_text(spark, folder):
-    return rules.summary_text(quads(spark, folder))
+    return rules.summary_text(labeled_texts(spark, folder))
 
 
 @query("distinct_entities", with_views("""

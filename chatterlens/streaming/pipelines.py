@@ -60,9 +60,22 @@ def roll_up(stream: DataFrame, kind: str, width: str, path: str, checkpoint: str
         stream, lambda batch, n: sinks.write_batch(build(batch, width), path, n), checkpoint, **run)
 
 
-def read_rollup(spark: SparkSession, kind: str, path: str) -> DataFrame:
+def read_rollup(spark: SparkSession, kind: str, path: str, base: str | None = None, since: int = 0) -> DataFrame:
+    """Merged partials. With a ``base`` from :func:`compact_rollup`, only batches
+    from ``since`` on are added to it."""
     _, keys, measures = ROLLUPS[kind]
-    return rollups.merge(sinks.read_batches(spark, path), list(keys), measures)
+    partials = sinks.read_batches(spark, path).filter(F.col(sinks.BATCH) >= since).drop(sinks.BATCH)
+    if base is not None:
+        partials = partials.unionByName(spark.read.parquet(base))
+    return rollups.merge(partials, list(keys), measures)
+
+
+def compact_rollup(spark: SparkSession, kind: str, path: str, base: str, upto: int) -> None:
+    """Merge all batches before ``upto`` into one table, so that reading does not
+    slow down as batches pile up. The batches stay until the caller drops them."""
+    _, keys, measures = ROLLUPS[kind]
+    settled = sinks.read_batches(spark, path).filter(F.col(sinks.BATCH) < upto)
+    rollups.merge(settled, list(keys), measures).write.mode("overwrite").parquet(base)
 
 
 def windowed_rollup(stream: DataFrame, width: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
@@ -89,7 +102,7 @@ def count_late(stream: DataFrame, delay_seconds: int, path: str, checkpoint: str
 
 def topic_counts(stream: DataFrame) -> DataFrame:
     """Running mention totals per topic."""
-    return stream.select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count("*").alias("mentions"))
+    return mt.topic_mentions(stream)
 
 
 def current_scores(stream: DataFrame) -> DataFrame:
