@@ -14,11 +14,11 @@ QUADS_SQL = with_views("SELECT comment_id, entity, aspect, opinion, sentiment FR
 
 
 def quads(spark: SparkSession, folder: str) -> DataFrame:
-    return labeling.quad_rows(tables.timed_texts(spark, folder), labeling.LEXICON, "program_id")
+    return labeling.quad_rows(tables.timed_texts(spark, folder, heavy=True), labeling.LEXICON, "program_id")
 
 
 def labeled_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return labeling.with_lexicon_labels(tables.timed_texts(spark, folder))
+    return labeling.with_lexicon_labels(tables.timed_texts(spark, folder, heavy=True))
 
 
 # --- labeling ---------------------------------------------------------------
@@ -31,14 +31,14 @@ def lexicon_quads(spark, folder):
 @query("lexicon_quads_join", QUADS_SQL)
 def lexicon_quads_join(spark, folder):
     lexicon = labeling.lexicon_frame(spark)
-    found = labeling.lexicon_join(tables.timed_texts(spark, folder), lexicon)
+    found = labeling.lexicon_join(tables.timed_texts(spark, folder, heavy=True), lexicon)
     return found.withColumn("sentiment", lab.english_sentiment("sentiment"))
 
 
 @query("scorer_quads", QUADS_SQL)
 def scorer_quads(spark, folder):
     """The same through the batch scorer in Python workers."""
-    scored = labeling.label(tables.timed_texts(spark, folder).select("comment_id", "text"))
+    scored = labeling.label(tables.timed_texts(spark, folder, heavy=True).select("comment_id", "text"))
     return mt.quads_of(scored, "comment_id")
 
 

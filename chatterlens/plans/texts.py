@@ -48,7 +48,7 @@ scored AS (
 WITH {BM25} SELECT comment_id, {r("relevance", 6)} AS relevance FROM scored
 """, "words"))
 def search_bm25(spark, folder):
-    hits = search.with_relevance(tables.timed_texts(spark, folder), "Pour und THE")
+    hits = search.with_relevance(tables.timed_texts(spark, folder, heavy=True), "Pour und THE")
     return hits.select("comment_id", sc.tidy("relevance", 6).alias("relevance"))
 
 
@@ -59,7 +59,7 @@ FROM scored JOIN timed USING (comment_id) WHERE program_id = 'fr'
 ORDER BY "timestamp" DESC, comment_id DESC LIMIT 50
 """, "words", "timed"))
 def search_fulltext(spark, folder):
-    hits = search.text_search(tables.timed_texts(spark, folder), "Pour und THE", size=50, program_id="fr")
+    hits = search.text_search(tables.timed_texts(spark, folder, heavy=True), "Pour und THE", size=50, program_id="fr")
     return hits.select("comment_id", "program_id", "timestamp", sc.tidy("relevance", 6).alias("relevance"))
 
 

@@ -30,10 +30,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select(*columns or ["*"]), "doc_id")
-
-
 def _event_sentiment() -> Column:
     return (
         F.when(F.col("event_type").isin("purchase", "signup"), "positive")
@@ -97,11 +93,12 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def timed_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as comments for searching, without the label join."""
+def timed_texts(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """Documents as comments for searching, without the label join. ``heavy``
+    announces costly work per text."""
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     created = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
-    rows = documents(spark, folder, "doc_id", "lang", "source", "text")
-    return rows.select(
+    return (spread(rows, "doc_id") if heavy else rows).select(
         F.col("doc_id").alias("comment_id"), F.col("lang").alias("program_id"),
         F.col("source").alias("video_id"), "text", created.alias("timestamp"),
     )
