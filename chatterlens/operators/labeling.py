@@ -7,10 +7,13 @@ scorer behind an Arrow UDF.
 from __future__ import annotations
 
 import re
+import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from chatterlens import schemas
@@ -103,7 +106,9 @@ Scorer = Callable[[list[str]], list[list[Quad]]]
 PREDICTION = T.StructType([
     T.StructField("labels", schemas.LABELS), T.StructField("error", T.StringType()),
 ])
-_loaded: dict[str, Scorer] = {}
+
+# Executors need not have this package: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def lexicon_scorer(lexicon: Sequence[Entry] = LEXICON, max_quads: int = schemas.MAX_QUADS) -> Callable[[], Scorer]:
@@ -132,16 +137,23 @@ def _score_batch(scorer: Scorer, texts: list[str]) -> list[tuple[list[Quad], str
         return [result for text in texts for result in _score_batch(scorer, [text])]
 
 
-def labeling_udf(load: Callable[[], Scorer], name: str = "scorer"):
+def _loaded(key: str, load: Callable[[], Scorer]) -> Scorer:
+    """The scorer of a UDF, kept in the interpreter of the Python worker: this
+    module's own globals are shipped anew with every task."""
+    scorers = sys.__dict__.setdefault("_chatterlens_scorers", {})
+    if key not in scorers:
+        scorers[key] = load()
+    return scorers[key]
+
+
+def labeling_udf(load: Callable[[], Scorer]):
     """Arrow UDF from text to labels and error; the scorer is loaded once per
     Python worker and called with whole batches."""
-    fields = [f.name for f in schemas.LABEL.fields]
+    fields, key = [f.name for f in schemas.LABEL.fields], uuid.uuid4().hex
 
     @F.pandas_udf(PREDICTION)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if name not in _loaded:
-            _loaded[name] = load()
-        scorer = _loaded[name]
+        scorer = _loaded(key, load)
         for texts in batches:
             results = _score_batch(scorer, ["" if t is None else t for t in texts])
             yield pd.DataFrame({

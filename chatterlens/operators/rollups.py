@@ -81,6 +81,11 @@ def program_metrics(comments: DataFrame, width: str = "1 hour") -> DataFrame:
     return with_score(by_program(comments, width))
 
 
+def timeline(comments: DataFrame, granularity: str | None = None) -> DataFrame:
+    """Metrics at a granularity label such as ``minute`` or ``segment``."""
+    return program_metrics(comments, sc.granularity_width(granularity))
+
+
 def program_snapshot(comments: DataFrame) -> DataFrame:
     """Score and counts of each program over everything given."""
     return with_score(comments.groupBy("program_id").agg(*_program_measures()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatterlens.functions import scalars as sc
-from chatterlens.operators import rollups
+from chatterlens.operators import metrics as mt, rollups
 from chatterlens.plans.registry import query, r, score, with_views
 from chatterlens.session import scratch
 from chatterlens.sources import tables
@@ -82,3 +82,14 @@ def stream_current_scores(spark, folder):
     sinks.finish(pipelines.keep_latest(scores, path, checkpoint))
     return sinks.latest_values(spark, path, "program_id").select(
         "program_id", sc.tidy("score", 4).alias("score"), "total_comments")
+
+
+@query("stream_labels", with_views("""
+SELECT sentiment, count(*) AS "count", count(DISTINCT comment_id) AS comments FROM quads GROUP BY 1
+""", "quads"))
+def stream_labels(spark, folder):
+    """Documents arrive unlabeled and are labeled batch by batch."""
+    path, checkpoint = _folders(spark, "stream-labels")
+    sinks.finish(pipelines.label_stream(tables.text_stream(spark, folder), path, checkpoint))
+    return mt.quads_of(sinks.read_batches(spark, path), "comment_id").groupBy("sentiment").agg(
+        F.count("*").alias("count"), F.count_distinct("comment_id").alias("comments"))

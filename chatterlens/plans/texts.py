@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from chatterlens.functions import scalars as sc
 from chatterlens.operators import filters, joins, labeling, metrics as mt, rules, search, training
 from chatterlens.plans.registry import query, r, with_views
-from chatterlens.sources import tables
+from chatterlens.sources import readers, tables
 
 STAMP = datetime(2024, 6, 1)
 
@@ -314,3 +314,54 @@ FROM conversations WHERE role = 'user'
 def question_intent(spark, folder):
     asked = tables.table(spark, folder, "conversations").filter(F.col("role") == "user")
     return asked.select("conv_id", "turn", rules.intent("text").alias("intent"))
+
+
+@query("tool_summary", f"""
+SELECT role AS tool, count(*) AS calls, count_if(length(text) <= 200) AS succeeded,
+       {r("avg(length(text))", 4)} AS avg_duration_ms
+FROM conversations GROUP BY 1
+""")
+def tool_summary(spark, folder):
+    """Turns read as tool runs: the role is the tool, the length its duration."""
+    runs = tables.table(spark, folder, "conversations").select(
+        F.col("role").alias("tool"), (F.length("text") <= 200).alias("success"),
+        F.length("text").cast("double").alias("duration_ms"))
+    return rules.tool_summary(runs).withColumn("avg_duration_ms", sc.tidy("avg_duration_ms", 4))
+
+
+@query("trace_steps", """
+SELECT conv_id, turn, role AS step, trim(text) AS description FROM conversations
+""")
+def trace_steps(spark, folder):
+    lines = tables.table(spark, folder, "conversations").select(
+        "conv_id", "turn", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("trace"))
+    return rules.trace_steps(lines).drop("trace")
+
+
+@query("fenced_answers", """
+SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN NULL ELSE role END AS intent FROM conversations
+""")
+def fenced_answers(spark, folder):
+    """Turns as answers with their role in fenced JSON; assistant turns answer
+    without any."""
+    fenced = F.concat(
+        F.lit("Thinking.\n```json\n"), F.to_json(F.struct(F.col("role").alias("intent"))), F.lit("\n```\nDone."))
+    answers = tables.table(spark, folder, "conversations").select(
+        "conv_id", "turn", F.when(F.col("role") == "assistant", F.lit("no answer")).otherwise(fenced).alias("answer"))
+    parsed = rules.parse_answers(answers, "answer", "intent string")
+    return parsed.select("conv_id", "turn", F.col("parsed.intent").alias("intent"))
+
+
+@query("message_round_trip", """
+SELECT doc_id AS id, text, lang AS program_id FROM documents WHERE n_chars >= 200
+""")
+def message_round_trip(spark, folder):
+    """Documents as JSON messages and back; those of short texts are cut off and
+    end up in quarantine."""
+    rows = tables.table(spark, folder, "documents")
+    sent = readers.as_messages(rows.select(
+        F.col("doc_id").alias("id"), "text", F.col("lang").alias("program_id"), "n_chars"))
+    short = F.get_json_object("value", "$.n_chars").cast("long") < 200
+    broken = F.expr("substring(value, 1, length(value) - 1)")
+    wire = sent.select(F.when(short, broken).otherwise(F.col("value")).alias("value"))
+    return readers.good(readers.parsed(wire, "id bigint, text string, program_id string"))

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, StructType
 from chatterlens import schemas
 from chatterlens.functions import scalars as sc
 from chatterlens.operators import filters
+from chatterlens.session import discard, settled
 
 MONTH = "month"
 # Sort keys and bloom-filter columns of the stored tables.
@@ -121,7 +122,7 @@ def _stored_schema(spark: SparkSession, path: str) -> StructType:
 def last_wins(df: DataFrame, key: str, version: str) -> DataFrame:
     """The newest version per id, by partial aggregation: many copies of one id
     collapse before the shuffle."""
-    packed = F.max_by(F.struct(*df.columns), F.col(version)).alias("row")
+    packed = F.max_by(F.struct(*df.columns), F.struct(version)).alias("row")
     return df.groupBy(F.col(key).alias("_key")).agg(packed).select("row.*")
 
 
@@ -157,13 +158,14 @@ def upsert(
     """Insert or replace rows by id, last version wins; only months that hold
     old or new versions of the ids are rewritten."""
     spark = new.sparkSession
-    incoming = last_wins(new.withColumn(MONTH, sc.month_key(ts)), key, version)
+    incoming, staged = settled(last_wins(new.withColumn(MONTH, sc.month_key(ts)), key, version), "upsert")
     stored = read(spark, path)
     touched = _months(incoming.select(MONTH).union(
         stored.join(incoming.select(key), key, "left_semi").select(MONTH)))
     old = stored.filter(F.col(MONTH).isin(touched))
     merged = last_wins(old.unionByName(incoming, allowMissingColumns=True), key, version)
     _replace_months(spark, merged, path, table, touched)
+    discard(spark, staged)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

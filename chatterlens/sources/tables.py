@@ -37,6 +37,10 @@ def _event_sentiment() -> Column:
     )
 
 
+def _minutes(number: str) -> Column:
+    return F.make_dt_interval(secs=(F.col(number) * 60).cast("decimal(18,6)"))
+
+
 def as_comments(events: DataFrame) -> DataFrame:
     """Events read as scored comments on programs."""
     kind = F.get_json_object("props", "$.k").cast("int") % 20
@@ -75,7 +79,7 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("toxic") == 1, "tiêu cực").when(F.col("quality") == 1, "tích cực")
         .otherwise("trung lập")
     )
-    created = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    created = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + _minutes("doc_id")
     label = F.struct(
         F.col("source").alias("entity"), F.lit("Khác").alias("aspect"), F.lit("").alias("opinion"),
         name.alias("sentiment"), F.lit(1.0).alias("confidence"),
@@ -97,13 +101,23 @@ def timed_texts(spark: SparkSession, folder: str, heavy: bool = False) -> DataFr
     """Documents as comments for searching, without the label join. ``heavy``
     announces costly work per text."""
     rows = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    created = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    created = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + _minutes("doc_id")
     return (spread(rows, "doc_id") if heavy else rows).select(
         F.col("doc_id").alias("comment_id"), F.col("lang").alias("program_id"),
         F.col("source").alias("video_id"), "text", created.alias("timestamp"),
     )
 
 
+def text_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents arriving as unlabeled comments."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/documents.parque[t]")
+    return rows.select(
+        F.col("doc_id").alias("comment_id"), "text", F.lit(None).cast(schemas.LABELS).alias("labels"),
+        F.lit(None).cast("timestamp").alias("predicted_at"),
+    )
+
+
 HEADS = {
     "aspect": (1, 11), "sentiment": (12, 3), "e_start": (15, 12), "e_end": (27, 12),
     "o_start": (39, 12), "o_end": (51, 12),

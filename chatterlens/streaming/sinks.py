@@ -32,7 +32,7 @@ def earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame
 def latest_values(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The newest row per key of an update-mode table."""
     rows = read_batches(spark, path)
-    packed = F.max_by(F.struct(*[c for c in rows.columns if c != BATCH]), BATCH).alias("row")
+    packed = F.max_by(F.struct(*[c for c in rows.columns if c != BATCH]), F.col(BATCH)).alias("row")
     return rows.groupBy(F.col(key).alias("_key")).agg(packed).select("row.*")
 
 

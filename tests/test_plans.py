@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
-BATCH = [name for name in entry.queries() if not name.startswith("stream_")]
+BATCH = [name for name in entry.queries() if not name.startswith(("stream_", "store_"))]
 
 
 def plan_of(spark, name):
