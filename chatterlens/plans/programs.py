@@ -69,9 +69,9 @@ def score_range(spark, folder):
 @query("rollup_5min", with_views(f"""
 SELECT program_id, time_bucket(INTERVAL 5 MINUTE, "timestamp") AS window_start,
        count(*) AS total_comments,
-       count_if(sentiment = 'positive') AS positive_count,
-       count_if(sentiment = 'negative') AS negative_count,
-       count_if(sentiment = 'neutral') AS neutral_count,
+       count(*) FILTER (WHERE sentiment = 'positive') AS positive_count,
+       count(*) FILTER (WHERE sentiment = 'negative') AS negative_count,
+       count(*) FILTER (WHERE sentiment = 'neutral') AS neutral_count,
        {r("avg(sentiment_score)", 4)} AS avg_sentiment, {r("avg(engagement_score)", 4)} AS avg_engagement,
        {r(score("avg(sentiment_score)", "avg(engagement_score)"), 4)} AS score
 FROM comments GROUP BY 1, 2
@@ -84,9 +84,9 @@ def rollup_5min(spark, folder):
 
 @query("program_snapshot", with_views(f"""
 SELECT program_id, {r(score("avg(sentiment_score)", "avg(engagement_score)"), 4)} AS score,
-       count_if(sentiment = 'positive') AS positive_count,
-       count_if(sentiment = 'negative') AS negative_count,
-       count_if(sentiment = 'neutral') AS neutral_count, count(*) AS total_comments
+       count(*) FILTER (WHERE sentiment = 'positive') AS positive_count,
+       count(*) FILTER (WHERE sentiment = 'negative') AS negative_count,
+       count(*) FILTER (WHERE sentiment = 'neutral') AS neutral_count, count(*) AS total_comments
 FROM comments GROUP BY 1
 """, "comments"))
 def program_snapshot(spark, folder):
@@ -99,8 +99,8 @@ WITH latest AS (
   SELECT program_id, window_start, score, total_comments FROM metrics
   QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY window_start DESC) = 1),
 shares AS (
-  SELECT program_id, count_if(sentiment = 'positive') * 100.0 / count(*) AS pos,
-         count_if(sentiment = 'negative') * 100.0 / count(*) AS neg
+  SELECT program_id, count(*) FILTER (WHERE sentiment = 'positive') * 100.0 / count(*) AS pos,
+         count(*) FILTER (WHERE sentiment = 'negative') * 100.0 / count(*) AS neg
   FROM comments WHERE "timestamp" >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1)
 SELECT program_id, window_start, {r("score", 4)} AS score, {r("coalesce(pos, 0)", 2)} AS positive_pct,
        {r("coalesce(neg, 0)", 2)} AS negative_pct, total_comments
@@ -198,11 +198,11 @@ def sentiment_distribution(spark, folder):
 
 
 @query("sentiment_share", with_views(f"""
-SELECT program_id, count_if(sentiment = 'positive') AS positive, count_if(sentiment = 'negative') AS negative,
-       count_if(sentiment = 'neutral') AS neutral, count(*) AS total,
-       {r("count_if(sentiment = 'positive') * 100.0 / count(*)", 2)} AS positive_pct,
-       {r("count_if(sentiment = 'negative') * 100.0 / count(*)", 2)} AS negative_pct,
-       {r("count_if(sentiment = 'neutral') * 100.0 / count(*)", 2)} AS neutral_pct
+SELECT program_id, count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative,
+       count(*) FILTER (WHERE sentiment = 'neutral') AS neutral, count(*) AS total,
+       {r("count(*) FILTER (WHERE sentiment = 'positive') * 100.0 / count(*)", 2)} AS positive_pct,
+       {r("count(*) FILTER (WHERE sentiment = 'negative') * 100.0 / count(*)", 2)} AS negative_pct,
+       {r("count(*) FILTER (WHERE sentiment = 'neutral') * 100.0 / count(*)", 2)} AS neutral_pct
 FROM comments GROUP BY 1
 """, "comments"))
 def sentiment_share(spark, folder):
@@ -308,8 +308,8 @@ def themes(spark, folder):
 # --- trends -----------------------------------------------------------------
 
 CHANGES = """changes AS (
-  SELECT topic, count_if("timestamp" >= m - INTERVAL 1 DAY) AS cur,
-         count_if("timestamp" < m - INTERVAL 1 DAY) AS prev,
+  SELECT topic, count(*) FILTER (WHERE "timestamp" >= m - INTERVAL 1 DAY) AS cur,
+         count(*) FILTER (WHERE "timestamp" < m - INTERVAL 1 DAY) AS prev,
          avg(CASE WHEN "timestamp" >= m - INTERVAL 1 DAY THEN sentiment_score END) AS a
   FROM (SELECT "timestamp", sentiment_score, unnest(topics) AS topic, (SELECT max(ts) FROM events) AS m
         FROM comments)
@@ -672,18 +672,18 @@ def v1_to_v2(spark, folder):
 
 
 @query("quality_checks", with_views("""
-SELECT 'metrics' AS "table", 'score_in_range' AS rule, count_if(NOT score BETWEEN 0 AND 1) AS violations FROM metrics
+SELECT 'metrics' AS "table", 'score_in_range' AS rule, count(*) FILTER (WHERE NOT score BETWEEN 0 AND 1) AS violations FROM metrics
 UNION ALL SELECT 'metrics', 'counts_add_up',
-  count_if(positive_count + negative_count + neutral_count <> total_comments) FROM metrics
+  count(*) FILTER (WHERE positive_count + negative_count + neutral_count <> total_comments) FROM metrics
 UNION ALL SELECT 'metrics', 'counts_not_negative',
-  count_if(least(positive_count, negative_count, neutral_count) < 0) FROM metrics
-UNION ALL SELECT 'metrics', 'program_present', count_if(coalesce(program_id, '') = '') FROM metrics
-UNION ALL SELECT 'comments', 'comment_id_present', count_if(comment_id IS NULL) FROM comments
-UNION ALL SELECT 'comments', 'timestamp_present', count_if("timestamp" IS NULL) FROM comments
+  count(*) FILTER (WHERE least(positive_count, negative_count, neutral_count) < 0) FROM metrics
+UNION ALL SELECT 'metrics', 'program_present', count(*) FILTER (WHERE coalesce(program_id, '') = '') FROM metrics
+UNION ALL SELECT 'comments', 'comment_id_present', count(*) FILTER (WHERE comment_id IS NULL) FROM comments
+UNION ALL SELECT 'comments', 'timestamp_present', count(*) FILTER (WHERE "timestamp" IS NULL) FROM comments
 UNION ALL SELECT 'comments', 'sentiment_known',
-  count_if(sentiment NOT IN ('positive', 'negative', 'neutral')) FROM comments
-UNION ALL SELECT 'comments', 'sentiment_score_in_range', count_if(NOT sentiment_score BETWEEN -1 AND 1) FROM comments
-UNION ALL SELECT 'comments', 'engagement_in_range', count_if(NOT engagement_score BETWEEN 0 AND 100) FROM comments
+  count(*) FILTER (WHERE sentiment NOT IN ('positive', 'negative', 'neutral')) FROM comments
+UNION ALL SELECT 'comments', 'sentiment_score_in_range', count(*) FILTER (WHERE NOT sentiment_score BETWEEN -1 AND 1) FROM comments
+UNION ALL SELECT 'comments', 'engagement_in_range', count(*) FILTER (WHERE NOT engagement_score BETWEEN 0 AND 100) FROM comments
 """, "metrics"))
 def quality_checks(spark, folder):
     def found(name, rows, rule_set):

@@ -44,7 +44,7 @@ def scorer_quads(spark, folder):
 
 @query("label_run_summary", with_views("""
 WITH n AS (SELECT doc_id, count(q.comment_id) AS c FROM documents LEFT JOIN quads q ON q.comment_id = doc_id GROUP BY 1)
-SELECT count(*) AS processed, count_if(c > 0) AS with_predictions, count_if(c = 0) AS empty_predictions,
+SELECT count(*) AS processed, count(*) FILTER (WHERE c > 0) AS with_predictions, count(*) FILTER (WHERE c = 0) AS empty_predictions,
        CAST(sum(c) AS BIGINT) AS total_quads FROM n
 """, "quads"))
 def label_run_summary(spark, folder):
@@ -65,9 +65,9 @@ def label_report(spark, folder):
 
 
 @query("negative_aspects", with_views(f"""
-SELECT aspect, count_if(sentiment = 'negative') AS "count",
-       {r("count_if(sentiment = 'negative') * 100.0 / count(*)", 2)} AS negative_pct
-FROM quads GROUP BY 1 HAVING count_if(sentiment = 'negative') > 0 ORDER BY 2 DESC, aspect LIMIT 5
+SELECT aspect, count(*) FILTER (WHERE sentiment = 'negative') AS "count",
+       {r("count(*) FILTER (WHERE sentiment = 'negative') * 100.0 / count(*)", 2)} AS negative_pct
+FROM quads GROUP BY 1 HAVING count(*) FILTER (WHERE sentiment = 'negative') > 0 ORDER BY 2 DESC, aspect LIMIT 5
 """, "quads"))
 def negative_aspects(spark, folder):
     return mt.negative_aspects(quads(spark, folder))
@@ -89,8 +89,8 @@ def comment_sentiment(spark, folder):
 @query("summary_text", with_views(f"""
 WITH figures AS (
   SELECT program_id, count(*) AS n, count(DISTINCT comment_id) AS comments, count(DISTINCT aspect) AS aspects,
-         count_if(sentiment = 'positive') AS pos, count_if(sentiment = 'negative') AS neg,
-         count_if(sentiment = 'neutral') AS neu FROM quads GROUP BY 1),
+         count(*) FILTER (WHERE sentiment = 'positive') AS pos, count(*) FILTER (WHERE sentiment = 'negative') AS neg,
+         count(*) FILTER (WHERE sentiment = 'neutral') AS neu FROM quads GROUP BY 1),
 best AS (
   SELECT program_id, entity FROM quads GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY count(*) DESC, entity) = 1)
@@ -223,7 +223,7 @@ def decode_quads(spark, folder):
 
 @query("quad_eval", with_views(f"""
 WITH valid AS (SELECT * FROM heads WHERE es <= ee AND os <= oe),
-counts AS (SELECT count(*) AS valid, count_if(sentiment_id = label % 3) AS tp FROM valid)
+counts AS (SELECT count(*) AS valid, count(*) FILTER (WHERE sentiment_id = label % 3) AS tp FROM valid)
 SELECT valid, tp, {r("tp / valid", 4)} AS accuracy, {r("tp / valid", 4)} AS "precision",
        {r("tp / valid", 4)} AS recall, {r("tp / valid", 4)} AS f1_score FROM counts
 """, "heads"))
@@ -247,8 +247,8 @@ predicted AS (
   SELECT DISTINCT comment_id, aspect, CASE WHEN sentiment = 'neutral' THEN 'positive' ELSE sentiment END AS sentiment
   FROM quads WHERE entity <> 'ads'),
 counts AS (
-  SELECT count_if(g.comment_id IS NOT NULL AND p.comment_id IS NOT NULL) AS tp,
-         count_if(g.comment_id IS NULL) AS fp, count_if(p.comment_id IS NULL) AS fn
+  SELECT count(*) FILTER (WHERE g.comment_id IS NOT NULL AND p.comment_id IS NOT NULL) AS tp,
+         count(*) FILTER (WHERE g.comment_id IS NULL) AS fp, count(*) FILTER (WHERE p.comment_id IS NULL) AS fn
   FROM predicted p FULL JOIN gold g
     ON p.comment_id = g.comment_id AND p.aspect = g.aspect AND p.sentiment = g.sentiment)
 SELECT tp, fp, fn, {r("tp / (tp + fp)", 4)} AS "precision", {r("tp / (tp + fn)", 4)} AS recall,

@@ -46,9 +46,9 @@ VIEWS = {
     "metrics": f"""
   SELECT program_id, date_trunc('hour', "timestamp") AS window_start,
          count(*) AS total_comments,
-         count_if(sentiment = 'positive') AS positive_count,
-         count_if(sentiment = 'negative') AS negative_count,
-         count_if(sentiment = 'neutral') AS neutral_count,
+         count(*) FILTER (WHERE sentiment = 'positive') AS positive_count,
+         count(*) FILTER (WHERE sentiment = 'negative') AS negative_count,
+         count(*) FILTER (WHERE sentiment = 'neutral') AS neutral_count,
          avg(sentiment_score) AS avg_sentiment, avg(engagement_score) AS avg_engagement,
          {score("avg(sentiment_score)", "avg(engagement_score)")} AS score
   FROM comments GROUP BY 1, 2""",

@@ -33,7 +33,7 @@ def store_read_range(spark, folder):
 
 
 @query("store_upsert", with_views(f"""
-SELECT program_id, count(*) AS "count", count_if(sentiment = 'negative') AS changed,
+SELECT program_id, count(*) AS "count", count(*) FILTER (WHERE sentiment = 'negative') AS changed,
        {r("sum(CASE WHEN sentiment = 'negative' THEN 0 ELSE engagement_score END)", 2)} AS engagement
 FROM comments GROUP BY 1
 """, "comments"))

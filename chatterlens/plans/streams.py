@@ -24,8 +24,8 @@ def _naive(column: str):
 
 @query("stream_rollup", with_views(f"""
 SELECT program_id, time_bucket(INTERVAL 5 MINUTE, "timestamp") AS window_start, count(*) AS total_comments,
-       count_if(sentiment = 'positive') AS positive_count, count_if(sentiment = 'negative') AS negative_count,
-       count_if(sentiment = 'neutral') AS neutral_count,
+       count(*) FILTER (WHERE sentiment = 'positive') AS positive_count, count(*) FILTER (WHERE sentiment = 'negative') AS negative_count,
+       count(*) FILTER (WHERE sentiment = 'neutral') AS neutral_count,
        {r(score("avg(sentiment_score)", "avg(engagement_score)"), 4)} AS score
 FROM comments GROUP BY 1, 2
 """, "comments"))

@@ -30,11 +30,11 @@ def search_substring(spark, folder):
 
 
 BM25 = """counted AS (
-  SELECT d.doc_id AS comment_id, count(w.token) AS dl, count_if(w.token = 'pour') AS t1,
-         count_if(w.token = 'und') AS t2, count_if(w.token = 'the') AS t3
+  SELECT d.doc_id AS comment_id, count(w.token) AS dl, count(*) FILTER (WHERE w.token = 'pour') AS t1,
+         count(*) FILTER (WHERE w.token = 'und') AS t2, count(*) FILTER (WHERE w.token = 'the') AS t3
   FROM documents d LEFT JOIN words w ON w.comment_id = d.doc_id GROUP BY 1),
 stats AS (
-  SELECT count(*) AS docs, avg(dl) AS avg_length, count_if(t1 > 0) AS d1, count_if(t2 > 0) AS d2, count_if(t3 > 0) AS d3
+  SELECT count(*) AS docs, avg(dl) AS avg_length, count(*) FILTER (WHERE t1 > 0) AS d1, count(*) FILTER (WHERE t2 > 0) AS d2, count(*) FILTER (WHERE t3 > 0) AS d3
   FROM counted),
 scored AS (
   SELECT comment_id,
@@ -95,8 +95,8 @@ WITH matches AS (
 previews AS (
   SELECT CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS p, created_at
   FROM matches ORDER BY created_at DESC, comment_id DESC LIMIT 5)
-SELECT count(*) AS total_mentions, count_if(sentiment = 'positive') AS positive,
-       count_if(sentiment = 'negative') AS negative, count_if(sentiment = 'neutral') AS neutral,
+SELECT count(*) AS total_mentions, count(*) FILTER (WHERE sentiment = 'positive') AS positive,
+       count(*) FILTER (WHERE sentiment = 'negative') AS negative, count(*) FILTER (WHERE sentiment = 'neutral') AS neutral,
        {r("coalesce(avg(points), 0)", 3)} AS avg_sentiment,
        (SELECT string_agg(p, ' | ' ORDER BY created_at DESC) FROM previews) AS samples
 FROM matches
@@ -126,8 +126,8 @@ def backlog(spark, folder):
 
 
 @query("backlog_due", with_views("""
-SELECT count_if(NOT is_labeled AND predicted_at IS NULL) AS waiting,
-       count_if(NOT is_labeled AND predicted_at IS NULL) >= 100 AS is_due FROM texts
+SELECT count(*) FILTER (WHERE NOT is_labeled AND predicted_at IS NULL) AS waiting,
+       count(*) FILTER (WHERE NOT is_labeled AND predicted_at IS NULL) >= 100 AS is_due FROM texts
 """, "texts"))
 def backlog_due(spark, folder):
     return filters.backlog_due(tables.texts(spark, folder))
@@ -151,7 +151,7 @@ def comment_status(spark, folder):
 
 
 @query("label_counts", with_views("""
-SELECT count(*) AS total, count_if(is_labeled) AS labeled, count_if(NOT is_labeled) AS unlabeled FROM texts
+SELECT count(*) AS total, count(*) FILTER (WHERE is_labeled) AS labeled, count(*) FILTER (WHERE NOT is_labeled) AS unlabeled FROM texts
 """, "texts"))
 def label_counts(spark, folder):
     return mt.label_counts(tables.texts(spark, folder))
@@ -232,8 +232,8 @@ def training_page(spark, folder):
 
 
 @query("training_stats", with_views(f"""
-SELECT count(*) AS total, count_if(program_id = 'en') AS used, count_if(program_id <> 'en') AS unused,
-       {r("count_if(program_id = 'en') * 100.0 / count(*)", 2)} AS usage_rate
+SELECT count(*) AS total, count(*) FILTER (WHERE program_id = 'en') AS used, count(*) FILTER (WHERE program_id <> 'en') AS unused,
+       {r("count(*) FILTER (WHERE program_id = 'en') * 100.0 / count(*)", 2)} AS usage_rate
 FROM texts WHERE is_labeled
 """, "texts"))
 def training_stats(spark, folder):
@@ -317,7 +317,7 @@ def question_intent(spark, folder):
 
 
 @query("tool_summary", f"""
-SELECT role AS tool, count(*) AS calls, count_if(length(text) <= 200) AS succeeded,
+SELECT role AS tool, count(*) AS calls, count(*) FILTER (WHERE length(text) <= 200) AS succeeded,
        {r("avg(length(text))", 4)} AS avg_duration_ms
 FROM conversations GROUP BY 1
 """)
