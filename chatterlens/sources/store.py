@@ -103,7 +103,8 @@ def stamped_as_stored(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, start=None, end=None, ts: str = "timestamp") -> DataFrame:
     """Rows of an inclusive range; the month bounds prune partitions."""
-    rows = spark.read.option("basePath", path).schema(_stored_schema(spark, path)).parquet(path)
+    rows = spark.read.parquet(path)
+    rows = rows.withColumn(MONTH, F.col(MONTH).cast("string"))
     if start is not None:
         rows = rows.filter(F.col(MONTH) >= sc.month_key(F.lit(start)))
     if end is not None:
@@ -111,12 +112,6 @@ def read(spark: SparkSession, path: str, start=None, end=None, ts: str = "timest
     return filters.in_range(rows, start, end, ts)
 
 
-def _stored_schema(spark: SparkSession, path: str) -> StructType:
-    """File columns plus ``month`` as text (inference would make it a number)."""
-    found = spark.read.parquet(path).schema
-    return StructType([f for f in found if f.name != MONTH]).add(MONTH, "string")
-
-
 # --- changing ---------------------------------------------------------------
 
 def last_wins(df: DataFrame, key: str, version: str) -> DataFrame:
@@ -131,6 +126,14 @@ def _months(df: DataFrame) -> list[str]:
     return [row[0] for row in df.select(MONTH).distinct().collect()]
 
 
+def _stored_months(spark: SparkSession, path: str) -> list[str]:
+    """Months of a stored table from its folder names; no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [status.getPath().getName() for status in found]
+    return sorted(n.removeprefix(f"{MONTH}=") for n in names if n.startswith(f"{MONTH}="))
+
+
 def _drop_months(spark: SparkSession, path: str, months: list[str]) -> None:
     jvm = spark._jvm.org.apache.hadoop.fs
     for month in months:
@@ -193,7 +196,7 @@ def rewrite(changed: DataFrame, path: str, table: str, key: str, ts: str = "time
 
 
 def expired_months(spark: SparkSession, path: str, before: str) -> list[str]:
-    return [m for m in _months(read(spark, path)) if m < before]
+    return [m for m in _stored_months(spark, path) if m < before]
 
 
 def retained(df: DataFrame, keep_days: int, as_of=None, ts: str = "timestamp") -> DataFrame:
@@ -206,22 +209,20 @@ def apply_retention(spark: SparkSession, path: str, table: str, keep_days: int,
     limit = as_of - timedelta(days=keep_days)
     edge = f"{limit:%Y%m}"
     _drop_months(spark, path, expired_months(spark, path, edge))
-    rows = read(spark, path)
-    border = rows.filter((F.col(MONTH) == edge) & (F.col(ts) >= limit))
-    if edge in _months(rows):
+    if edge in _stored_months(spark, path):
+        border = read(spark, path).filter((F.col(MONTH) == edge) & (F.col(ts) >= limit))
         _replace_months(spark, border, path, table, [edge])
 
 
 def clear(spark: SparkSession, path: str, table: str, condition: Column) -> int:
     """Delete matching rows by rewriting the months that hold some; returns their number."""
     rows = read(spark, path)
-    hit = rows.filter(condition)
-    removed = hit.count()
-    months = _months(hit)
+    hits = dict(rows.filter(condition).groupBy(MONTH).count().collect())
+    months = list(hits)
     if months:
         kept = rows.filter(F.col(MONTH).isin(months) & ~F.coalesce(condition, F.lit(False)))
         _replace_months(spark, kept, path, table, months)
-    return removed
+    return sum(hits.values())
 
 
 def export_training(training: DataFrame, path: str, limit: int = 10_000, unused_only: bool = True) -> None:

@@ -18,9 +18,10 @@ from chatterlens.streaming import sinks
 def ingest(messages: DataFrame, path: str, bad_path: str, checkpoint: str, **run) -> StreamingQuery:
     """Messages into a comment table; unreadable ones go to a table of their own."""
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = readers.parsed(batch)
+        rows = readers.parsed(batch).persist()
         sinks.write_batch(readers.good(rows), path, batch_id)
         sinks.write_batch(readers.quarantined(rows), bad_path, batch_id)
+        rows.unpersist()
     return sinks.start(messages, on_batch, checkpoint, **run)
 
 
