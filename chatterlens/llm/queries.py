@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterlens.llm import packing, planes, quality, tiktoken_bpe, topk, url_filter
+from chatterlens.llm import minhash, packing, planes, quality, tiktoken_bpe, topk, url_filter
 from chatterlens.llm.common import QUERIES, SQL, query, table
 from chatterlens.session import scratch
 
@@ -37,6 +37,36 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         keep_ids=False)
 
 
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(generate_series(1, len(w) - 2),
+    lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM w
+), flat AS (SELECT doc_id, unnest(s) AS g FROM sets),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
+FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON c.a = n.doc_id
+"""
+
+
+@query("op6_minhash_near_dup", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w

@@ -114,9 +114,9 @@ def shingle_hashes(word: np.ndarray, bounds: np.ndarray, size: int) -> list[np.n
         if b - a >= size:
             out.append(np.unique(rolled[a: b - size + 1]))
         elif b > a:
-            short = U64(b - a)
-            for w in word[a:b]:
-                short = np.multiply(short, U64(BASE), dtype=U64) + w
+            short = b - a
+            for w in word[a:b].tolist():
+                short = (short * BASE + w) % 2**64
             out.append(mix(np.array([short], dtype=U64)))
         else:
             out.append(np.zeros(0, dtype=U64))
