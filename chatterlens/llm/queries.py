@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatterlens.llm import minhash, packing, planes, quality, tiktoken_bpe, topk, url_filter
-from chatterlens.llm.common import QUERIES, SQL, query, table
+from chatterlens.llm import hmm, minhash, packing, planes, quality, tiktoken_bpe, topk, url_filter
+from chatterlens.llm.common import QUERIES, SQL, crc_mod, query, table
 from chatterlens.session import scratch
 
 __all__ = ["QUERIES", "SQL"]
@@ -89,6 +90,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+@query("op8_hmm_score")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
