@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlens.llm import hmm, minhash, packing, planes, quality, tiktoken_bpe, topk, url_filter
+from chatterlens.llm import hmm, minhash, packing, planes, quality, tiktoken_bpe, topk, toxicity, url_filter
 from chatterlens.llm.common import QUERIES, SQL, crc_mod, query, table
 from chatterlens.session import scratch
 
@@ -38,6 +38,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         keep_ids=False)
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 OP6_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
