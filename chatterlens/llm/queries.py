@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlens.llm import hmm, minhash, packing, planes, quality, tiktoken_bpe, topk, toxicity, url_filter
+from chatterlens.llm import hmm, minhash, packing, planes, quality, suffix_dedup, tiktoken_bpe, topk, toxicity, url_filter
 from chatterlens.llm.common import QUERIES, SQL, crc_mod, query, table
 from chatterlens.session import scratch
 
@@ -31,6 +31,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.documents(spark, folder)
 
 
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 @query("op4_tiktoken_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiktoken_bpe.encode_texts(

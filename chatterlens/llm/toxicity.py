@@ -25,9 +25,8 @@ from chatterlens.session import settled
 #: Labelled texts of each class that become examples, and as many to calibrate on.
 SAMPLE = 2000
 FEATURES = 1024
-#: Least chi-square of a chosen term: with a million terms tried, chance alone
-#: seldom gives one (one degree of freedom, 5e-7).
-CHI_SQUARE = 25.0
+#: Least chi-square of a chosen term (one degree of freedom: 0.16 % by chance).
+CHI_SQUARE = 10.0
 STEMS = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 128
