@@ -77,3 +77,12 @@ def real_id(key: str = "k1") -> Column:
 def crc_mod(id_column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def rows_by_key(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose key is (``left_semi``) or
+    isn't (``left_anti``) in ``keys``: ``doc_id, text_key``, a hash of the text."""
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    there = keys.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__k1"), F.col("text_key").alias("__k2")).distinct()
+    return docs.join(there, (own == F.col("__k1")) & (text == F.col("__k2")), how)

@@ -130,7 +130,8 @@ def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row.
+    """``doc_id, text_key`` (a hash of the text)``, n_shingles, component_id,
+    kept`` for every row.
 
     Two texts are linked if ``100 * |intersection| >= percent * |union|`` of
     their sets of ``shingle``-word shingles; a text of fewer words is one
@@ -212,10 +213,10 @@ def near_duplicates(
     least = comp.join(classes.select("cid", "k1"), "cid").groupBy("comp").agg(F.min("k1").alias("component_id"))
     found = comp.join(least, "comp").select("cid", "component_id")
     ids = classes.join(found, "cid", "left").select("s1", "s2", F.coalesce("component_id", "k1").alias("component_id"))
-    result = signed.select("k1", "n_shingles", F.when(
+    result = signed.select("k1", F.col("k2").alias("text_key"), "n_shingles", F.when(
         (F.col("n_shingles") > 0) & (F.col("k1") != common.NO_ID), F.col("s1")).alias("s1"), "s2").join(
         ids, ["s1", "s2"], "left")
     own = common.real_id()
     return result.select(
-        own.alias("doc_id"), "n_shingles", F.coalesce("component_id", own).alias("component_id"),
+        own.alias("doc_id"), "text_key", "n_shingles", F.coalesce("component_id", own).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -39,18 +39,19 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = None) -> DataFrame:
-    """``doc_id``, ``stratum`` and the counts of every text: ``n_words,
+    """``doc_id``, ``text_key`` (a hash of the text), ``stratum`` and the counts of every text: ``n_words,
     word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words`` and
     ``base_failed``. All work is inside the row; nothing is shuffled."""
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
     df = common.text_rows(docs, id_col, text_col, stratum.alias("stratum"))
+    df = df.withColumn("text_key", F.xxhash64("text"))
     df = _once(df, "word", F.transform(
         F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
     n = F.size("word")
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     df = _once(df, "line", F.transform(lines, lambda line: F.xxhash64(line, F.lit(1))))
     df = df.select(
-        "doc_id", "stratum", "word",
+        "doc_id", "text_key", "stratum", "word",
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("line").cast("long").alias("n_lines"),
@@ -73,7 +74,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stra
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")),
         lambda a: a["n"])
     df = df.select(
-        "doc_id", "stratum", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+        "doc_id", "text_key", "stratum", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_lines", "n_dup_lines",
         covered.alias("n_repeat_words"))
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 

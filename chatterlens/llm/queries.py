@@ -46,7 +46,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 5) == 0
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out).select(
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
@@ -77,7 +78,7 @@ FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON c.a =
 
 @query("op6_minhash_near_dup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_key")
 
 
 OP7_SQL = """

@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,20 +198,11 @@ def _remove(keep_bytes: bool):
     return run
 
 
-def remove_repeats(
-    docs: DataFrame, size: int = 200, gram: int = 64, keep_bytes: bool = True, shard: int = SHARD, busy: int = BUSY,
+def repeat_spans(
+    docs: DataFrame, size: int = 200, gram: int = 64, shard: int = SHARD, busy: int = BUSY,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Every text without the bytes covered by a string of ``size`` bytes that
-    starts anywhere else in the table, in the same text included.
-
-    One row per row: ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed
-    runs), ``kept_sha256`` and, with ``keep_bytes``, ``kept`` (the remaining
-    bytes, which may end inside a character). Matches never cross texts and are
-    judged on the input. Null texts are empty; texts under ``size`` bytes lose
-    nothing; a null id stays null; repeated rows repeat each other and lose
-    everything from ``size`` bytes on; an empty table gives no rows; other
-    columns are ignored.
+    """Byte ranges to remove, per row key: ``k1, k2, spans`` (they may overlap).
 
     A piece occurs as often as its copies, but is sorted once; anchors with
     more than ``busy`` different pieces are split by a second anchor. A lost
@@ -242,8 +234,51 @@ def remove_repeats(
     full = hits.where("NOT mixed").select(
         "k1", "k2", F.col("start").cast("long").alias("from"),
         (F.col("start") + F.col("windows") + size - 1).cast("long").alias("until"))
-    spans = some.unionByName(full).groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "until")).alias("spans"))
+    return some.unionByName(full).groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "until")).alias("spans"))
+
+
+def remove_repeats(
+    docs: DataFrame, size: int = 200, keep_bytes: bool = True, id_col: str = "doc_id", text_col: str = "text", **settings,
+) -> DataFrame:
+    """Every text without the bytes covered by a string of ``size`` bytes that
+    starts anywhere else in the table, in the same text included.
+
+    One row per row: ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed
+    runs), ``kept_sha256`` and, with ``keep_bytes``, ``kept`` (the remaining
+    bytes, which may end inside a character). Matches never cross texts and are
+    judged on the input. Null texts are empty; texts under ``size`` bytes lose
+    nothing; a null id stays null; repeated rows repeat each other and lose
+    everything from ``size`` bytes on; an empty table gives no rows; other
+    columns are ignored.
+    """
+    keyed = common.keyed(docs, id_col, text_col)
+    spans = repeat_spans(docs, size, id_col=id_col, text_col=text_col, **settings)
     done = keyed.join(spans, ["k1", "k2"], "left").select("k1", "text", "spans").mapInArrow(
         _remove(keep_bytes),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if keep_bytes else done.drop("kept")
+
+
+def cut_texts(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows with all their columns and the text that remains; a character
+    that a removed run begins or ends in goes with it."""
+    @F.pandas_udf("string")
+    def remaining(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, ranges in zip(texts, spans):
+            if ranges is None or text is None:
+                out.append(text)
+                continue
+            raw, at, kept = text.encode(), 0, []
+            for a, b in sorted((r["from"], r["until"]) for r in ranges):
+                kept.append(raw[at:a] if a > at else b"")
+                at = max(at, b)
+            out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    spans = repeat_spans(docs, size, id_col=id_col, text_col=text_col, **settings)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(common.NO_ID)), F.xxhash64(text)]
+    joined = docs.alias("d").join(spans.alias("s"), (keys[0] == F.col("s.k1")) & (keys[1] == F.col("s.k2")), "left")
+    return joined.select(*[
+        remaining(F.col(f"d.`{c}`"), F.col("s.spans")).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])

@@ -160,18 +160,21 @@ def _frequencies(features: np.ndarray):
     return run
 
 
+def _probabilities(texts: list[bytes], model: dict) -> tuple[np.ndarray, list[list[int]]]:
+    index, b = model["index"], model["coefficients"]
+    seen, evidence = [], []
+    for found, times in vectors(texts, model["features"]):
+        x, places = index.votes(found, times, model["neighbours"])
+        seen.append(x)
+        evidence.append(index.names[places].tolist())
+    return 1 / (1 + np.exp(-np.clip(np.stack(seen) @ b[:-1] + b[-1], -30, 30))), evidence
+
+
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        index, features, b, k = m["index"], m["features"], m["coefficients"], m["neighbours"]
         for batch in batches:
             for first, texts in textbits.blocks(batch.column("text")):
-                seen, evidence = [], []
-                for found, times in vectors(texts, features):
-                    x, places = index.votes(found, times, k)
-                    seen.append(x)
-                    evidence.append(index.names[places].tolist())
-                p = 1 / (1 + np.exp(-np.clip(np.stack(seen) @ b[:-1] + b[-1], -30, 30)))
+                p, evidence = _probabilities(texts, sent.value)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(texts)), pa.array(p), pa.array(evidence, pa.list_(pa.int64()))],
                     ["doc_id", "score", "evidence"])
@@ -185,21 +188,17 @@ def _drawn(labels: DataFrame, toxic: int, role: int, sample: int) -> DataFrame:
         sample).select("doc_id", "toxic", F.lit(role).alias("role"))
 
 
-def score(
+def fit(
     docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, sample: int = SAMPLE,
     features: int = FEATURES, neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """``doc_id, score, predicted, evidence`` for every row.
+):
+    """The model of :func:`score` and :func:`without_toxic`, sent to all tasks.
 
     ``labels`` has ``doc_id`` and ``toxic``; ``may_learn`` is a condition on
-    ``doc_id``. ``score`` is the probability of label 1, ``predicted`` is 1
-    from 0.5 on, ``evidence`` the ids of the nearest examples. Null and empty
-    texts, and texts without a chosen term, have no neighbours and get the
-    score of such texts; null ids are scored but never learned from; of
-    contradicting labels the toxic one counts; repeated rows are scored alike;
-    an empty table gives no rows; without labels of both classes every score is
-    the share of label 1 (0 without any). Everything that travels to tasks is
-    bounded by ``sample`` and ``features``.
+    ``doc_id``. Null ids are never learned from; of contradicting labels the
+    toxic one counts. Without labels of both classes the model gives every text
+    the share of label 1 (0 without any). Everything that travels to tasks or
+    the driver is bounded by ``sample`` and ``features``.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -248,12 +247,36 @@ def score(
         # Classes weigh as much as they occur among all labels.
         weight = np.where(y == 1, share[1] / y.sum(), share[0] / (1 - y).sum())
         coefficients = fit_logistic(x, y, weight / weight.mean())
-    sent = spark.sparkContext.broadcast(
+    return spark.sparkContext.broadcast(
         {"index": index, "features": chosen_terms, "coefficients": coefficients, "neighbours": neighbours})
-    return rows.mapInArrow(_score(sent), "doc_id long, score double, evidence array<long>").select(
+
+
+def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, score, predicted, evidence`` for every row.
+
+    ``score`` is the probability of label 1, ``predicted`` is 1 from 0.5 on,
+    ``evidence`` the ids of the nearest examples. Null and empty texts, and
+    texts without a chosen term, have no neighbours and get the score of such
+    texts; null ids stay null; repeated rows are scored alike; an empty table
+    gives no rows; other columns are ignored. There is no shuffle.
+    """
+    return common.text_rows(docs, id_col, text_col).mapInArrow(
+        _score(model), "doc_id long, score double, evidence array<long>").select(
         "doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def without_toxic(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score below 0.5."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            keep = []
+            for _, texts in textbits.blocks(batch.column(text_col)):
+                keep += (_probabilities(texts, m)[0] < 0.5).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _sparse(features: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
