@@ -1,0 +1,298 @@
+"""The dealt operators against brute force, on small frames with odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from chatterlens.llm import (
+    bpe, components, hmm, induced, minhash, packing, planes, quality, suffix_dedup, tiktoken_bpe, topk, toxicity, url_filter,
+)
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, k1 string, sig string"
+
+
+def texts():
+    make = random.Random(5)
+    base = " ".join(make.choice("alpha Beta gamma délta eps, zeta; eta-theta iota").strip() or "x" for _ in range(400))
+    words = [make.choice(["one", "two", "three", "Vier", "fünf", "six,", "seven"]) + str(make.randrange(40)) for _ in range(900)]
+    return [
+        None, "", " ", "a", base, base, base + " tail", " ".join(words), " ".join(words[:450] + ["new"] + words[450:]),
+        " ".join(words[100:300]), "word " * 300, "x" * 1500, "line\nline\nother\n\n", "  lead  and   gaps \t\n", "<|endoftext|> it's",
+        "été ça va 　 wide", "$$$ %%% ***",
+    ]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "clash", "clash") for i, t in enumerate(texts())]
+    rows += [(None, "null id " * 60, None, None, None), (4, rows[4][1], "en", "clash", "clash")]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+
+def ids_of(text):
+    return np.array(Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+def test_bpe_matches_library():
+    some = [(t or "") for t in texts()] + ["a  \nb", "a\x1c!b  ", "don't,'t", "9,8.7 x", "é, à b", "x\u0085 y"]
+    ids, at = bpe.Encoder(VOCABULARY).encode([t.encode() for t in some])
+    for i, t in enumerate(some):
+        assert ids[at[i]: at[i + 1]].tolist() == ids_of(t).tolist()
+
+
+def test_packing(spark, docs, plain):
+    rows = packing.pack(docs, VOCABULARY, size=64, windows=4).collect()
+    want = Counter((d, tuple([*ids_of(t).tolist(), 0])) for d, t in plain)
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["ids"]))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"]
+    assert sum(len(p) for _, p in want.elements()) == sum(r["length"] for r in rows)
+    for (doc, ids), n in want.items():
+        if n == 1 and sum(1 for d, _ in want if d == doc) == 1:
+            assert [i for _, part in sorted(pieces[doc, len(ids)]) for i in part] == list(ids)
+    totals = []
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        totals.append(at)
+    assert max(totals) == 64 and sum(t < 64 for t in totals) <= 1
+    assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("bits", [True, False])
+def test_planes_round_trip(spark, docs, plain, tmp_path, bits):
+    planes.write(docs, str(tmp_path / "set"), VOCABULARY, block_ids=100, bits=bits)
+    got = planes.documents(spark, str(tmp_path / "set")).orderBy("start").collect()
+    at = 0
+    for (doc, text), r in zip(sorted(plain, key=lambda x: (x[0] is not None, x[0] or 0)), got, strict=True):
+        ids = np.append(ids_of(text), np.uint32(0)).astype("<u4")
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_crc_join():
+    a, b = b"some bytes", b"and " * 99
+    assert planes.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_tiktoken(docs, plain):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    whole = tiktoken_bpe.load(path, public_tokenizers.PATTERN)
+    frame = tiktoken_bpe.encode_texts(docs, path, public_tokenizers.PATTERN, longest=50)
+    got = Counter((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in frame.collect())
+    want = Counter((d, hashlib.sha256(" ".join(map(str, whole.encode_ordinary(t))).encode()).hexdigest(),
+                    hashlib.sha256(t.encode()).hexdigest()) for d, t in plain)
+    assert got == want
+    decoded = tiktoken_bpe.decode_ids(frame, path, public_tokenizers.PATTERN).select("decoded").collect()
+    assert sorted(bytes(r[0]) for r in decoded) == sorted(t.encode() for _, t in plain)
+
+
+def test_suffix_array_against_sorting():
+    for seed in range(150):
+        make = random.Random(seed)
+        text = np.array([make.randrange(make.randint(1, 4)) for _ in range(make.randint(1, 70))], dtype=np.uint8)
+        parts = list(induced.suffixes(text, 10, limit=make.choice([5, 10**6]), base=make.choice([2, 10**6])))
+        order = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        assert np.concatenate([p for p, _ in parts])[::-1].tolist() == order
+
+
+def repeats(plain, size):
+    raw = [t.encode() for _, t in plain]
+    seen = Counter(t[i: i + size] for t in raw for i in range(len(t) - size + 1))
+    out = []
+    for (doc, _), t in zip(plain, raw):
+        gone = np.zeros(len(t) + 1, dtype=int)
+        for i in range(len(t) - size + 1):
+            if seen[t[i: i + size]] > 1:
+                gone[i: i + size] = 1
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        out.append((doc, len(t), int(gone.sum()), int((np.diff(np.append(0, gone)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("busy", [20_000, 0])
+def test_suffix_dedup(docs, plain, busy):
+    rows = suffix_dedup.remove_repeats(docs, busy=busy, shard=2_000).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows)
+    assert got == repeats(plain, 200)
+    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_minhash_against_all_pairs(docs, plain):
+    def shingles(text):
+        w = WORD.findall(text.translate(LOWER))
+        return {tuple(w[i: i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    sets = {(d, t): shingles(t) for d, t in plain}
+    keys = [k for k in sets if k[0] is not None]
+    comp = {k: k[0] for k in keys}
+    for _ in keys:
+        for x in keys:
+            for y in keys:
+                if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+                    comp[x] = comp[y] = min(comp[x], comp[y])
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, 3, 85).collect())
+    assert got == Counter((d, len(sets[d, t]), comp.get((d, t))) for d, t in plain)
+
+
+def test_spanning_links_join_what_all_links_join():
+    for seed in range(40):
+        make = np.random.default_rng(seed)
+        base = make.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[make.random(60) < 0.95], make.integers(0, 2**63, make.integers(1, 9), dtype=np.uint64)]))
+                for _ in range(12)]
+        sig = minhash.minima(sets, *minhash.coefficients(128)).astype(np.uint8)
+
+        def closed(links):
+            comp = list(range(len(sets)))
+            for _ in sets:
+                for x, y in links:
+                    comp[x] = comp[y] = min(comp[x], comp[y])
+            return comp
+        every = [(x, y) for x in range(12) for y in range(x)
+                 if 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))]
+        assert closed(minhash.spanning_links(sets, sig, 80)) == closed(every)
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 9), (5, 5), (3, 10), (None, 4), (20, 10)], "a long, b long")
+    got = {(r["node"], r["component"]) for r in components.components(links).collect()}
+    assert got == {(n, 1) for n in (1, 2, 3, 10, 20)} | {(8, 8), (9, 8)}
+
+
+def test_topk(spark):
+    make = random.Random(1)
+    rows = [(i % 90, [make.choice([-1.0, 0.0, 0.25, 0.5]) for _ in range(8)], "x") for i in range(100)]
+    rows += [(20, None, "x"), (40, [1.0, None], "x"), (60, [float("nan")], "x"), (None, [1.0] * 8, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, weights string")
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows[:100]]
+    want = Counter()
+    for q, (qid, qv) in enumerate(good):
+        if qid % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(qv, v)), i) for c, (i, v) in enumerate(good) if c != q)[:5]
+            want.update((qid, r + 1, i, -s) for r, (s, i) in enumerate(best))
+    got = Counter(tuple(r) for r in topk.search(frame, k=5, block=16).collect())
+    assert got == want
+
+
+def test_hmm(spark, docs, plain):
+    rows = hmm.score(docs, states=3, rounds=2).collect()
+    token = [[*WORD.findall(t.translate(LOWER)), None] for _, t in plain]
+    count = Counter(w for x in token for w in x)
+    base = Counter(round(sum(math.log10((count[w] + 1) / (sum(count.values()) + len(count) + 1)) for w in x), 6) for x in token)
+    assert Counter(round(r["base_score"], 6) for r in rows) == base
+    assert all(r["n_known"] == r["n_tokens"] and r["score"] < 0 for r in rows)
+
+
+def test_forward_equals_sum_over_paths():
+    from itertools import product
+
+    make = np.random.default_rng(2)
+    start, move, emit = make.dirichlet([1] * 3), make.dirichlet([1] * 3, 3), make.random((4, 3))
+    words = [np.array([0, 3, 1, 2]), np.array([2])]
+    got = hmm.forward(np.concatenate(words), np.array([4, 1]), start, move, emit)
+    for w, g in zip(words, got):
+        total = sum(start[p[0]] * emit[w[0], p[0]] * math.prod(move[p[i - 1], p[i]] * emit[w[i], p[i]] for i in range(1, len(w)))
+                    for p in product(range(3), repeat=len(w)))
+        assert abs(g - math.log10(total)) < 1e-9
+
+
+def test_quality_counts(docs, plain):
+    def counts(text):
+        w = WORD.findall(text)
+        seen = Counter(tuple(w[i: i + 5]) for i in range(len(w) - 4))
+        inside = {j for i in range(len(w) - 4) if seen[tuple(w[i: i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        return (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(inside))
+    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+                  for r in quality.counts(docs).collect())
+    assert got == Counter((d, *counts(t)) for d, t in plain)
+
+
+def test_binomial_tail(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(0, 500), (3, 500), (7, 800), (40, 500), (0, 0)], "k long, n long")
+    for r in frame.select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p")).collect():
+        want = sum(math.comb(r["n"], i) * 0.02**i * 0.98 ** (r["n"] - i) for i in range(r["k"] + 1))
+        assert r["p"] == pytest.approx(1.0 if r["k"] >= r["n"] * 0.02 else want)
+
+
+def test_certified_cutoffs_reject_few_good_texts(spark):
+    make = random.Random(3)
+    rows = [(i, " ".join(f"w{make.randrange(9999)}{'%%%' if i % 4 == 0 else ''}" for _ in range(40)), "en") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS quality")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    assert all(kept == (i % 4 != 0) for i, kept in got.items())
+
+
+def test_toxicity(spark):
+    make = random.Random(4)
+    rows = [(i, " ".join([f"w{make.randrange(300)}" for _ in range(30)] + (["vile", "scumbag"] if i % 5 == 0 else []))) for i in range(1000)]
+    docs = spark.createDataFrame([*rows, (None, None), (2000, "")], "doc_id long, text string")
+    labels = docs.where("doc_id < 800").selectExpr("doc_id", "CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS toxic")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 1002 and all(r["predicted"] == int(r["doc_id"] is not None and r["doc_id"] < 1000 and r["doc_id"] % 5 == 0) for r in got)
+    assert toxicity.without_toxic(docs, model).count() == 802
+    assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("score > 0.01").count() == 0
+
+
+def test_nearest_is_exact():
+    make = np.random.default_rng(6)
+    rows = [(np.sort(make.choice(50, 8, replace=False)), make.integers(1, 4, 8)) for _ in range(500)]
+    index = toxicity.Index(rows, make.integers(0, 2, 500), np.arange(500), make.random(50) + 1)
+
+    def dense(f, t):
+        v = np.zeros(50)
+        v[f] = index.unit(f, t)
+        return v
+    every = np.stack([dense(*r) for r in rows])
+    for q in rows[:20]:
+        places, near = index.nearest(*q, 15)
+        want = np.sort(every @ dense(*q))[::-1][:15]
+        assert np.allclose(near, want) and np.allclose(every[index.names[places]] @ dense(*q), near)
+
+
+def test_url_rules(spark):
+    rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
+    cases = {
+        "https://A.Example.com/en/1?x": ("a.example.com", "/en/1", "example.com/en/", "block"),
+        "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "http://x.com": ("x.com", "", None, "allow"), "http://x.com/#a": ("x.com", "/", "com/", "allow"),
+        "http://h.net/es/1": ("h.net", "/es/1", "net/es/", "block"), "no scheme": ("", "", None, "allow"), None: ("", "", None, "allow"),
+        "http://xcom/": ("xcom", "/", None, "allow"),
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(frame, rules).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_url_templates_reject_by_purity(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"http://h.org/{'ads' if i % 2 else 'news'}/{i}", 1 if i % 2 else 0) for i in range(40)]
+    rows += [(100, "http://h.org/ads/x9", None), (101, "http://h.org/news/x9", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(frame, [], F.col("bad")).collect()}
+    assert got[100] == "block" and got[101] == "allow"
