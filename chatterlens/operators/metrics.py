@@ -40,20 +40,23 @@ def _mentions(comments: DataFrame, column: str, name: str, distinct: bool, *keep
     return sc.each(comments, items, name, *keep)
 
 
-def top_entities(comments: DataFrame, limit: int = 10, column: str = "topics") -> DataFrame:
-    """Element counts: an entity named twice in a comment counts twice."""
-    counted = _mentions(comments, column, "entity", False, "sentiment_score").groupBy("entity").agg(
+def entity_means(comments: DataFrame, column: str = "topics") -> DataFrame:
+    """Mentions and mean sentiment of every entity; one named twice in a comment counts twice."""
+    return _mentions(comments, column, "entity", False, "sentiment_score").groupBy("entity").agg(
         F.count("*").alias("mention_count"), F.avg("sentiment_score").alias("avg_sentiment"),
     )
-    return top(counted, "mention_count", "entity", limit)
 
 
-def entity_doc_counts(comments: DataFrame, limit: int = 10, column: str = "topics") -> DataFrame:
-    """Comment counts: an entity counts once per comment."""
+def top_entities(comments: DataFrame, limit: int = 10, column: str = "topics") -> DataFrame:
+    return top(entity_means(comments, column), "mention_count", "entity", limit)
+
+
+def entity_doc_counts(comments: DataFrame, limit: int | None = 10, column: str = "topics") -> DataFrame:
+    """Comment counts: an entity counts once per comment. Without a limit, all entities."""
     counted = _mentions(comments, column, "entity", True, "sentiment_score").groupBy("entity").agg(
         F.count("*").alias("count"), F.avg("sentiment_score").alias("avg_sentiment"),
     )
-    return top(counted, "count", "entity", limit)
+    return counted if limit is None else top(counted, "count", "entity", limit)
 
 
 def topic_distribution(comments: DataFrame, limit: int = 20) -> DataFrame:
@@ -85,8 +88,9 @@ def topic_mentions(comments: DataFrame) -> DataFrame:
     return _mentions(comments, "topics", "topic", False).groupBy("topic").agg(F.count("*").alias("mentions"))
 
 
-def themes(comments: DataFrame, min_mentions: int = 5, size: int = 20) -> DataFrame:
-    """Frequent entities with a tone; the tone uses the unrounded mean."""
+def themes(comments: DataFrame, min_mentions: int = 5, size: int | None = None) -> DataFrame:
+    """All entities with at least ``min_mentions``, with a tone from the unrounded
+    mean; ``size`` keeps the most frequent ones only."""
     common = entity_doc_counts(comments, size)
     avg = F.round("avg_sentiment", 10)
     return common.filter(F.col("count") >= min_mentions).select(

@@ -31,9 +31,9 @@ def substring_search(
 
 
 def text_matches(comments: DataFrame, query: str) -> DataFrame:
-    """Comments holding at least one query token."""
+    """Comments holding at least one query token; a query without any finds nothing."""
     terms = query_terms(query)
-    return comments.filter(sc.has_token("text", terms)) if terms else comments
+    return comments.filter(sc.has_token("text", terms)) if terms else comments.filter(F.lit(False))
 
 
 def is_word(word: str):
@@ -55,7 +55,7 @@ def with_relevance(comments: DataFrame, query: str, corpus: DataFrame | None = N
     scalar subquery; no postings are shuffled."""
     terms = query_terms(query)
     if not terms:
-        return comments.withColumn("relevance", F.lit(1.0))
+        return comments.filter(F.lit(False)).withColumn("relevance", F.lit(0.0))
     stats = _term_hits(corpus if corpus is not None else comments, terms).agg(F.struct(
         F.count("*").alias("docs"), F.avg("doc_length").alias("avg_length"),
         *[F.count_if(F.array_contains("hits", t)).alias(f"df{i}") for i, t in enumerate(terms)],

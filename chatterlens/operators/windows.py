@@ -116,14 +116,12 @@ def program_events(
 
 
 def recent_events(events: DataFrame, days: int = 1, limit: int = 50, as_of=None) -> DataFrame:
-    """The first ``limit`` events of each day, then the newest ``limit`` per program."""
+    """The newest ``limit`` events per program within the last days."""
     newest_day = F.to_date(sc.moment(events, as_of))
     kept = events.filter(F.to_date("timestamp") > F.date_sub(newest_day, days))
-    per_day = Window.partitionBy("program_id", F.to_date("timestamp")).orderBy("timestamp", "event_type")
     overall = Window.partitionBy("program_id").orderBy(F.col("timestamp").desc(), "event_type")
     return (
-        kept.withColumn("place", F.row_number().over(per_day)).filter(F.col("place") <= limit)
-        .withColumn("place", F.row_number().over(overall)).filter(F.col("place") <= limit)
+        kept.withColumn("place", F.row_number().over(overall)).filter(F.col("place") <= limit)
         .drop("place")
     )
 

@@ -295,7 +295,7 @@ WITH counts AS (
   SELECT entity, count(*) AS n, avg(sentiment_score) AS a
   FROM (SELECT unnest(list_distinct(topics)) AS entity, sentiment_score FROM comments
         WHERE "timestamp" >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY)
-  GROUP BY 1 ORDER BY n DESC, entity LIMIT 20)
+  GROUP BY 1)
 SELECT entity AS name, n AS "count", {r("a", 3)} AS avg_sentiment,
        CASE WHEN round(a, 10) > 0.2 THEN 'positive' WHEN round(a, 10) < -0.2 THEN 'negative'
             ELSE 'neutral' END AS sentiment_label
@@ -370,7 +370,7 @@ WITH {CHANGES},
 best AS (SELECT topic, cur FROM changes ORDER BY cur DESC, topic LIMIT 30),
 means AS (
   SELECT entity, avg(sentiment_score) AS a FROM (SELECT unnest(topics) AS entity, sentiment_score FROM comments)
-  GROUP BY 1 ORDER BY count(*) DESC, entity LIMIT 20)
+  GROUP BY 1)
 SELECT topic, cur AS "count", {r("coalesce(a, 0)", 4)} AS avg_sentiment
 FROM best LEFT JOIN means ON topic = entity
 """, "comments"))
@@ -378,7 +378,7 @@ def trend_topic_sentiment(spark, folder):
     comments = tables.comments(spark, folder)
     changes = windows.topic_changes(comments, DAY)
     best = mt.top(changes, "current_count", "topic", 30).select("topic", F.col("current_count").alias("count"))
-    return rounded(joins.with_topic_sentiment(best, mt.top_entities(comments, 20)), 4, "avg_sentiment")
+    return rounded(joins.with_topic_sentiment(best, mt.entity_means(comments)), 4, "avg_sentiment")
 
 
 @query("related_topics", with_views(f"""
@@ -522,9 +522,7 @@ def program_events(spark, folder):
 WITH {EVENTS_SQL},
 kept AS (
   SELECT * FROM inferred
-  WHERE CAST("timestamp" AS DATE) > (SELECT CAST(max("timestamp") AS DATE) FROM inferred) - 3
-  QUALIFY row_number() OVER (PARTITION BY program_id, CAST("timestamp" AS DATE)
-                             ORDER BY "timestamp", event_type) <= 10)
+  WHERE CAST("timestamp" AS DATE) > (SELECT CAST(max("timestamp") AS DATE) FROM inferred) - 3)
 SELECT * FROM kept
 QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY "timestamp" DESC, event_type) <= 10
 """, "metrics"))

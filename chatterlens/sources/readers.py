@@ -59,11 +59,12 @@ def publish(df: DataFrame, servers: str, topic: str, key: str | None = None) ->
 
 
 def topic_read_options(
-    servers: str, topic: str, start: str = "earliest", max_per_batch: int | None = None,
+    servers: str, topic: str, start: str = "earliest", max_per_batch: int | None = None, lossy: bool = False,
 ) -> dict[str, str]:
+    """Offsets that are gone stop the stream, unless the caller accepts the loss (``lossy``)."""
     options = {
         "kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": start,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": "false" if lossy else "true",
     }
     return {**options, "maxOffsetsPerTrigger": str(max_per_batch)} if max_per_batch else options
 

@@ -61,22 +61,37 @@ def roll_up(stream: DataFrame, kind: str, width: str, path: str, checkpoint: str
         stream, lambda batch, n: sinks.write_batch(build(batch, width), path, n), checkpoint, **run)
 
 
-def read_rollup(spark: SparkSession, kind: str, path: str, base: str | None = None, since: int = 0) -> DataFrame:
+def _compacted(spark: SparkSession, base: str | None) -> tuple[DataFrame | None, int]:
+    """The newest table below ``base`` and the batch it goes up to; none yet: nothing, 0."""
+    if base is None:
+        return None, 0
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None, 0
+    tables = spark.read.parquet(base)
+    upto = tables.agg(F.max("upto")).first()[0]
+    return (None, 0) if upto is None else (tables.filter(F.col("upto") == upto).drop("upto"), upto)
+
+
+def read_rollup(spark: SparkSession, kind: str, path: str, base: str | None = None) -> DataFrame:
     """Merged partials. With a ``base`` from :func:`compact_rollup`, only batches
-    from ``since`` on are added to it."""
+    from the one recorded there on are added to it."""
     _, keys, measures = ROLLUPS[kind]
+    old, since = _compacted(spark, base)
     partials = sinks.read_batches(spark, path).filter(F.col(sinks.BATCH) >= since).drop(sinks.BATCH)
-    if base is not None:
-        partials = partials.unionByName(spark.read.parquet(base))
-    return rollups.merge(partials, list(keys), measures)
+    return rollups.merge(partials if old is None else partials.unionByName(old), list(keys), measures)
 
 
 def compact_rollup(spark: SparkSession, kind: str, path: str, base: str, upto: int) -> None:
-    """Merge all batches before ``upto`` into one table, so that reading does not
-    slow down as batches pile up. The batches stay until the caller drops them."""
+    """Add the batches before ``upto`` to what was compacted before, in a new
+    folder ``upto=<number>`` of ``base``, so that reading does not slow down as
+    batches pile up. Older folders and merged batches may then be dropped."""
     _, keys, measures = ROLLUPS[kind]
-    settled = sinks.read_batches(spark, path).filter(F.col(sinks.BATCH) < upto)
-    rollups.merge(settled, list(keys), measures).write.mode("overwrite").parquet(base)
+    old, since = _compacted(spark, base)
+    fresh = sinks.read_batches(spark, path).filter(
+        (F.col(sinks.BATCH) >= since) & (F.col(sinks.BATCH) < upto)).drop(sinks.BATCH)
+    whole = fresh if old is None else fresh.unionByName(old)
+    rollups.merge(whole, list(keys), measures).write.mode("overwrite").parquet(f"{base}/upto={upto}")
 
 
 def windowed_rollup(stream: DataFrame, width: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
