@@ -213,9 +213,10 @@ def repeat_spans(
     common.ship(spark)
     keyed = common.keyed(docs, id_col, text_col)
     cut, _ = settled(keyed.mapInArrow(_cut(size, gram), PIECE), "pieces")
-    again = cut.groupBy("anchor").agg(
+    # Written, so that the join below has plain exchanges, whose hot keys are split.
+    again, _ = settled(cut.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1").select(
-        "anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+        "anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     hits, _ = settled(cut.join(again, "anchor"), "hits")
     different = hits.where("mixed").groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "windows")).alias("at"))
