@@ -1,13 +1,12 @@
 """Near-duplicate texts: minima of universal hashes, bands, verification on
 full sets and connected components.
 
-Texts with the same set of shingles are one class from the start. Classes that
-share a band are candidates. Buckets of a band are never expanded into pairs:
-in two rounds every member is compared with one hub of its bucket, links are
-confirmed on full sets, and components are contracted. What then still meets in
-a bucket in different components is compared by signature in blocks, and pairs
-that pass are confirmed too. So each candidate pair is either compared or
-already connected.
+Texts with the same set of shingles are one class from the start. The classes
+of a band's bucket are tied to the least of them, which gives groups of
+candidates without writing out pairs. Members of a group meet once, with their
+full sets, in units of bounded size; a member is checked against all others of
+its unit at once, and a unit hands on only as many confirmed links as its
+components need. Alternating large-star and small-star joins them.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +22,10 @@ from chatterlens.llm import common, textbits
 from chatterlens.llm.components import components
 from chatterlens.session import settled
 
-#: Members per side of a unit of pair work in the last round.
-SIDE = 512
-SIGNED = "k1 long, k2 long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>"
+#: Bytes of sets on one side of a unit of work; a larger group is split into
+#: units of two sides each.
+UNIT = 24_000_000
+SIGNED = "k1 long, k2 long, n_shingles long, s1 long, s2 long, bands array<long>"
 
 
 def coefficients(minima: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -67,62 +66,102 @@ def _sign(size: int, bands: int, rows: int):
                 some = np.array([len(s) for s in sets]) > 0
                 s1 = np.array([s.sum(dtype=np.uint64) for s in sets]).view(np.int64)
                 s2 = np.array([textbits.mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-                brief = low.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("k1").slice(first, len(texts)), batch.column("k2").slice(first, len(texts)),
                     pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                    pa.array([x.tobytes() for x in brief], pa.binary()),
                     pa.array([k.tolist() if full else [] for k, full in zip(keys.view(np.int64), some)], pa.list_(pa.int64())),
-                ], ["k1", "k2", "n_shingles", "s1", "s2", "sig", "bands"])
+                ], ["k1", "k2", "n_shingles", "s1", "s2", "bands"])
     return run
 
 
-def _alike(least: float, ratio: tuple[int, int]):
-    """Pairs whose sizes allow a link and whose minima agree often enough."""
+def spanning_links(sets: list[np.ndarray], signatures: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join what all links above the threshold join.
+
+    A member is compared with all others at once: those whose signatures agree
+    in nearly as many minima as the threshold asks (five standard deviations
+    less) are confirmed on full sets, by adding up the postings of its
+    shingles. Members are compared until those left all lie in one
+    component, so every link is either seen or within a component.
+    """
+    share = percent / 100
+    least = share - 5 * (share * (1 - share) / signatures.shape[1]) ** 0.5
+    sizes = np.array([len(s) for s in sets])
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(term, kind="stable")
+    posting = owner[order]
+    first = np.searchsorted(term[order], np.arange(term.max() + 2))
+    start = np.cumsum(sizes) - sizes
+    comp, done, links = np.arange(len(sets)), np.zeros(len(sets), dtype=bool), []
+    while True:
+        left = np.flatnonzero(~done)
+        names, counts = np.unique(comp[left], return_counts=True)
+        if len(names) < 2:
+            return links
+        outside = left[comp[left] != names[np.argmax(counts)]]
+        x = int(left[0]) if not links and not done.any() else int(outside[0])
+        done[x] = True
+        alike = (signatures == signatures[x]).mean(axis=1) >= least
+        alike[x] = False
+        if not alike.any():
+            continue
+        mine = term[start[x]: start[x] + sizes[x]]
+        length = first[mine + 1] - first[mine]
+        ends = np.cumsum(length)
+        places = np.arange(int(ends[-1])) + np.repeat(first[mine] - (ends - length), length)
+        both = np.bincount(posting[places], minlength=len(sets))
+        near = alike & (100 * both >= percent * (sizes + sizes[x] - both))
+        # One link to each component that x touches is enough.
+        found, at = np.unique(comp[near], return_index=True)
+        rows = np.flatnonzero(near)[at]
+        links += [(x, int(y)) for y in rows if comp[y] != comp[x]]
+        comp[np.isin(comp, found)] = comp[x]
+
+
+def _sets(size: int, count: int):
+    """Sets and signatures of candidates, one row for each unit of work they belong to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = coefficients(count)
         for batch in batches:
-            x, y = (np.stack([np.frombuffer(v, np.uint8) for v in batch.column(c).to_pylist()]) if len(batch)
-                    else np.zeros((0, 1), np.uint8) for c in ("sig_a", "sig_b"))
-            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            keep = ((x == y).mean(axis=1) >= least) & (ratio[1] * np.minimum(n, m) >= ratio[0] * np.maximum(n, m))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            cids, groups, blocks = (batch.column(c).to_pylist() for c in ("cid", "group", "blocks"))
+            for at, texts in textbits.blocks(batch.column("text"), 500_000):
+                out = [[] for _ in range(6)]
+                sets = textbits.shingle_hashes(*textbits.word_hashes(texts), size)
+                low = minima(sets, a, b).astype(np.uint8)
+                for i, own in enumerate(sets, at):
+                    mine = cids[i] % blocks[i]
+                    raw = own.tobytes()
+                    for other in range(blocks[i]):
+                        for column, value in zip(out, (groups[i], min(mine, other), max(mine, other), cids[i], raw, low[i - at].tobytes())):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])],
+                    ["group", "lo", "hi", "cid", "set", "sig"])
     return run
 
 
-def _confirm(size: int, ratio: tuple[int, int]):
-    """Pairs that are linked by their full sets."""
+def _link(percent: int):
+    """Spanning links of every unit; rows come sorted by unit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                # A hub's text comes many times in a row: made into a set once.
-                names = {}
-                for side in ("a", "b"):
-                    for i, text in zip(part.column(side).to_pylist(), part.column(f"text_{side}").to_pylist()):
-                        names.setdefault(i, text)
-                sets = dict(zip(names, textbits.shingle_hashes(
-                    *textbits.word_hashes([t.encode() for t in names.values()]), size)))
-                keep = []
-                for i, j in zip(part.column("a").to_pylist(), part.column("b").to_pylist()):
-                    x, y = sets[i], sets[j]
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    keep.append(ratio[1] * both >= ratio[0] * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
+        unit, held = None, {}
 
+        def result() -> pa.RecordBatch:
+            cids = list(held)
+            sets, signatures = zip(*held.values())
+            pairs = spanning_links(list(sets), np.stack(signatures), percent)
+            return pa.RecordBatch.from_arrays([
+                pa.array([cids[x] for x, _ in pairs], pa.int64()), pa.array([cids[y] for _, y in pairs], pa.int64())], ["a", "b"])
 
-def _residual(least: float):
-    """Pairs across components within one unit of a bucket."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in group["sig"]])
-        one = np.flatnonzero(group["side"].to_numpy() != 1)
-        two = np.flatnonzero(group["side"].to_numpy() != 0)
-        cid, comp = group["cid"].to_numpy(), group["comp"].to_numpy()
-        found = []
-        for i in one:
-            near = two[((sig[two] == sig[i]).mean(axis=1) >= least) & (comp[two] != comp[i]) & (cid[two] != cid[i])]
-            found += [(max(cid[i], cid[j]), min(cid[i], cid[j])) for j in near]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("group", "lo", "hi"))))
+            for key, cid, raw, sig in zip(keys, batch.column("cid").to_pylist(), batch.column("set"), batch.column("sig")):
+                if key != unit:
+                    if len(held) > 1:
+                        yield result()
+                    unit, held = key, {}
+                held[cid] = np.frombuffer(raw.as_buffer(), dtype=np.uint64), np.frombuffer(sig.as_buffer(), dtype=np.uint8)
+        if len(held) > 1:
+            yield result()
     return run
 
 
@@ -148,68 +187,29 @@ def near_duplicates(
     common.ship(spark)
     keyed = common.keyed(docs, id_col, text_col)
     signed, _ = settled(keyed.mapInArrow(_sign(shingle, bands, rows), SIGNED), "signed")
-    ratio, near = (percent, 100), percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     real = signed.where((F.col("n_shingles") > 0) & (F.col("k1") != common.NO_ID))
-    first = F.min_by(F.struct("k2", "sig", "bands"), F.struct("k1", "k2"))
+    first = F.min_by(F.col("bands"), F.struct("k1", "k2"))
     classes, _ = settled(real.groupBy("s1", "s2", "n_shingles").agg(
-        F.min("k1").alias("least"), F.min(F.struct("k1", "k2")).alias("key"), first.alias("x"),
+        F.min(F.struct("k1", "k2")).alias("key"), first.alias("bands"),
     ).select(
-        "s1", "s2", F.col("n_shingles").alias("n"), "key.k1", "key.k2", "x.sig", "x.bands",
+        "s1", "s2", F.col("n_shingles").alias("n"), "key.k1", "key.k2", "bands",
         F.xxhash64("s1", "s2").alias("cid")), "classes")
     place = classes.select("cid", F.posexplode("bands").alias("band", "h")).select(
         "cid", F.xxhash64("band", "h").alias("bucket"))
-    busy = place.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members, _ = settled(place.join(busy, "bucket"), "members")
-    wanted = members.select("cid").distinct()
-    chosen = classes.join(wanted, "cid").select("cid", "k1", "k2")
-    texts, _ = settled(
-        keyed.join(chosen, ["k1", "k2"]).groupBy("cid").agg(F.first("text").alias("text")), "texts")
-    small = classes.select("cid", "n", "sig")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b), those linked; few rows, but wide."""
-        pairs = pairs.distinct()
-        for side in "ab":
-            pairs = pairs.join(small.select(
-                F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
-        passed, _ = settled(pairs.mapInArrow(_alike(near, ratio), "a long, b long"), "alike")
-        for side in "ab":
-            passed = passed.join(texts.select(F.col("cid").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return settled(passed.mapInArrow(_confirm(shingle, ratio), "a long, b long"), "linked")[0]
-
-    links, comp = None, None
-    for _ in range(2):
-        placed = members.withColumn("comp", F.col("cid")) if comp is None else members.join(
-            comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        if comp is not None:
-            ends = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            placed, _ = settled(placed.join(ends.where("lo <> hi"), "bucket"), "open")
-            if placed.isEmpty():
-                break
-            # A hub outside the first hub's component.
-            hub = placed.where("comp <> lo").groupBy("bucket").agg(
-                F.min(F.struct("cid", "comp")).alias("hub")).select("bucket", "hub.*")
-        else:
-            hub = placed.groupBy("bucket").agg(F.min("cid").alias("cid"), F.min("comp").alias("comp"))
-        hub = hub.select("bucket", F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
-        pairs = placed.join(hub, "bucket").where("comp <> hub_comp").select(
-            F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b"))
-        fresh = confirmed(pairs)
-        links = fresh if links is None else links.union(fresh)
-        comp, _ = settled(components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp")), "comp")
-    placed = members.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    ends = placed.groupBy("bucket").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("blocks"))
-    rest, _ = settled(placed.join(ends.where("lo <> hi"), "bucket").join(small, "cid"), "rest")
-    if not rest.isEmpty():
-        own = F.pmod(F.col("cid"), F.col("blocks")).cast("int")
-        units = rest.withColumn("own", own).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "bucket", "cid", "comp", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-        pairs = units.groupBy("bucket", "lo", "hi").applyInPandas(_residual(near), "a long, b long")
-        links = links.union(confirmed(pairs))
-        comp, _ = settled(components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp")), "comp")
+    hubs, _ = settled(place.groupBy("bucket").agg(
+        F.min("cid").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "hubs")
+    stars = place.join(hubs, "bucket").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    groups, _ = settled(components(stars).select(
+        F.col("node").alias("cid"), F.col("component").alias("group")).join(classes.drop("bands", "s1", "s2"), "cid"), "groups")
+    sizes, _ = settled(groups.groupBy("group").agg(
+        F.ceil(8 * F.sum("n") / UNIT).cast("int").alias("blocks")), "group-sizes")
+    chosen = groups.join(sizes, "group").select("k1", "k2", "cid", "group", "blocks")
+    sets = keyed.join(chosen, ["k1", "k2"]).mapInArrow(
+        _sets(shingle, bands * rows), "group long, lo int, hi int, cid long, set binary, sig binary")
+    unit = ["group", "lo", "hi"]
+    links, _ = settled(sets.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(
+        _link(percent), "a long, b long"), "links")
+    comp, _ = settled(components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp")), "comp")
     least = comp.join(classes.select("cid", "k1"), "cid").groupBy("comp").agg(F.min("k1").alias("component_id"))
     found = comp.join(least, "comp").select("cid", "component_id")
     ids = classes.join(found, "cid", "left").select("s1", "s2", F.coalesce("component_id", "k1").alias("component_id"))
