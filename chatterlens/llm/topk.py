@@ -53,18 +53,39 @@ def _blocks(size: int):
     return run
 
 
+#: Queries and candidates of one strip of scores: 4 MB, and as much for its products.
+STRIP = (256, 4096)
+
+
+def score_type(queries: np.ndarray, candidates: np.ndarray) -> type:
+    """The narrower integer type if no sum of products can leave it."""
+    width = min(queries.shape[1], candidates.shape[1])
+    most = [int(np.abs(m).max(initial=0)) for m in (queries, candidates)]
+    return np.int32 if width * most[0] * most[1] < 2**31 and max(most) < 2**31 else np.int64
+
+
 def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Inner products, one term (dimension) after the other."""
-    out = np.zeros((len(queries), len(candidates)), dtype=np.int64)
-    for term in range(min(queries.shape[1], candidates.shape[1])):
-        postings = np.flatnonzero(candidates[:, term])
-        rows = np.flatnonzero(queries[:, term])
-        if len(postings) and len(rows):
-            product = np.multiply.outer(queries[rows, term], candidates[postings, term])
-            if len(postings) == out.shape[1] and len(rows) == out.shape[0]:
-                out += product
+    kind = score_type(queries, candidates)
+    terms = min(queries.shape[1], candidates.shape[1])
+    by_term = [np.ascontiguousarray(m[:, :terms].T, dtype=kind) for m in (queries, candidates)]
+    used = [[np.flatnonzero(row) for row in m] for m in by_term]
+    out = np.zeros((len(queries), len(candidates)), dtype=kind)
+    for first in range(0, len(candidates), STRIP[1]):
+        there = slice(first, first + STRIP[1])
+        strip = out[:, there]
+        product = np.empty(strip.shape, dtype=kind)
+        for term in range(terms):
+            rows, postings = used[0][term], used[1][term]
+            if not len(rows) or not len(postings):
+                continue
+            if 2 * len(rows) > strip.shape[0] and 2 * len(postings) > len(candidates):
+                # Nearly all rows hold the term: its zeros cost less than picking the rest.
+                np.multiply(by_term[0][term][:, None], by_term[1][term][there], out=product)
+                strip += product
             else:
-                out[np.ix_(rows, postings)] += product
+                near = postings[(postings >= first) & (postings < first + STRIP[1])]
+                strip[np.ix_(rows, near - first)] += np.multiply.outer(by_term[0][term][rows], by_term[1][term][near])
     return out
 
 
@@ -84,8 +105,8 @@ def _search(k: int):
                 order = np.argsort(cids, kind="stable")
                 cids, c, place = cids[order], c[order], np.argsort(order, kind="stable")
                 found = [[], [], [], []]
-                for first in range(0, len(q), 256):
-                    s = scores(q[first: first + 256], c)
+                for first in range(0, len(q), STRIP[0]):
+                    s = scores(q[first: first + STRIP[0]], c)
                     for i, row in enumerate(s):
                         mine = int(rows[first + i])
                         keep = np.ones(len(row), dtype=bool)
