@@ -296,3 +296,11 @@ def test_url_templates_reject_by_purity(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, bad int")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(frame, [], F.col("bad")).collect()}
     assert got[100] == "block" and got[101] == "allow"
+
+
+def test_topk_scores_are_exact_in_either_integer_type():
+    rng = np.random.default_rng(3)
+    for most, density, kind in ((40, 1.0, np.int32), (40, 0.1, np.int32), (2**28, 0.8, np.int64)):
+        q, c = (rng.integers(-most, most + 1, (n, 9)) * (rng.random((n, 9)) < density) for n in (7, topk.STRIP[1] + 5))
+        assert topk.score_type(q, c) is kind
+        assert (topk.scores(q, c) == q @ c.T).all()
