@@ -5,8 +5,10 @@ symbols of their own, all others share one symbol and are told apart by their
 unigram share, so the model is a proper distribution over every text and its
 size is bounded. Baum-Welch runs over all training texts: each partition
 gathers expected counts, Spark adds them up by symbol, and the driver
-re-estimates a bounded table. Long texts are cut into segments for training
-only; the score is the exact forward likelihood of the whole text.
+re-estimates a bounded table. Training texts are cut into words once and
+written as symbol numbers, which every round reads. Long texts are cut into
+segments for training only; the score is the exact forward likelihood of the
+whole text.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterlens.llm import common, textbits
-from chatterlens.session import settled
+from chatterlens.session import discard, settled
 
 #: Words with counts at hand in every task; the rest is joined.
 COUNTED = 1 << 20
 #: Words that are symbols of the model.
+#: Tokens that one call of the recursion works on; a longer text is a call of its own.
+TOKENS = 400_000
 SYMBOLS = 1 << 16
 SEGMENT = 128
 END = int(textbits.mix(np.array([0xE0D], dtype=np.uint64))[0])
@@ -117,18 +121,43 @@ def forward_backward(
         shares[first[:n] + t] = ahead[t] * back
     starts = (ahead[0] * back)[fresh[order]].sum(axis=0)
     return shares, moves * move, starts
+def _symbols(sent):
+    """Symbol numbers of every text, with its end, as 32-bit integers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Lookup(sent.value)
+        for batch in batches:
+            for _, texts in textbits.blocks(batch.column("text")):
+                words, bounds = _tokens(texts)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), len(texts), [
+                    None, pa.py_buffer(4 * bounds), pa.py_buffer(find(words).astype(np.uint32))]).cast(pa.binary())], ["symbols"])
+    return run
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols of whole texts, about TOKENS at a time, and the texts' lengths."""
+    if not len(column):
+        return
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset: column.offset + len(column) + 1] // 4
+    data = np.frombuffer(data, dtype=np.uint32)
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + TOKENS, side="right")) - 1)
+        yield data[bounds[at]: bounds[stop]].astype(np.int64), np.diff(bounds[at: stop + 1])
+        at = stop
+
+
 
 
 def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        find, start, move, emit = Lookup(m["keys"]), *(m[k].astype(np.float32) for k in ("start", "move", "emit"))
+        start, move, emit = (m[k].astype(np.float32) for k in ("start", "move", "emit"))
         states, many = len(start), len(m["keys"]) + 1
         sums, moves, starts = np.zeros((states, many)), np.zeros((states, states)), np.zeros(states)
         for batch in batches:
-            for _, texts in textbits.blocks(batch.column("text")):
-                words, bounds = _tokens(texts)
-                symbols, n = find(words), np.diff(bounds)
+            for symbols, n in _runs(batch.column("symbols")):
                 parts = -(-n // SEGMENT)
                 doc = np.repeat(np.arange(len(n)), parts)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -224,6 +253,9 @@ def train(
     share = (values[np.isin(keys, chosen)] + 1.0) / (tokens + types + 1.0)
     share = np.append(share, max(1.0 - share.sum(), 1e-300))
     make = np.random.Generator(np.random.PCG64(seed))
+    sent = spark.sparkContext.broadcast(chosen)
+    numbered, path = settled(texts.mapInArrow(_symbols(sent), "symbols binary"), "symbols")
+    sent.unpersist()
     # Words lean to states at random; texts then choose the states that suit their words.
     emit = share[:, None] * np.exp(0.5 * make.standard_normal((len(share), states)))
     model = {
@@ -235,7 +267,7 @@ def train(
     for _ in range(rounds if tokens else 0):
         sent = spark.sparkContext.broadcast(model)
         # At most SYMBOLS + states + 2 rows come back.
-        found = texts.mapInArrow(_expect(sent), f"row long, {columns}").groupBy("row").agg(*sums).toArrow()
+        found = numbered.mapInArrow(_expect(sent), f"row long, {columns}").groupBy("row").agg(*sums).toArrow()
         sent.unpersist()
         table = np.zeros((len(share) + states + 1, states))
         table[found.column("row").to_numpy()] = np.stack([found.column(f"s{k}").to_numpy() for k in range(states)], axis=1)
@@ -246,6 +278,7 @@ def train(
         model |= {
             "emit": emit / emit.sum(axis=0), "move": moves / moves.sum(axis=1, keepdims=True),
             "start": starts / starts.sum()}
+    discard(spark, path)
     return model, counts
 
 
