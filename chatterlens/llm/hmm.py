@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 from chatterlens.llm import common, textbits
 from chatterlens.session import discard, settled
 
-#: Words with counts at hand in every task; the rest is joined.
-COUNTED = 1 << 20
-#: Words that are symbols of the model.
-#: Tokens that one call of the recursion works on; a longer text is a call of its own.
-TOKENS = 400_000
+#: Words that are symbols of the model, with counts at hand in every task; counts of the rest are joined.
 SYMBOLS = 1 << 16
 SEGMENT = 128
+#: Tokens that one call of the recursion works on; a longer text is a call of its own.
+TOKENS = 400_000
 END = int(textbits.mix(np.array([0xE0D], dtype=np.uint64))[0])
 
 
@@ -121,6 +119,8 @@ def forward_backward(
         shares[first[:n] + t] = ahead[t] * back
     starts = (ahead[0] * back)[fresh[order]].sum(axis=0)
     return shares, moves * move, starts
+
+
 def _symbols(sent):
     """Symbol numbers of every text, with its end, as 32-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +148,6 @@ def _runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = stop
 
 
-
-
 def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -179,8 +177,7 @@ def _expect(model):
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        counted, find = Lookup(m["counted"]), Lookup(m["keys"])
-        counts = np.append(m["counts"], 0)
+        find, counts = Lookup(m["keys"]), np.append(m["counts"], 0)
         logs = np.log10(counts + 1.0)
         other = len(m["keys"])
         base_log, other_log = np.log10(m["tokens"] + m["types"] + 1.0), m["other_log"]
@@ -193,14 +190,13 @@ def _score(model):
                     if size > 3_000_000:
                         break
                     words, bounds = _tokens(texts)
-                    place, own = counted(words), find(words).astype(np.int32)
-                    log, cut = logs[place], bounds[:-1]
+                    own = find(words).astype(np.int32)
+                    far, log, cut = own == other, logs[own], bounds[:-1]
                     symbols.append(own)
                     n.append(np.diff(bounds))
                     base.append(np.add.reduceat(log, cut))
-                    rest.append(np.add.reduceat(np.where(own == other, log - other_log, 0.0), cut))
-                    known.append(np.add.reduceat((counts[place] > 0).astype(np.int64), cut))
-                    far = place == len(counts) - 1
+                    rest.append(np.add.reduceat(np.where(far, -other_log, 0.0), cut))
+                    known.append(np.add.reduceat((~far).astype(np.int64), cut))
                     tail += [words[a:b][far[a:b]].view(np.int64).tolist() for a, b in zip(bounds[:-1], bounds[1:])]
                     size += len(words)
                     at = held + first + len(texts)
@@ -239,29 +235,27 @@ def train(
 ) -> tuple[dict, DataFrame]:
     """A model of all ``texts`` and the table of all word counts (``h, c``).
 
-    The model holds at most COUNTED counts and SYMBOLS x states emissions.
+    The model holds at most SYMBOLS counts and SYMBOLS x states emissions.
     Emissions are smoothed towards the unigram shares by ``weight`` tokens.
     """
     counts, _ = settled(texts.mapInArrow(_count(), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(COUNTED).toArrow()
-    keys = top.column("h").to_numpy().view(np.uint64)
-    values = top.column("c").to_numpy()
-    chosen = np.sort(keys[:SYMBOLS])
+    top = counts.orderBy(F.desc("c"), "h").limit(SYMBOLS).toArrow()
+    keys, values = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    share = (values[np.isin(keys, chosen)] + 1.0) / (tokens + types + 1.0)
+    share = (values + 1.0) / (tokens + types + 1.0)
     share = np.append(share, max(1.0 - share.sum(), 1e-300))
     make = np.random.Generator(np.random.PCG64(seed))
-    sent = spark.sparkContext.broadcast(chosen)
-    numbered, path = settled(texts.mapInArrow(_symbols(sent), "symbols binary"), "symbols")
-    sent.unpersist()
     # Words lean to states at random; texts then choose the states that suit their words.
     emit = share[:, None] * np.exp(0.5 * make.standard_normal((len(share), states)))
     model = {
-        "counted": keys, "counts": values, "keys": chosen, "tokens": tokens, "types": types,
+        "keys": keys, "counts": values, "tokens": tokens, "types": types,
         "other_log": float(np.log10(share[-1])), "start": np.full(states, 1 / states),
         "move": np.full((states, states), 0.02 / states) + 0.98 * np.eye(states), "emit": emit / emit.sum(axis=0)}
+    sent = spark.sparkContext.broadcast(keys)
+    numbered, path = settled(texts.mapInArrow(_symbols(sent), "symbols binary"), "symbols")
+    sent.unpersist()
     columns = ", ".join(f"s{k} float" for k in range(states))
     sums = [F.sum(F.col(f"s{k}").cast("double")).alias(f"s{k}") for k in range(states)]
     for _ in range(rounds if tokens else 0):
@@ -291,7 +285,7 @@ def score(
     ``is_training`` is a condition on ``doc_id``. Null texts are empty (one end
     token); a null id is kept and scored; repeated rows train as often as they
     occur and are scored alike; other columns are ignored; an empty table gives
-    no rows. Counts of words beyond those every task holds come by a join.
+    no rows. Counts of words that are no symbols come by a join.
     """
     spark = docs.sparkSession
     common.ship(spark)
