@@ -111,21 +111,23 @@ def _edges(text: Column, span: Column) -> Column:
     ))
 
 
-def _word_span(edges: Column, max_tokens: int) -> tuple[Column, Column]:
+def _word_span(edges: Column, max_tokens: int | None) -> tuple[Column, Column]:
     """1-based word numbers of a span. 0 stands for "implicit", "starts between
     words" or beyond the model's positions; a last word that has no number is
     the first word."""
-    usable = edges.isNotNull() & edges["starts"] & (edges["first"] < max_tokens)
+    within = lambda word: F.lit(True) if max_tokens is None else word < max_tokens
+    usable = edges.isNotNull() & edges["starts"] & within(edges["first"])
     first = F.when(usable, edges["first"]).otherwise(0)
     last = edges["first"] + edges["words"] - 1
-    return first, F.when(usable, F.when(edges["ends"] & (last < max_tokens), last).otherwise(first)).otherwise(0)
+    return first, F.when(usable, F.when(edges["ends"] & within(last), last).otherwise(first)).otherwise(0)
 
 
 def target_matrix(
     aligned: Name, text: Name, max_quads: int = schemas.MAX_QUADS,
-    max_tokens: int = schemas.MAX_TOKENS,
+    max_tokens: int | None = None,
 ) -> Column:
-    """First ``max_quads`` aligned labels as rows of six numbers, padded with -1 rows."""
+    """First ``max_quads`` aligned labels as rows of six numbers, padded with -1
+    rows. ``max_tokens`` is the number of positions of a model that has only so many."""
     body = as_col(text)
     measured = F.transform(F.slice(as_col(aligned), 1, max_quads), lambda q: F.struct(
         _edges(body, q["entity_span"]).alias("e"), _edges(body, q["opinion_span"]).alias("o"),

@@ -48,10 +48,13 @@ def any_of(df: DataFrame, column: str, values: list[str] | None) -> DataFrame:
     return df.filter(F.arrays_overlap(column, F.lit(values))) if values else df
 
 
-def newest(df: DataFrame, limit: int, skip: int = 0, ts: str = "timestamp", key: str = "comment_id") -> DataFrame:
-    """A page in descending time; the key settles equal times."""
+def newest(
+    df: DataFrame, limit: int | None, skip: int = 0, ts: str = "timestamp", key: str = "comment_id",
+) -> DataFrame:
+    """A page in descending time, or all rows that follow ``skip``; the key settles equal times."""
     ordered = df.orderBy(F.col(ts).desc(), F.col(key).desc())
-    return (ordered.offset(skip) if skip else ordered).limit(limit)
+    ordered = ordered.offset(skip) if skip else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 # --- labeling backlog -------------------------------------------------------
@@ -91,7 +94,7 @@ def comments_by_video(df: DataFrame, video_id: str | None = None, limit: int = 1
     return newest(equal_to(df, video_id=video_id), limit, skip, ts="created_at")
 
 
-def training_page(df: DataFrame, limit: int = 1000, skip: int = 0, unused_only: bool = True) -> DataFrame:
+def training_page(df: DataFrame, limit: int | None = 1000, skip: int = 0, unused_only: bool = True) -> DataFrame:
     rows = df.filter(~F.col("is_used_for_training")) if unused_only else df
     return newest(rows, limit, skip, ts="consumed_at", key="id")
 

@@ -6,9 +6,9 @@ scorer behind an Arrow UDF.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
@@ -40,31 +40,28 @@ LEXICON = (
     Entry("que", "venue", "Địa điểm", "que", "trung lập"),
     Entry("para", "ads", "Quảng cáo", "para", "tiêu cực"),
 )
-INLINE_LEXICON_LIMIT = 1_000
 QUAD_FIELDS = ("entity", "aspect", "opinion", "sentiment")
 
 
 # --- lexicon ----------------------------------------------------------------
 
 def lexicon_labels(
-    text: sc.Name, lexicon: Sequence[Entry] = LEXICON, max_quads: int = schemas.MAX_QUADS,
+    text: sc.Name, lexicon: Sequence[Entry] = LEXICON, max_quads: int | None = None,
 ) -> Column:
-    """Quads of the lexicon phrases that occur as tokens, the first
-    ``max_quads`` by phrase. A narrow expression for a lexicon small enough to
-    be part of the plan; see :func:`lexicon_join` for larger ones."""
-    if len(lexicon) > INLINE_LEXICON_LIMIT:
-        raise ValueError("lexicon too large to inline; use lexicon_join")
+    """Quads of the lexicon phrases that occur as tokens, by phrase; with
+    ``max_quads`` only the first of them. A narrow expression for a lexicon
+    that is to be part of the plan; :func:`lexicon_join` takes a table."""
     entries = F.create_map(*[part for e in sorted(lexicon) for part in (
         F.lit(e.phrase),
         F.struct(*[F.lit(getattr(e, f)).alias(f) for f in QUAD_FIELDS], F.lit(1.0).alias("confidence")),
     )])
     hits = F.array_sort(F.array_distinct(
         F.filter(sc.tokens(text), lambda t: t.isin([e.phrase for e in lexicon]))))
-    return F.transform(F.slice(hits, 1, max_quads), lambda phrase: entries[phrase])
+    return F.transform(hits if max_quads is None else F.slice(hits, 1, max_quads), lambda phrase: entries[phrase])
 
 
 def lexicon_join(
-    comments: DataFrame, lexicon: DataFrame, max_quads: int = schemas.MAX_QUADS,
+    comments: DataFrame, lexicon: DataFrame, max_quads: int | None = None,
     key: str = "comment_id",
 ) -> DataFrame:
     """The same for a lexicon table of any size: distinct tokens joined on the
@@ -72,11 +69,10 @@ def lexicon_join(
     shuffles, splitting tokens that are too frequent for one task."""
     words = sc.each(comments, F.array_distinct(sc.tokens("text")), "phrase", key)
     hits = words.join(lexicon, "phrase")
-    order = Window.partitionBy(key).orderBy("phrase")
-    return (
-        hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_quads)
-        .select(key, *QUAD_FIELDS)
-    )
+    if max_quads is not None:
+        order = Window.partitionBy(key).orderBy("phrase")
+        hits = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_quads)
+    return hits.select(key, *QUAD_FIELDS)
 
 
 def lexicon_frame(spark: SparkSession, lexicon: Sequence[Entry] = LEXICON) -> DataFrame:
@@ -111,7 +107,7 @@ PREDICTION = T.StructType([
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def lexicon_scorer(lexicon: Sequence[Entry] = LEXICON, max_quads: int = schemas.MAX_QUADS) -> Callable[[], Scorer]:
+def lexicon_scorer(lexicon: Sequence[Entry] = LEXICON, max_quads: int | None = None) -> Callable[[], Scorer]:
     """Loader of a scorer that looks phrases up; stands in for a neural model."""
     def load() -> Scorer:
         cut = re.compile(r"[^\W_]+")
@@ -139,17 +135,24 @@ def _score_batch(scorer: Scorer, texts: list[str]) -> list[tuple[list[Quad], str
 
 def _loaded(key: str, load: Callable[[], Scorer]) -> Scorer:
     """The scorer of a UDF, kept in the interpreter of the Python worker: this
-    module's own globals are shipped anew with every task."""
+    module's own globals are shipped anew with every task. Only the latest is
+    kept, so that models don't pile up."""
     scorers = sys.__dict__.setdefault("_chatterlens_scorers", {})
     if key not in scorers:
+        scorers.clear()
         scorers[key] = load()
     return scorers[key]
 
 
+def loader_key(load: Callable[[], Scorer]) -> str:
+    return hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
+
+
 def labeling_udf(load: Callable[[], Scorer]):
     """Arrow UDF from text to labels and error; the scorer is loaded once per
-    Python worker and called with whole batches."""
-    fields, key = [f.name for f in schemas.LABEL.fields], uuid.uuid4().hex
+    Python worker and called with whole batches. Loaders that pickle alike
+    share it, over queries and micro-batches too."""
+    fields, key = [f.name for f in schemas.LABEL.fields], loader_key(load)
 
     @F.pandas_udf(PREDICTION)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -175,10 +178,10 @@ def label(comments: DataFrame, load: Callable[[], Scorer] | None = None, min_con
 
 def run_labeling(
     spark: SparkSession, input_path: str, output_path: str | None = None, mode: str = "file",
-    limit: int = 1000, load: Callable[[], Scorer] | None = None,
+    limit: int | None = None, load: Callable[[], Scorer] | None = None,
 ) -> DataFrame | None:
     """Read JSON lines, label, then write them (``file``), print some
-    (``console``) or hand back a bounded number of rows (``memory``)."""
+    (``console``) or hand them back, with ``limit`` the first by id (``memory``)."""
     from chatterlens.sources import readers
 
     result = label(readers.json_lines(spark, input_path, "id string, text string"), load)
@@ -188,4 +191,4 @@ def run_labeling(
     if mode == "console":
         result.show(20, truncate=False)
         return None
-    return result.limit(limit)
+    return result if limit is None else result.orderBy("id", "text").limit(limit)

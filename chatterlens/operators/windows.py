@@ -163,10 +163,11 @@ def trending_topics(
 def related_topics(comments: DataFrame, trending: DataFrame, limit: int = 5) -> DataFrame:
     """The topics most often named together with each trending topic.
 
-    ``trending`` is a top list, so it is small by construction and broadcast.
+    Spark decides by the size of ``trending`` how to join. A comment with k
+    topics makes at most k - 1 rows for each trending one among them.
     """
     named = sc.each(comments, F.array_distinct("topics"), "topic", "topics")
-    hits = named.join(F.broadcast(trending.select("topic")), "topic")
+    hits = named.join(trending.select("topic"), "topic")
     others = sc.each(hits, F.array_except("topics", F.array("topic")), "related", "topic")
     counted = others.groupBy("topic", "related").agg(F.count("*").alias("together"))
     best = mt.top_per(counted, ["topic"], "together", "related", limit)

@@ -177,7 +177,7 @@ def _word_sql(position: str) -> str:
     upto = f"regexp_split_to_array(substring(text, 1, {position} + 1), '\\s+')"
     words = f"len(list_filter({upto}, lambda w: w <> ''))"
     return (f"CASE WHEN {position} >= 0 AND NOT regexp_matches(substring(text, {position} + 1, 1), '\\s') "
-            f"AND {words} < 256 THEN {words} ELSE 0 END")
+            f"THEN {words} ELSE 0 END")
 
 
 @query("target_matrix", with_views(f"""

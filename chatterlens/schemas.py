@@ -75,6 +75,5 @@ ASPECT_IDS = {
 SENTIMENT_WEIGHT = 0.6
 ENGAGEMENT_WEIGHT = 0.4
 MAX_QUADS = 4
-MAX_TOKENS = 256
 RETENTION_DAYS = {"comments": 90, "metrics": 30, "trends": 7, "anomalies": 7, "events": 7}
 CURRENT_SCORE_TTL_SECONDS = 3600

@@ -116,8 +116,10 @@ def read(spark: SparkSession, path: str, start=None, end=None, ts: str = "timest
 
 def last_wins(df: DataFrame, key: str, version: str) -> DataFrame:
     """The newest version per id, by partial aggregation: many copies of one id
-    collapse before the shuffle."""
-    packed = F.max_by(F.struct(*df.columns), F.struct(version)).alias("row")
+    collapse before the shuffle. Of equal versions the one labeled last wins,
+    then the greatest hash of the row."""
+    order = [version, *(c for c in ("predicted_at",) if c in df.columns), F.xxhash64(*df.columns)]
+    packed = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row")
     return df.groupBy(F.col(key).alias("_key")).agg(packed).select("row.*")
 
 
@@ -225,7 +227,8 @@ def clear(spark: SparkSession, path: str, table: str, condition: Column) -> int:
     return sum(hits.values())
 
 
-def export_training(training: DataFrame, path: str, limit: int = 10_000, unused_only: bool = True) -> None:
+def export_training(training: DataFrame, path: str, limit: int | None = None, unused_only: bool = True) -> None:
+    """All rows for training as JSON, or the first page of ``limit`` rows."""
     filters.training_page(training, limit, unused_only=unused_only).write.mode("overwrite").json(path)
 
 

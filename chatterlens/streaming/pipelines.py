@@ -151,6 +151,8 @@ def report_snapshots(labeled: DataFrame, path: str, checkpoint: str, limit: int
 
 def label_stream(stream: DataFrame, path: str, checkpoint: str, load=None, **run) -> StreamingQuery:
     """Predictions for the comments of each batch that still need labels."""
+    load = load or labeling.lexicon_scorer()
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         todo = batch.filter(lab.needs_labeling()).select("comment_id", "text")
         sinks.write_batch(
@@ -176,7 +178,7 @@ def label_backlog_stream(
         predictions = label_when_due(comments, threshold, load)
         if predictions is not None:
             merged = joins.merge_predictions(
-                filters.backlog(comments), predictions.select("comment_id", "labels"), F.current_timestamp())
+                filters.backlog(comments), predictions.where("error IS NULL").select("comment_id", "labels"), F.current_timestamp())
             store.rewrite(merged, path, "comments", "comment_id")
     return sinks.start(arrivals, on_batch, checkpoint, **run)
 

@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import functions as F
 
 from chatterlens.functions import labels as lab, scalars as sc
-from chatterlens.operators import metrics as mt, rollups, windows
+from chatterlens.operators import labeling, metrics as mt, rollups, windows
 from chatterlens.sources import store
 
 ALPHABET = "abÉéß1_ \t\n.,đĐ"
@@ -96,3 +96,39 @@ def test_many_copies_of_one_id(spark):
         F.col("id").alias("version"), F.concat(F.lit("v"), F.col("id")).alias("text"))
     rows = {r["comment_id"]: r["version"] for r in store.last_wins(df, "comment_id", "version").collect()}
     assert len(rows) == 6001 and rows[0] == 8997 and rows[1] == 1
+
+
+def test_equal_versions_keep_the_labeled_row(spark):
+    rows = "SELECT 1 AS comment_id, 5 AS version, {} AS text, {} AS predicted_at"
+    stamp = "timestamp '2024-01-01'"
+    df = spark.sql(" UNION ALL ".join(
+        rows.format(*pair) for pair in [("'z'", "CAST(NULL AS timestamp)"), ("'a'", stamp), ("'b'", "CAST(NULL AS timestamp)")]))
+    for parts in (1, 3):
+        assert [r["text"] for r in store.last_wins(df.repartition(parts), "comment_id", "version").collect()] == ["a"]
+
+
+def test_lexicon_of_any_size_and_number_of_hits(spark):
+    lexicon = [labeling.Entry(f"w{i}", f"e{i}", "x", f"w{i}", "tích cực") for i in range(1200)]
+    df = spark.createDataFrame([("1", " ".join(f"w{i}" for i in range(0, 1200, 100)))], "comment_id string, text string")
+    expected = {f"e{i}" for i in range(0, 1200, 100)}
+    assert {r["entity"] for r in labeling.quad_rows(df, lexicon).collect()} == expected
+    frame = spark.createDataFrame(lexicon)
+    assert {r["entity"] for r in labeling.lexicon_join(df, frame).collect()} == expected
+    assert labeling.lexicon_join(df, frame, max_quads=4).count() == 4
+
+
+def test_alike_loaders_share_one_scorer(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        with open(log, "a") as out:
+            out.write("x")
+        return lambda texts: [[] for _ in texts]
+
+    df = spark.createDataFrame([("1", "a")], "comment_id string, text string").coalesce(1)
+    for _ in range(3):
+        labeling.label(df, load).collect()
+    with open(log) as found:
+        loads = len(found.read())
+    assert 1 <= loads <= 3
+    assert labeling.loader_key(load) == labeling.loader_key(load)

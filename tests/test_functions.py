@@ -143,10 +143,10 @@ def test_align_and_targets(spark):
 def test_targets_cut_to_four_and_beyond_model(spark):
     text = "w " * 300 + "end"
     df = spark.createDataFrame([(text, [q("end")] * 5)], f"text string, labels {LABEL}")
-    row = df.select(lab.target_matrix(lab.align("labels", "text"), "text").alias("t")).first()
-    assert row["t"] == [[0, 0, 0, 0, 0, 0]] * 4
-    wide = df.select(lab.target_matrix(lab.align("labels", "text"), "text", max_tokens=1000).alias("t")).first()
-    assert wide["t"][0] == [301, 301, 0, 0, 0, 0]
+    model = df.select(lab.target_matrix(lab.align("labels", "text"), "text", max_tokens=256).alias("t")).first()
+    assert model["t"] == [[0, 0, 0, 0, 0, 0]] * 4
+    whole = df.select(lab.target_matrix(lab.align("labels", "text"), "text").alias("t")).first()
+    assert whole["t"] == [[301, 301, 0, 0, 0, 0]] * 4
 
 
 # --- decoding ---------------------------------------------------------------

@@ -123,6 +123,8 @@ def test_stamps_and_export(spark, tmp_path):
     assert stamped.filter("consumed_at is not null and not is_used_for_training").count() == 2
     assert "stored_at" in store.stamped_as_stored(rows).columns
     assert store.stamped_as_submitted(rows, "web").filter("source = 'web' and size(labels) = 0").count() == 2
+    store.export_training(stamped, str(tmp_path / "whole"))
+    assert spark.read.json(str(tmp_path / "whole")).count() == stamped.filter("NOT is_used_for_training").count()
     store.export_training(stamped, str(tmp_path / "export"), limit=1)
     assert spark.read.json(str(tmp_path / "export")).count() == 1
 
