@@ -1,12 +1,12 @@
 """Toxicity by nearest labelled examples.
 
 Terms are lower-cased words and their first 4, 5 and 6 bytes (word stems).
-A bounded sample of labelled texts chooses the terms that mark toxic texts
-(chi-square) and serves as examples; document frequencies are counted over all texts.
-The nearest examples by TF-IDF cosine are found exactly with an inverted index
-in blocks: a block's greatest weight per term bounds every score in it, blocks
-are visited by falling bound, and the search ends when no bound can beat the
-k-th best. Distance-weighted votes are turned into probabilities by a logistic
+A bounded sample of labelled texts serves as examples, with all of their terms;
+document frequencies of these are counted over all texts. A term weighs its TF-IDF
+times one plus the root of its chi-square between the classes. The nearest examples
+by cosine are found exactly: an inverted index adds up every shared term of every
+example. Terms that no example has cannot be shared and don't count to a text's
+length. Distance-weighted votes are turned into probabilities by a logistic
 fit on further labelled texts, which are not examples.
 """
 
@@ -24,12 +24,8 @@ from chatterlens.session import settled
 
 #: Labelled texts of each class that become examples, and as many to calibrate on.
 SAMPLE = 2000
-FEATURES = 1024
-#: Least chi-square of a chosen term (one degree of freedom: 0.16 % by chance).
-CHI_SQUARE = 10.0
 STEMS = (4, 5, 6)
 NEIGHBOURS = 15
-BLOCK = 128
 
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[[c for c in range(256) if c >= 0x80 or chr(c).isalnum()]] = True
@@ -65,28 +61,16 @@ def vectors(texts: list[bytes], features: np.ndarray) -> list[tuple[np.ndarray,
 
 
 class Index:
-    """Examples as unit vectors, in blocks with their greatest weight per term."""
+    """Examples as unit vectors, laid out term by term."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: np.ndarray, idf: np.ndarray):
-        self.idf = idf
-        some = [i for i, (f, _) in enumerate(rows) if len(f)]
-        made = [(rows[i][0], self.unit(*rows[i])) for i in some]
-        # Examples of one class and leading term lie together, which keeps bounds tight.
-        order = sorted(range(len(some)), key=lambda i: (labels[some[i]], made[i][0][np.argmax(made[i][1])], names[some[i]]))
-        self.labels = labels[[some[i] for i in order]].astype(np.float64)
-        self.names = names[[some[i] for i in order]]
-        n = len(order)
-        self.blocks = -(-n // BLOCK)
-        self.bound = np.zeros((len(idf), self.blocks))
-        post: list[dict[int, tuple[list, list]]] = [{} for _ in range(self.blocks)]
-        for at, i in enumerate(order):
-            b = at // BLOCK
-            for f, w in zip(made[i][0].tolist(), made[i][1].tolist()):
-                rows_, weights = post[b].setdefault(f, ([], []))
-                rows_.append(at - b * BLOCK)
-                weights.append(w)
-                self.bound[f, b] = max(self.bound[f, b], w)
-        self.post = [{f: (np.array(r), np.array(w)) for f, (r, w) in p.items()} for p in post]
+        self.idf, self.labels, self.names = idf, labels.astype(np.float64), names
+        none = np.zeros(0, dtype=np.int64)
+        feature = np.concatenate([none, *(f for f, _ in rows)])
+        order = np.argsort(feature, kind="stable")
+        self.rows = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in rows])[order]
+        self.weights = np.concatenate([np.zeros(0), *(self.unit(*r) for r in rows)])[order]
+        self.begin = np.searchsorted(feature[order], np.arange(len(idf) + 1))
 
     def unit(self, features: np.ndarray, times: np.ndarray) -> np.ndarray:
         w = (1 + np.log(times)) * self.idf[features]
@@ -94,24 +78,18 @@ class Index:
 
     def nearest(self, features: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples with a term in common."""
-        if not len(features) or not self.blocks:
+        if not len(features) or not len(self.rows):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        w = self.unit(features, times)
-        bound = w @ self.bound[features]
-        places, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1]):
-                break
-            score, post = np.zeros(min(BLOCK, len(self.labels) - b * BLOCK)), self.post[b]
-            for f, x in zip(features.tolist(), w.tolist()):
-                if f in post:
-                    rows, weights = post[f]
-                    score[rows] += x * weights
-            some = np.flatnonzero(score > 0)
-            places, best = np.concatenate([places, some + b * BLOCK]), np.concatenate([best, score[some]])
-            order = np.lexsort((self.names[places], -best))[:k]
-            places, best = places[order], best[order]
-        return places, best
+        first = self.begin[features]
+        count = self.begin[features + 1] - first
+        place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        score = np.bincount(
+            self.rows[place], np.repeat(self.unit(features, times), count) * self.weights[place], len(self.names))
+        some = np.flatnonzero(score > 0)
+        if len(some) > k:
+            some = some[score[some] >= np.partition(score[some], -k)[-k]]
+        some = some[np.lexsort((self.names[some], -score[some]))[:k]]
+        return some, score[some]
 
     def votes(self, features: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """What the calibration sees, and the neighbours' places."""
@@ -135,6 +113,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return b
 
 
+def chi_square(a: np.ndarray, c: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """Of terms in ``a`` of ``pos`` toxic and ``c`` of ``neg`` other texts; 0 if it is not defined."""
+    below = float(pos) * neg * (a + c) * (pos + neg - a - c)
+    return (a * neg - c * pos) ** 2 * (pos + neg) / np.where(below > 0, below, np.inf)
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as slices of one array."""
+    flat = pa.concat_arrays([pa.array([], column.type), *column.chunks])
+    return np.split(flat.flatten().to_numpy(), flat.offsets.to_numpy()[1:-1] - flat.offsets[0].as_py()) if len(flat) else []
+
+
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in textbits.blocks(batch.column("text")):
@@ -156,7 +146,8 @@ def _frequencies(features: np.ndarray):
                     df[found] += 1
                 n += len(texts)
         df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["f", "df"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["f", "df"])
     return run
 
 
@@ -170,6 +161,18 @@ def _probabilities(texts: list[bytes], model: dict) -> tuple[np.ndarray, list[li
     return 1 / (1 + np.exp(-np.clip(np.stack(seen) @ b[:-1] + b[-1], -30, 30))), evidence
 
 
+def _votes(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for first, texts in textbits.blocks(batch.column("text")):
+                x = np.stack([model["index"].votes(*v, model["neighbours"])[0] for v in vectors(texts, model["features"])])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("toxic").slice(first, len(texts)), *(pa.array(x[:, i]) for i in range(3))],
+                    ["toxic", "x0", "x1", "x2"])
+    return run
+
+
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,15 +193,15 @@ def _drawn(labels: DataFrame, toxic: int, role: int, sample: int) -> DataFrame:
 
 def fit(
     docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, sample: int = SAMPLE,
-    features: int = FEATURES, neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text",
+    neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text",
 ):
     """The model of :func:`score` and :func:`without_toxic`, sent to all tasks.
 
     ``labels`` has ``doc_id`` and ``toxic``; ``may_learn`` is a condition on
     ``doc_id``. Null ids are never learned from; of contradicting labels the
     toxic one counts. Without labels of both classes the model gives every text
-    the share of label 1 (0 without any). Everything that travels to tasks or
-    the driver is bounded by ``sample`` and ``features``.
+    the share of label 1 (0 without any). What travels to tasks and the driver
+    are the terms of at most four times ``sample`` texts.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -215,40 +218,39 @@ def fit(
     texts = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "role", "toxic", "text")
     learned, _ = settled(texts.mapInArrow(
         _terms_of, "doc_id long, role int, toxic int, text string, terms array<long>"), "examples")
-    sizes = {r["toxic"]: r["count"] for r in learned.where("role = 0").groupBy("toxic").count().collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    a, c = F.col("a"), F.col("c")
-    both = a + c
-    split = (a * neg - c * pos) * (a * neg - c * pos) * (pos + neg) / (
-        F.lit(float(max(pos, 1)) * max(neg, 1)) * both * (pos + neg - both + 1))
-    picked = learned.where("role = 0").select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c")).where(
-        (both >= 3) & (a * neg > c * pos) & (split >= CHI_SQUARE)).orderBy(F.desc(split), "term").limit(features)
-    chosen_terms = np.sort(picked.select("term").toArrow().column(0).to_numpy().view(np.uint64))
-    counted = rows.select("text").mapInArrow(_frequencies(chosen_terms), "f long, df long").groupBy("f").agg(
+    known_terms = learned.where("role = 0").select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c")).toArrow()
+    every, a, c = (known_terms.column(x).to_numpy() for x in ("term", "a", "c"))
+    order = np.argsort(every.view(np.uint64))
+    every, a, c = every.view(np.uint64)[order], a[order].astype(np.float64), c[order].astype(np.float64)
+    counted = rows.select("text").mapInArrow(_frequencies(every), "f long, df long").groupBy("f").agg(
         F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(chosen_terms) + 1)
+    df = np.zeros(len(every) + 1)
     df[counted.column("f").to_numpy()] = counted.column("df").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    small = learned.select("doc_id", "role", "toxic", "text").mapInArrow(
-        _sparse(chosen_terms), "doc_id long, role int, toxic int, f array<long>, n array<long>").toArrow().to_pylist()
-    small.sort(key=lambda x: x["doc_id"])
-    sparse = [(np.array(x["f"], dtype=np.int64), np.array(x["n"], dtype=np.int64)) for x in small]
-    role, toxic, names = (np.array([x[c] for x in small], dtype=np.int64) for c in ("role", "toxic", "doc_id"))
-    mine = np.flatnonzero(role == 0)
-    index = Index([sparse[i] for i in mine], toxic[mine], names[mine], idf)
-    test = np.flatnonzero(role == 1)
+    small = learned.where("role = 0").select("doc_id", "toxic", "text").mapInArrow(
+        _sparse(every), "doc_id long, toxic int, f array<int>, n array<int>").toArrow().sort_by("doc_id")
+    sparse = list(zip(*(_lists(small.column(x)) for x in ("f", "n"))))
+    toxic, names = (small.column(x).to_numpy().astype(np.int64) for x in ("toxic", "doc_id"))
+    weight = idf * (1 + np.sqrt(chi_square(a, c, toxic.sum(), (1 - toxic).sum())))
+    model = {"index": Index(sparse, toxic, names, weight), "features": every, "neighbours": neighbours}
+    del small, sparse
+    sent = spark.sparkContext.broadcast(model)
+    seen = learned.where("role = 1").select("toxic", "text").mapInArrow(
+        _votes(sent), "toxic int, x0 double, x1 double, x2 double").toArrow()
+    sent.unpersist()
     everything = share.get(0, 0) + share.get(1, 0)
     prior = (share.get(1, 0) + 1e-6) / (everything + 1e-3) if everything else 1e-6
     coefficients = np.array([0.0, 0.0, 0.0, np.log(prior / max(1 - prior, 1e-6))])
-    if len(test) and len(set(toxic[test].tolist())) == 2:
-        x = np.stack([index.votes(*sparse[i], neighbours)[0] for i in test])
-        y = toxic[test].astype(float)
+    y = seen.column("toxic").to_numpy().astype(float)
+    if 0 < y.sum() < len(y):
+        x = np.column_stack([seen.column(f"x{i}").to_numpy() for i in range(3)])
+        order = np.lexsort((*x.T, y))  # The sums don't depend on the order of rows.
+        x, y = x[order], y[order]
         # Classes weigh as much as they occur among all labels.
         weight = np.where(y == 1, share[1] / y.sum(), share[0] / (1 - y).sum())
         coefficients = fit_logistic(x, y, weight / weight.mean())
-    return spark.sparkContext.broadcast(
-        {"index": index, "features": chosen_terms, "coefficients": coefficients, "neighbours": neighbours})
+    return spark.sparkContext.broadcast({**model, "coefficients": coefficients})
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +258,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
     ``score`` is the probability of label 1, ``predicted`` is 1 from 0.5 on,
     ``evidence`` the ids of the nearest examples. Null and empty texts, and
-    texts without a chosen term, have no neighbours and get the score of such
+    texts without a term of any example, have no neighbours and get the score of such
     texts; null ids stay null; repeated rows are scored alike; an empty table
     gives no rows; other columns are ignored. There is no shuffle.
     """
@@ -283,7 +285,7 @@ def _sparse(features: np.ndarray):
             for first, texts in textbits.blocks(batch.column("text")):
                 made = vectors(texts, features)
                 yield pa.RecordBatch.from_arrays([
-                    *(batch.column(c).slice(first, len(texts)) for c in ("doc_id", "role", "toxic")),
-                    pa.array([f for f, _ in made], pa.list_(pa.int64())), pa.array([n for _, n in made], pa.list_(pa.int64()))],
-                    ["doc_id", "role", "toxic", "f", "n"])
+                    *(batch.column(c).slice(first, len(texts)) for c in ("doc_id", "toxic")),
+                    pa.array([f for f, _ in made], pa.list_(pa.int32())), pa.array([n for _, n in made], pa.list_(pa.int32()))],
+                    ["doc_id", "toxic", "f", "n"])
     return run

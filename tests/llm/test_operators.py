@@ -258,6 +258,19 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("score > 0.01").count() == 0
 
 
+def test_toxicity_compares_all_terms(spark):
+    """Texts whose words mark no class, or are rare, still find their neighbours."""
+    rows = [(i, " ".join(f"{'bad' if i % 4 == 0 else 'fine'}{i // 8}x{j}" for j in range(6))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS toxic"))
+    text, examples = dict(rows), set(model.value["index"].names.tolist())
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.score(docs, model).collect()}
+    assert {i % 4 for i in examples} == {0, 1, 2, 3}
+    for i, near in got.items():
+        like = {j for j in examples if text[j] == text[i]}
+        assert set(near[: len(like)]) == like
+
+
 def test_nearest_is_exact():
     make = np.random.default_rng(6)
     rows = [(np.sort(make.choice(50, 8, replace=False)), make.integers(1, 4, 8)) for _ in range(500)]
