@@ -26,12 +26,14 @@ def ingest(messages: DataFrame, path: str, bad_path: str, checkpoint: str, **run
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 hour", ts: str = "timestamp", key: str = "comment_id") -> DataFrame:
-    """First row per id among those arriving within the delay."""
+    """First row per id among those arriving within the delay. Rows older than the
+    watermark are dropped, so this is not for what :func:`store_new` stores."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def store_new(stream: DataFrame, path: str, checkpoint: str, key: str = "comment_id", **run) -> StreamingQuery:
-    """Append only ids no earlier batch has stored, however long ago."""
+    """Append only ids no earlier batch has stored, however long ago. Copies within
+    a batch are settled too; the stream needs no watermark."""
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         stored = sinks.earlier_batches(batch.sparkSession, path, batch_id)
         fresh = batch.dropDuplicates([key]) if stored is None else joins.not_stored(batch, stored, key)

@@ -82,6 +82,19 @@ def test_store_skips_ids_older_than_the_watermark(spark, stream, folders, tmp_pa
     assert sinks.read_batches(spark, path).count() == 400
 
 
+def test_dedupe_query_stores_ids_that_come_late(spark, tmp_path, monkeypatch):
+    from chatterlens.plans import streams
+
+    source = tmp_path / "late-ids"
+    schema = "comment_id string, program_id string, timestamp timestamp"
+    for ident, days in (("new", 0), ("next", 0), ("old", 30), ("new", 0), ("old", 30)):
+        row = [(ident, "p", END - timedelta(days=days))]
+        spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(str(source))
+    one_by_one = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    monkeypatch.setattr(streams.tables, "comment_stream", lambda *_: one_by_one.parquet(str(source)))
+    assert [tuple(r) for r in streams.stream_dedupe(spark, "").collect()] == [("p", 3)]
+
+
 def test_late_rows_are_counted(spark, tmp_path, folders):
     source = tmp_path / "late"
     schema = "comment_id string, timestamp timestamp"
