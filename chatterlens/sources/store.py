@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from chatterlens import schemas
 from chatterlens.functions import scalars as sc
@@ -114,11 +114,31 @@ def read(spark: SparkSession, path: str, start=None, end=None, ts: str = "timest
 
 # --- changing ---------------------------------------------------------------
 
+def comparable(value: Column, kind: DataType) -> Column:
+    """The value with every map in it, however deep, as its entries sorted by
+    key: maps themselves can be neither hashed nor ordered."""
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(
+            e["key"].alias("key"), comparable(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda item: comparable(item, kind.elementType))
+    if isinstance(kind, StructType):
+        fields = [comparable(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of all columns, the same for equal rows whatever the order of their maps."""
+    return F.xxhash64(*[comparable(F.col(f.name), f.dataType) for f in df.schema.fields])
+
+
 def last_wins(df: DataFrame, key: str, version: str) -> DataFrame:
     """The newest version per id, by partial aggregation: many copies of one id
     collapse before the shuffle. Of equal versions the one labeled last wins,
     then the greatest hash of the row."""
-    order = [version, *(c for c in ("predicted_at",) if c in df.columns), F.xxhash64(*df.columns)]
+    order = [version, *(c for c in ("predicted_at",) if c in df.columns), row_hash(df)]
     packed = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row")
     return df.groupBy(F.col(key).alias("_key")).agg(packed).select("row.*")
 

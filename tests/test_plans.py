@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from chatterlens.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
-BATCH = [name for name in entry.queries() if not name.startswith(("stream_", "store_"))]
+BATCH = [name for name in registry.QUERIES if not name.startswith(("stream_", "store_"))]
 
 
 def plan_of(spark, name):

@@ -142,3 +142,26 @@ def test_sorted_set_changes(spark):
     keyed = lambda df: {(r["time_range"], r["topic"]): r["score"] for r in df.collect()}
     assert keyed(store.replace_scores(stored, new)) == {("5min", "a"): 7.0, ("5min", "b"): 2.0, ("1hour", "c"): 3.0}
     assert keyed(store.increment_scores(stored, new)) == {("5min", "a"): 13.0, ("5min", "b"): 2.0, ("1hour", "c"): 3.0}
+
+
+def test_equal_versions_with_maps_are_settled_alike(spark, tmp_path):
+    """The declared comment has a map; of equal versions one wins, in any order of rows and entries."""
+    def comment(text, meta):
+        return spark.createDataFrame([("a", text, meta)], "comment_id string, text string, metadata map<string,string>")
+    one = comment("x", {"k": "1", "l": "2"})
+    turned = comment("x", {"l": "2", "k": "1"})
+    other = comment("y", {"k": "1"})
+    assert one.select(store.row_hash(one)).first() == turned.select(store.row_hash(turned)).first()
+    nested = spark.createDataFrame([([{"k": 1}], None)], "a array<map<string,int>>, s struct<m:map<string,int>>")
+    assert nested.select(store.row_hash(nested)).first()[0] is not None
+    path = str(tmp_path / "maps")
+    stamp = F.lit(datetime(2024, 5, 1))
+    rows = [store.conform(d.withColumns({"timestamp": stamp, "created_at": stamp}), schemas.COMMENT)
+            for d in (one, other)]
+    winners = {store.last_wins(a.unionByName(b), "comment_id", "created_at").first()["text"]
+               for a, b in (rows, rows[::-1])}
+    assert len(winners) == 1
+    for d in (*rows, *rows[::-1]):
+        store.upsert_or_create(d, path, "comments", "comment_id", "created_at")
+        assert store.read(spark, path).count() == 1
+    assert store.read(spark, path).first()["text"] in winners
