@@ -90,6 +90,17 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def encoded(buf: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The words' numbers in a dictionary of their distinct bytes, and it.
+    ``inside`` marks the bytes that belong to words."""
+    offsets = np.zeros(len(begin) + 1, dtype=np.int64)
+    np.cumsum(end - begin, out=offsets[1:])
+    words = pa.Array.from_buffers(
+        pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])])
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every lower-cased word and, per text, where its words begin
     (one entry more than texts)."""
