@@ -46,7 +46,7 @@ PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 INSIDE = ~PIECE_END
 INSIDE[[0x20, 0x09]] = False
 END = re.compile(rb"[.,;:!?\x0A-\x0D]")
-PACKETS = "bucket bigint, lang string, words int, frequent boolean, phrases binary, counts binary, lengths binary"
+PACKETS = "bucket bigint, lang string, words int, frequent boolean, phrases binary, lengths binary, counts binary"
 FOUND = "bucket bigint, lang string, words int, phrase string, f bigint"
 
 
@@ -106,6 +106,7 @@ class Shard:
 
 def _packets(shard: Shard, lang: str, buckets: int, least: int, second: bool) -> Iterator[tuple]:
     """The phrases of at least (second pass: below) the local support, by bucket."""
+    press = zstandard.ZstdCompressor(level=1).compress
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in shard.dictionary.to_pylist()], dtype=np.uint64)
     for words, places, counts in shard.counted():
         chosen = np.flatnonzero(counts < least if second else counts >= least)
@@ -122,24 +123,7 @@ def _packets(shard: Shard, lang: str, buckets: int, least: int, second: bool) ->
         joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if words > 1 else parts[0]
         counts = counts[order].astype("<u4")
         for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)]):
-            yield (int(bucket[order[a]]), lang, words, not second, *packed(joined.slice(a, b - a), counts[a:b]))
-
-
-def packed(phrases: pa.Array, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    _, offsets, data = phrases.buffers()
-    at = np.frombuffer(offsets, dtype="<i8")[phrases.offset: phrases.offset + len(phrases) + 1]
-    press = zstandard.ZstdCompressor(level=1).compress
-    text = memoryview(data)[int(at[0]): int(at[-1])] if data is not None else b""
-    return press(text), press(counts.tobytes()), press(np.diff(at).astype("<u4").tobytes())
-
-
-def unpacked(phrases: bytes, counts: bytes, lengths: bytes) -> tuple[pa.Array, np.ndarray]:
-    press = zstandard.ZstdDecompressor().decompress
-    sizes = np.frombuffer(press(lengths), dtype="<u4")
-    at = np.zeros(len(sizes) + 1, dtype=np.int64)
-    np.cumsum(sizes, out=at[1:])
-    text = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(press(phrases))])
-    return text, np.frombuffer(press(counts), dtype="<u4")
+            yield (int(bucket[order[a]]), lang, words, not second, *textbits.pressed(joined.slice(a, b - a)), press(counts[a:b].tobytes()))
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -183,6 +167,7 @@ def adder(support: int):
     """Of a bucket's packets: the union of locally frequent phrases, and their
     sums over all packets, from ``support`` on."""
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        press = zstandard.ZstdDecompressor().decompress
         groups: dict[tuple[str, int], list[dict]] = {}
         for row in table.to_pylist():
             groups.setdefault((row["lang"], row["words"]), []).append(row)
@@ -190,8 +175,8 @@ def adder(support: int):
         for lang, words in list(groups):
             phrases, counts, frequent = [], [], []
             for row in groups.pop((lang, words)):
-                text, count = unpacked(row["phrases"], row["counts"], row["lengths"])
-                phrases.append(text)
+                count = np.frombuffer(press(row["counts"]), dtype="<u4")
+                phrases.append(textbits.unpressed(row["phrases"], row["lengths"]))
                 counts.append(count)
                 frequent.append(np.full(len(count), row["frequent"]))
             summed = pa.table({

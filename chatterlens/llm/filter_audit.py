@@ -2,13 +2,13 @@
 
 Texts are cut into words once, in blocks. A block numbers its words with a
 dictionary of its own and keeps its documents as compressed sparse rows (CSR).
-The words of all blocks are then numbered globally: buckets of a hash hold
-every word's copies from all blocks (at most one per block, so no word is hot),
-and a word's rank within its bucket gives its id. Rewritten to global ids the
-blocks are the shards of the matrix: their row sums are the words of a text and
-their nonzero counts its distinct words, which decide two of the filters. The
-other flags ride along with the rows. Copies of a text share all flags but the
-last, so documents collapse to counts before anything is grouped by text.
+Its words go to buckets of a hash in compressed packets; a bucket holds every
+word at most once per block, so no word is hot, and numbers them globally.
+The numbers return to the blocks, whose rewritten rows are the shards of the
+matrix: row sums are the words of a text and nonzero counts its distinct words,
+which decide two of the filters. The other flags ride along with the rows.
+Copies of a text share all flags but the last, so documents collapse to counts
+before anything is grouped by text.
 
 Odd input: a null text is empty, a null lang the part ``''``. A null id is
 neither smaller nor greater than another, so its row is no repeat. Repeated
@@ -26,6 +26,8 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +37,10 @@ from chatterlens.session import discard, settled
 
 LETTERS = "ABCDE"
 BIT = {letter: 1 << i for i, letter in enumerate(LETTERS)}
-#: Bytes of text in a block (a longer text is a block of its own), words in a bucket.
-BLOCK = 8_000_000
-BUCKET = 400_000
+#: Bytes of text in a block (a longer text is a block of its own), bytes of all
+#: texts for each bucket of words.
+BLOCK = 16_000_000
+BUCKET = 32_000_000
 
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 3
 MARKS = np.zeros(256, dtype=np.int64)
@@ -48,8 +51,9 @@ CAPITALS[65:91] = 1
 POINTS = (np.arange(256) & 0xC0 != 0x80).astype(np.int64)
 
 ROWS = "doc_ids array<bigint>, parts array<string>, keys array<binary>, marks array<int>"
-BLOCKS = f"block bigint, words array<binary>, {ROWS}, indptr binary, indices binary, counts binary"
+BLOCKS = f"block bigint, bucket bigint, words binary, lengths binary, {ROWS}, indptr binary, indices binary, counts binary"
 SHARDS = f"block bigint, {ROWS}, indptr binary, indices binary, counts binary"
+NUMBERS = "block bigint, bucket bigint, ids binary"
 VERDICTS = "doc_id bigint, part string, text_key binary, n_words bigint, n_terms bigint, mask int"
 
 
@@ -62,42 +66,82 @@ def _per_text(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:] - 1] - total[starts[:-1]]
 
 
-def local_csr(texts: list[bytes]) -> dict:
-    """A block's dictionary and its rows over it."""
+def press(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def unpress(values: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(values), dtype=kind)
+
+
+def local_csr(texts: list[bytes], buckets: int) -> tuple[dict, list[dict]]:
+    """A block's rows over its own words, and these words as one packet per
+    bucket. Words are numbered bucket by bucket."""
     buf, starts = textbits.joined(texts)
     begin, end = textbits.words(buf)
     codes, dictionary = textbits.encoded(buf, ~textbits.SPACE[buf], begin, end)
-    bounds = np.searchsorted(begin, starts)
+    bucket = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in dictionary.to_pylist()], dtype=np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    dictionary = dictionary.take(pa.array(order))
+    packets = [
+        dict(zip(("bucket", "words", "lengths"), (k, *textbits.pressed(dictionary.slice(a, b - a)))))
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
+
+    texts_end = np.searchsorted(begin, starts)
     width = max(len(dictionary), 1)
-    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    cell, counts = np.unique(row * width + codes, return_counts=True)
+    row = np.repeat(np.arange(len(texts)), np.diff(texts_end))
+    cell, counts = np.unique(row * width + place[codes], return_counts=True)
     indptr = np.searchsorted(cell, np.arange(len(texts) + 1) * width)
     capitals, points = _per_text(CAPITALS[buf], starts), _per_text(POINTS[buf], starts)
     marks = np.where(100 * capitals > MAX_CAPITALS * points, BIT["C"], 0)
     marks += np.where(_per_text(MARKS[buf], starts) > 0, BIT["D"], 0)
     return {
-        "words": dictionary, "indptr": indptr.astype("<i8").tobytes(),
-        "indices": (cell % width).astype("<i4").tobytes(), "counts": counts.astype("<i4").tobytes(),
-        "marks": marks.astype(np.int32), "keys": [hashlib.sha256(t).digest() for t in texts],
-    }
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        ids, parts = batch.column("doc_id"), batch.column("part").cast(pa.string())
-        for first, texts in textbits.blocks(batch.column("text"), BLOCK):
-            made, n = local_csr(texts), len(texts)
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array([number], pa.int64()),
-                "words": pa.array([made["words"].cast(pa.binary())], pa.list_(pa.binary())),
-                "doc_ids": pa.array([ids.slice(first, n)], pa.list_(pa.int64())),
-                "parts": pa.array([parts.slice(first, n)], pa.list_(pa.string())),
-                "keys": pa.array([made["keys"]], pa.list_(pa.binary())),
-                "marks": pa.array([made["marks"]], pa.list_(pa.int32())),
-                **{name: pa.array([made[name]], pa.binary()) for name in ("indptr", "indices", "counts")},
-            })
-            number += 1
+        "indptr": press(indptr.astype("<i8")), "indices": press((cell % width).astype("<i4")),
+        "counts": press(counts.astype("<i4")), "marks": marks.astype(np.int32),
+        "keys": [hashlib.sha256(t).digest() for t in texts],
+    }, packets
+
+
+def cutter(buckets: int):
+    schema = pa.schema([
+        ("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary()), ("lengths", pa.binary()),
+        ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.string())), ("keys", pa.list_(pa.binary())),
+        ("marks", pa.list_(pa.int32())), ("indptr", pa.binary()), ("indices", pa.binary()), ("counts", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids, parts = batch.column("doc_id"), batch.column("part").cast(pa.string())
+            for first, texts in textbits.blocks(batch.column("text"), BLOCK):
+                rows, packets = local_csr(texts, buckets)
+                rows |= {"doc_ids": ids.slice(first, len(texts)), "parts": parts.slice(first, len(texts))}
+                found = [{"block": number, **r} for r in (rows, *packets)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r.get(f.name) for r in found], f.type) for f in schema], schema=schema)
+                number += 1
+    return cut
+
+
+def numberer(buckets: int, words_out: bool):
+    """Global numbers of a bucket's words, in order of first appearance by
+    block: a packet of numbers for each of words, or the dictionary."""
+    def number(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        packets = [textbits.unpressed(w, n) for w, n in zip(table["words"].to_pylist(), table["lengths"].to_pylist())]
+        found = pa.concat_arrays(packets).dictionary_encode()
+        own = key[0].as_py()
+        if words_out:
+            ids = np.arange(len(found.dictionary)) * buckets + own
+            return pa.table({"term_id": pa.array(ids, pa.int64()), "word": found.dictionary.cast(pa.binary())})
+        ids = found.indices.to_numpy(zero_copy_only=False).astype(np.int64) * buckets + own
+        at = np.cumsum([0, *(len(p) for p in packets)])
+        return pa.table({
+            "block": table["block"], "bucket": table["bucket"],
+            "ids": pa.array([press(ids[a:b].astype("<i8")) for a, b in zip(at[:-1], at[1:])], pa.binary())})
+    return number
 
 
 def _globally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,44 +150,36 @@ def _globally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            ids = row.column("ids")[0].values
-            table = np.zeros(0, dtype=np.int64) if ids is None else ids.to_numpy(zero_copy_only=False)
-            local = np.frombuffer(row.column("indices")[0].as_py(), dtype="<i4")
+            ids = [unpress(p, "<i8") for p in row.column("ids")[0].as_py() or []]
+            table = np.concatenate(ids) if ids else np.zeros(0, dtype="<i8")
             out = {name: row.column(name) for name in names}
-            out["indices"] = pa.array([table[local].astype("<i8").tobytes()], pa.binary())
+            out["indices"] = pa.array([press(table[unpress(row.column("indices")[0].as_py(), "<i4")])], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
 
 def matrix(docs: DataFrame, part_col: str = "lang") -> tuple[DataFrame, DataFrame, list[str]]:
-    """The CSR shards (``indptr``, ``indices`` and ``counts`` as little-endian
-    integers, next to what is known of their rows), the dictionary
-    (``term_id, word``) and the paths of both and of what they were made from."""
+    """The CSR shards (``indptr`` and ``indices`` as 64-bit and ``counts`` as
+    32-bit little-endian integers, compressed by zstandard, next to what is known
+    of their rows), the dictionary (``term_id, word``), which is numbered again
+    when it is asked for, and the paths of what was written."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks, made = settled(rows.mapInArrow(_cut, BLOCKS), "audit-blocks")
-
-    words = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
-    buckets = max(8, -(-words // BUCKET))
-    local = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets))
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
-    numbered, kept = settled(local.withColumn("bucket", bucket).select(
-        "block", "place", "word", ((rank - 1) * buckets + F.col("bucket")).cast("long").alias("term_id")), "audit-terms")
-
-    tables = numbered.groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("place", "term_id"))).alias("pairs")).select(
-        "block", F.col("pairs.term_id").alias("ids"))
-    shards, stored = settled(
-        blocks.drop("words").join(tables, "block", "left").mapInArrow(_globally, SHARDS), "audit-shards")
-    return shards, numbered.select("term_id", "word").distinct(), [made, kept, stored]
+    buckets = max(8, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)
+    blocks, made = settled(rows.mapInArrow(cutter(buckets), BLOCKS), "audit-blocks")
+    packets = blocks.where("bucket IS NOT NULL").select("block", "bucket", "words", "lengths").groupBy("bucket")
+    tables = packets.applyInArrow(numberer(buckets, words_out=False), NUMBERS).groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("packets")).select("block", "packets.ids")
+    own = blocks.where("bucket IS NULL").drop("bucket", "words", "lengths")
+    shards, stored = settled(own.join(tables, "block", "left").mapInArrow(_globally, SHARDS), "audit-shards")
+    dictionary = packets.applyInArrow(numberer(buckets, words_out=True), "term_id bigint, word binary")
+    return shards, dictionary, [made, stored]
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            at = np.frombuffer(batch.column("indptr")[i].as_py(), dtype="<i8")
-            counts = np.frombuffer(batch.column("counts")[i].as_py(), dtype="<i4")
+            at, counts = unpress(batch.column("indptr")[i].as_py(), "<i8"), unpress(batch.column("counts")[i].as_py(), "<i4")
             total = np.zeros(len(counts) + 1, dtype=np.int64)
             np.cumsum(counts, out=total[1:])
             words, terms = total[at[1:]] - total[at[:-1]], np.diff(at)

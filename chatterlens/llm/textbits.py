@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -101,6 +102,23 @@ def encoded(buf: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndar
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
 
 
+def pressed(words: pa.Array) -> tuple[bytes, bytes]:
+    """The bytes of large-binary values and their lengths, compressed."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, dtype="<i8")[words.offset: words.offset + len(words) + 1]
+    press = zstandard.ZstdCompressor(level=1).compress
+    text = memoryview(data)[int(at[0]): int(at[-1])] if data is not None else b""
+    return press(text), press(np.diff(at).astype("<u4").tobytes())
+
+
+def unpressed(text: bytes, lengths: bytes) -> pa.Array:
+    press = zstandard.ZstdDecompressor().decompress
+    sizes = np.frombuffer(press(lengths), dtype="<u4")
+    at = np.zeros(len(sizes) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=at[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(press(text))])
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every lower-cased word and, per text, where its words begin
     (one entry more than texts)."""
