@@ -39,7 +39,7 @@ LETTERS = "ABCDE"
 BIT = {letter: 1 << i for i, letter in enumerate(LETTERS)}
 #: Bytes of text in a block (a longer text is a block of its own), bytes of all
 #: texts for each bucket of words.
-BLOCK = 16_000_000
+BLOCK = 4_000_000
 BUCKET = 32_000_000
 
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 3
