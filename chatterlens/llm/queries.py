@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlens.llm import collocations, filter_audit, hmm, minhash, packing, planes, quality, suffix_dedup, tiktoken_bpe, topk, toxicity, url_filter
+from chatterlens.llm import collocations, filter_audit, hmm, minhash, packing, pii, planes, quality, suffix_dedup, tiktoken_bpe, topk, toxicity, url_filter
 from chatterlens.llm.common import QUERIES, SQL, crc_mod, query, table
 from chatterlens.session import scratch
 
@@ -119,6 +119,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op11_bootstrapped_pii")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
+
+
 OP12_SQL = """
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
