@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 
 from chatterlens.llm import textbits
 
@@ -44,6 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # Chunks are told apart by a hash that no text can be written against.
+        self.seed = int.from_bytes(os.urandom(8))
         # In a byte-level vocabulary every character of a token stands for one byte.
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -114,16 +117,20 @@ class Encoder:
             self._clear()
         start = np.sort(np.concatenate([cuts(buf), bounds[:-1][lengths > 0]]))
         start = start[np.concatenate([[True], start[1:] != start[:-1]])]
-        end = np.append(start[1:], len(buf))
-        keys, where, back = np.unique(
-            textbits.slice_hash(textbits.prefix_hash(buf), start, end), return_index=True, return_inverse=True)
+        chunks = pa.Array.from_buffers(
+            pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(buf))), pa.py_buffer(data)]).dictionary_encode()
+        found = chunks.dictionary.to_pylist()
+        keys = textbits.digests(found, len(found), self.seed)
+        order = np.argsort(keys)
+        keys, rank = keys[order], np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        back = rank[chunks.indices.to_numpy()]
         place = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), dtype=bool)
         inside = place < len(self.keys)
         new[inside] = self.keys[place[inside]] != keys[inside]
         if new.any():
-            first = where[new]
-            self._learn(keys[new], [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
+            self._learn(keys[new], [found[i] for i in order[new].tolist()])
             place = np.searchsorted(self.keys, keys)
         begin, size = self.first[place][back], self.size[place][back]
         ends = np.cumsum(size)

@@ -82,7 +82,8 @@ def _cut(size: int, gram: int):
                 long = np.flatnonzero(last >= first)
                 owner, start, n, anchor = anchored(buf, prefix, first[long], last[long], size, gram)
                 doc = long[owner]
-                content = textbits.slice_hash(prefix, start, start + n + size - 1)
+                whole, end = memoryview(buf), start + n + size - 1
+                content = textbits.digests((whole[a:b] for a, b in zip(start.tolist(), end.tolist())), len(start))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(k1[begin + doc]), pa.array(k2[begin + doc]), pa.array((start - first[doc]).astype(np.int32)),
                     pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],

@@ -1,4 +1,8 @@
-"""Words, shingles and rolling hashes of many texts at once, on bytes in numpy.
+"""Words, shingles and hashes of many texts at once, on bytes in numpy.
+
+``prefix_hash`` and ``slice_hash`` are quick, but certain texts make them equal
+for different bytes; they only choose where texts meet. What stands for its
+bytes is hashed by ``digests``.
 
 All functions take one buffer of UTF-8 bytes. Word characters are those
 outside space and \\t \\n \\v \\f \\r; only A-Z are lower-cased, as the word
@@ -7,10 +11,11 @@ contracts ask, so bytes are enough.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 
 U64 = np.uint64
@@ -60,6 +65,11 @@ def slice_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64))
 
 
+def digests(values: Iterable[bytes | memoryview], count: int, seed: int = 0) -> np.ndarray:
+    """64-bit XXH3 of each value."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(v, seed) for v in values), dtype=U64, count=count)
+
+
 def blocks(column: pa.Array | pa.ChunkedArray, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """The texts of a column in runs of about ``most`` bytes (a longer text is
     a run of its own), with the index of the first one."""
@@ -125,7 +135,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf, starts = joined(texts)
     buf = LOWER[buf]
     begin, end = words(buf)
-    return slice_hash(prefix_hash(buf), begin, end), np.searchsorted(begin, starts)
+    codes, dictionary = encoded(buf, ~SPACE[buf], begin, end)
+    return digests(dictionary.to_pylist(), len(dictionary))[codes], np.searchsorted(begin, starts)
 
 
 def shingle_hashes(word: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:

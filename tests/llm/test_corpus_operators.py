@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chatterlens.llm import (
@@ -317,3 +318,29 @@ def test_topk_scores_are_exact_in_either_integer_type():
         q, c = (rng.integers(-most, most + 1, (n, 9)) * (rng.random((n, 9)) < density) for n in (7, topk.STRIP[1] + 5))
         assert topk.score_type(q, c) is kind
         assert (topk.scores(q, c) == q @ c.T).all()
+
+
+def thue_morse(n=1024):
+    """A word that polynomials modulo powers of two cannot tell from its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    one, two = thue_morse()
+    ids, at = bpe.Encoder(VOCABULARY).encode([one.encode(), two.encode(), one.encode()])
+    for i, t in enumerate((one, two, one)):
+        assert ids[at[i]: at[i + 1]].tolist() == ids_of(t).tolist()
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one + " x"), (8, two + " y z")], "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, shingle=3, percent=85).collect()}
+    assert found[1] == 1 and found[2] == 2
+    learned = hmm.score(docs.where("doc_id < 3"), F.col("doc_id") == 1)
+    assert {r["doc_id"]: r["n_known"] for r in learned.collect()} == {1: 2, 2: 1}
+    texts = {1: "0" * 200 + one, 2: "1" * 200 + two}
+    count = Counter(t[i:i + 200] for t in texts.values() for i in range(len(t) - 199))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    for r in suffix_dedup.remove_repeats(rows, keep_bytes=False).collect():
+        t, gone = texts[r["doc_id"]], set()
+        for i in range(len(t) - 199):
+            gone |= set(range(i, i + 200)) if count[t[i:i + 200]] > 1 else set()
+        assert r["n_removed"] == len(gone)
