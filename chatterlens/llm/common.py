@@ -3,11 +3,13 @@ tables, row keys and the pieces of the registry."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def ship(spark: SparkSession) -> None:
     context._chatterlens_shipped = True
 
 
+def give_back() -> None:
+    """Hand memory of dropped Arrow tables and arrays back, between stages of a long job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

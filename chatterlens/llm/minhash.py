@@ -170,12 +170,13 @@ def near_duplicates(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, text_key`` (a hash of the text)``, n_shingles, component_id,
-    kept`` for every row.
+    component_key, kept`` for every row.
 
     Two texts are linked if ``100 * |intersection| >= percent * |union|`` of
     their sets of ``shingle``-word shingles; a text of fewer words is one
     shingle; one without words has none and no link. ``component_id`` is the
-    least id reachable, ``kept`` marks rows that carry it.
+    least id reachable, ``component_key`` the least text key under that id, ``kept``
+    marks rows that carry the id.
 
     Null ids take part in no link and are kept with a null component; repeated
     rows, and different texts under one id, are rows of their own; an empty
@@ -210,13 +211,14 @@ def near_duplicates(
     links, _ = settled(sets.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(
         _link(percent), "a long, b long"), "links")
     comp, _ = settled(components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp")), "comp")
-    least = comp.join(classes.select("cid", "k1"), "cid").groupBy("comp").agg(F.min("k1").alias("component_id"))
-    found = comp.join(least, "comp").select("cid", "component_id")
-    ids = classes.join(found, "cid", "left").select("s1", "s2", F.coalesce("component_id", "k1").alias("component_id"))
+    least = comp.join(classes.select("cid", "k1", "k2"), "cid").groupBy("comp").agg(F.min(F.struct("k1", "k2")).alias("least"))
+    found = comp.join(least, "comp").select("cid", "least")
+    ids = classes.join(found, "cid", "left").select("s1", "s2", F.coalesce("least", F.struct("k1", "k2")).alias("least"))
     result = signed.select("k1", F.col("k2").alias("text_key"), "n_shingles", F.when(
         (F.col("n_shingles") > 0) & (F.col("k1") != common.NO_ID), F.col("s1")).alias("s1"), "s2").join(
         ids, ["s1", "s2"], "left")
     own = common.real_id()
     return result.select(
-        own.alias("doc_id"), "text_key", "n_shingles", F.coalesce("component_id", own).alias("component_id"),
+        own.alias("doc_id"), "text_key", "n_shingles", F.coalesce("least.k1", own).alias("component_id"),
+        F.coalesce("least.k2", "text_key").alias("component_key"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -78,7 +78,7 @@ FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON c.a =
 
 @query("op6_minhash_near_dup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_key")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_key", "component_key")
 
 
 OP7_SQL = """

@@ -18,7 +18,11 @@ from chatterlens.session import settled
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled examples near them don't call toxic."""
     common.ship(spark)
-    return toxicity.without_toxic(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    kept, _ = settled(toxicity.without_toxic(docs, model), "not-toxic")
+    model.destroy()
+    common.give_back()
+    return kept
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +32,15 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the least id; documents
+    """Of every group of near copies the document with the least id, of several
+    texts under it the one of the least key, of its repeated rows one; documents
     without words or id are in no group and stay."""
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    alone = found.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_key")
-    chosen = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("component_id").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("least")).select("least.*")
-    kept = common.rows_by_key(docs, chosen, "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(common.rows_by_key(docs, alone, "left_semi"))
+    alone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
+    chosen = found.select("doc_id", "text_key", alone.alias("alone"), (~alone & first).alias("first"))
+    kept = common.rows_by_key(docs, chosen.where("first"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(common.rows_by_key(docs, chosen.where("alone"), "left_semi"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
