@@ -155,11 +155,11 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
-_kept: dict[str, Encoder] = {}
+_kept: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    if path not in _kept:
-        _kept[path] = Encoder(path)
-    return _kept[path]
+def encoder(path: str, most: int = 3_000_000) -> Encoder:
+    """One encoder per Python worker, vocabulary and size of its store."""
+    if (path, most) not in _kept:
+        _kept[path, most] = Encoder(path, most)
+    return _kept[path, most]

@@ -75,7 +75,7 @@ def _cut(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            for begin, texts in textbits.blocks(batch.column("text")):
+            for begin, texts in textbits.blocks(batch.column("text"), 1_000_000):
                 buf, starts = textbits.joined(texts)
                 prefix = textbits.prefix_hash(buf)
                 first, last = starts[:-1], starts[1:] - 1 - size
