@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chatterlens.functions import scalars as sc
 from chatterlens.operators import filters
+from chatterlens.sources import postings
 
 K1, B = 1.2, 0.75
 
@@ -62,14 +63,69 @@ def with_relevance(comments: DataFrame, query: str, corpus: DataFrame | None = N
     ).alias("stats")).scalar()
 
     found = _term_hits(text_matches(comments, query), terms, *comments.columns).withColumn("stats", stats)
+    score = _bm25([F.size(F.filter("hits", is_word(t))) for t in terms])
+    return found.withColumn("relevance", score).drop("doc_length", "hits", "stats")
+
+
+def _bm25(frequencies: list[Column]) -> Column:
+    """Score from each term's occurrences, ``doc_length`` and ``stats`` of the corpus."""
     length_norm = K1 * (1 - B + B * F.col("doc_length") / F.col("stats.avg_length"))
     score = F.lit(0.0)
-    for i, term in enumerate(terms):
-        tf = F.size(F.filter("hits", is_word(term)))
+    for i, tf in enumerate(frequencies):
         df = F.col(f"stats.df{i}")
         idf = F.log(1 + (F.col("stats.docs") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + length_norm)
-    return found.withColumn("relevance", score).drop("doc_length", "hits", "stats")
+    return score
+
+
+# --- the same over a stored index --------------------------------------------
+
+def indexed_hits(
+    spark: SparkSession, path: str, query: str, keep: tuple[str, ...] = (), start=None, end=None, **equal,
+) -> DataFrame:
+    """Comments with at least one query term, one row each, from the postings of
+    these terms: ``comment_id``, the kept columns named, ``doc_length`` and each
+    term's occurrences (``tf0`` ...). Filters apply to the postings."""
+    terms = query_terms(query)
+    rows = filters.in_range(filters.equal_to(postings.hits(spark, path, terms or [""]), **equal), start, end)
+    once = [F.max(c).alias(c) for c in (*keep, "doc_length")]
+    counts = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    return rows.groupBy("comment_id").agg(*once, *counts)
+
+
+def indexed_relevance(spark: SparkSession, path: str, query: str, hits: DataFrame) -> DataFrame:
+    """Rows of :func:`indexed_hits` with their BM25 score against the whole index."""
+    terms = query_terms(query)
+    scored = hits.withColumn("stats", postings.corpus(spark, path, terms)) if terms else hits.filter(F.lit(False))
+    score = _bm25([F.col(f"tf{i}") for i in range(len(terms))]) if terms else F.lit(0.0)
+    return scored.withColumn("relevance", score).drop("doc_length", "stats", *[f"tf{i}" for i in range(len(terms))])
+
+
+def indexed_search(
+    spark: SparkSession, path: str, query: str, keep: tuple[str, ...] = ("timestamp",), size: int | None = 100,
+    start=None, end=None, **equal,
+) -> DataFrame:
+    """:func:`text_search` from the index: the newest ``size`` hits (None: all) with relevance."""
+    found = indexed_hits(spark, path, query, keep, start, end, **equal)
+    page = found if size is None else filters.newest(found, size)
+    return indexed_relevance(spark, path, query, page)
+
+
+def indexed_page(
+    spark: SparkSession, path: str, query: str, sentiment: str | None = None, limit: int = 20,
+    keep: tuple[str, ...] = ("timestamp", "sentiment"), start=None, end=None,
+) -> DataFrame:
+    """:func:`search_page` from the index: kept columns and the true number of hits."""
+    found = indexed_hits(spark, path, query, keep, start, end, sentiment=sentiment)
+    total = found.agg(F.count("*").alias("total")).scalar()
+    return filters.newest(found, limit).select("comment_id", *keep, total.alias("total_found"))
+
+
+def with_comments(page: DataFrame, comments: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """A page's rows with columns of their comments; the page, which is bounded
+    by its limit, is sent to the scan of the comments."""
+    wanted = comments.select("comment_id", *columns)
+    return wanted.join(F.broadcast(page), "comment_id")
 
 
 def text_search(

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chatterlens.functions import scalars as sc
 from chatterlens.operators import filters, joins, labeling, metrics as mt, rules, search, training
+from chatterlens.plans import derived
 from chatterlens.plans.registry import query, r, with_views
-from chatterlens.sources import readers, tables
+from chatterlens.sources import postings, readers, tables
 
 STAMP = datetime(2024, 6, 1)
 
@@ -29,6 +30,21 @@ def search_substring(spark, folder):
     return hits.select("comment_id", "program_id", "video_id", "timestamp")
 
 
+def scored_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the sentiment of their labels; unlabeled ones are neutral."""
+    return mt.with_comment_sentiment(tables.texts(spark, folder)).withColumnRenamed("created_at", "timestamp")
+
+
+#: What the index keeps of a comment beside its words.
+INDEXED = ("program_id", "timestamp", "sentiment")
+
+
+def text_index(spark: SparkSession, folder: str) -> str:
+    """The stored index over all documents."""
+    return derived.stored(spark, folder, "text-index", ("documents", "labels"), lambda path: postings.add(
+        scored_texts(spark, folder), path, INDEXED))
+
+
 BM25 = """counted AS (
   SELECT d.doc_id AS comment_id, count(w.token) AS dl, count(*) FILTER (WHERE w.token = 'pour') AS t1,
          count(*) FILTER (WHERE w.token = 'und') AS t2, count(*) FILTER (WHERE w.token = 'the') AS t3
@@ -48,7 +64,7 @@ scored AS (
 WITH {BM25} SELECT comment_id, {r("relevance", 6)} AS relevance FROM scored
 """, "words"))
 def search_bm25(spark, folder):
-    hits = search.with_relevance(tables.timed_texts(spark, folder, heavy=True), "Pour und THE")
+    hits = search.indexed_search(spark, text_index(spark, folder), "Pour und THE", size=None)
     return hits.select("comment_id", sc.tidy("relevance", 6).alias("relevance"))
 
 
@@ -59,15 +75,11 @@ FROM scored JOIN timed USING (comment_id) WHERE program_id = 'fr'
 ORDER BY "timestamp" DESC, comment_id DESC LIMIT 50
 """, "words", "timed"))
 def search_fulltext(spark, folder):
-    hits = search.text_search(tables.timed_texts(spark, folder, heavy=True), "Pour und THE", size=50, program_id="fr")
+    hits = search.indexed_search(
+        spark, text_index(spark, folder), "Pour und THE", INDEXED, size=50, program_id="fr")
     return hits.select("comment_id", "program_id", "timestamp", sc.tidy("relevance", 6).alias("relevance"))
 
 
-def scored_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with the sentiment of their labels; unlabeled ones are neutral."""
-    return mt.with_comment_sentiment(tables.texts(spark, folder)).withColumnRenamed("created_at", "timestamp")
-
-
 @query("search_tool", with_views("""
 WITH hits AS (
   SELECT DISTINCT t.comment_id, t.created_at AS "timestamp", coalesce(t.sentiment, 'neutral') AS sentiment
@@ -78,11 +90,8 @@ SELECT comment_id, "timestamp", sentiment, (SELECT count(*) FROM hits) AS total_
 ORDER BY "timestamp" DESC, comment_id DESC LIMIT 20
 """, "texts", "words"))
 def search_tool(spark, folder):
-    texts = scored_texts(spark, folder).withColumns({
-        "engagement_score": F.lit(None).cast("double"), "username": F.col("source")})
-    recent = filters.trailing(texts, timedelta(hours=5))
-    page = search.search_page(recent, "les die", sentiment="negative")
-    return page.select("comment_id", "timestamp", "sentiment", "total_found")
+    start = sc.moment(scored_texts(spark, folder), back=timedelta(hours=5))
+    return search.indexed_page(spark, text_index(spark, folder), "les die", sentiment="negative", start=start)
 
 
 @query("topic_details", with_views(f"""

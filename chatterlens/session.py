@@ -56,3 +56,22 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a table made by :func:`settled`."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, none if it is missing; no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(folder))
+
+
+def file_marks(spark: SparkSession, paths: list[str]) -> str:
+    """Names, sizes and times of the files at the given paths, to tell whether they changed."""
+    marks = []
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        marks += sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files)
+    return "|".join(marks)

@@ -60,7 +60,7 @@ def test_generator_is_repeatable_and_valid(spark):
     points = generate.metrics(made)
     assert checks.violations(points, checks.metric_rules()).filter("violations > 0").count() == 0
     assert generate.trending(made).select("time_range").distinct().count() == 3
-    assert generate.program_events(spark, "show_123", END).count() == 3
+    assert generate.program_events(spark, "show_123", END).count() == len(generate.EVENTS)
 
 
 def test_append_layout_and_pruned_read(spark, tmp_path):
