@@ -17,7 +17,7 @@ PROGRAM_MEASURES = (
 COUNT_MEASURES = ("mention_count", "sentiment_sum")
 
 
-def _program_measures() -> list[Column]:
+def program_measures() -> list[Column]:
     def of(sentiment: str) -> Column:
         return F.count_if(F.col("sentiment") == sentiment)
     return [
@@ -36,7 +36,7 @@ def _count_measures() -> list[Column]:
 
 def by_program(comments: DataFrame, width: str = "5 minutes") -> DataFrame:
     keys = [F.col("program_id"), sc.window_start("timestamp", width).alias("window_start")]
-    return comments.groupBy(*keys).agg(*_program_measures())
+    return comments.groupBy(*keys).agg(*program_measures())
 
 
 def by_topic(comments: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -88,4 +88,4 @@ def timeline(comments: DataFrame, granularity: str | None = None) -> DataFrame:
 
 def program_snapshot(comments: DataFrame) -> DataFrame:
     """Score and counts of each program over everything given."""
-    return with_score(comments.groupBy("program_id").agg(*_program_measures()))
+    return with_score(comments.groupBy("program_id").agg(*program_measures()))

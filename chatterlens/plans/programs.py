@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chatterlens.functions import scalars as sc
 from chatterlens.operators import checks, filters, joins, metrics as mt, rollups, rules, search, windows
+from chatterlens.plans import derived
 from chatterlens.plans.registry import query, r, score, with_views
-from chatterlens.sources import store, tables
+from chatterlens.session import scratch, settled
+from chatterlens.sources import rollup_store, store, tables
 
 DAY = timedelta(days=1)
 POINT = ("program_id", "window_start", "positive_count", "negative_count", "neutral_count", "total_comments")
@@ -19,6 +21,17 @@ def hourly(spark: SparkSession, folder: str) -> DataFrame:
     return rollups.program_metrics(tables.comments(spark, folder), "1 hour")
 
 
+def rollup_store_of(spark: SparkSession, folder: str) -> str:
+    """The hours of a data folder, stored in two steps; the last hours stay raw."""
+    def build(path: str) -> None:
+        comments = tables.comments(spark, folder)
+        last = comments.agg(F.max("timestamp")).first()[0]
+        full = (last or datetime(1970, 1, 2)).replace(minute=0, second=0, microsecond=0)
+        for back in (timedelta(days=10), timedelta(hours=6)):
+            rollup_store.fold(comments, path, full - back)
+    return derived.stored(spark, folder, "rollups", ("events",), build)
+
+
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: sc.tidy(n, digits) for n in names})
 
@@ -31,7 +44,21 @@ SELECT program_id, window_start, {r("score", 4)} AS score, positive_count, negat
 FROM metrics QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY window_start DESC) = 1
 """, "metrics"))
 def program_score_now(spark, folder):
-    return rounded(windows.latest_per_program(hourly(spark, folder)), 4, "score")
+    latest = rollup_store.latest(tables.comments(spark, folder), rollup_store_of(spark, folder))
+    return rounded(latest.select("program_id", "window_start", *windows.LATEST_COLUMNS), 4, "score")
+
+
+@query("store_metrics_now", with_views(f"""
+SELECT program_id, window_start AS "timestamp", {r("score", 4)} AS score, positive_count, negative_count,
+       neutral_count, total_comments
+FROM metrics QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY window_start DESC) = 1
+""", "metrics"))
+def store_metrics_now(spark, folder):
+    """Hourly scores written to the metrics table and read back by month."""
+    path = scratch(spark, "metrics")
+    store.append_metrics(rollup_store.hours(tables.comments(spark, folder), rollup_store_of(spark, folder)), path)
+    newest = windows.latest_per_program(store.read(spark, path), ts="timestamp")
+    return rounded(newest, 4, "score").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query("latest_per_program", with_views(f"""
@@ -40,9 +67,9 @@ FROM metrics WHERE program_id IN ('show_1', 'show_2', 'show_3')
 QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY window_start DESC) = 1
 """, "metrics"))
 def latest_per_program(spark, folder):
-    latest = windows.latest_per_program(
-        hourly(spark, folder), ["show_1", "show_2", "show_3"], columns=("score", "total_comments"))
-    return rounded(latest, 4, "score")
+    latest = rollup_store.latest(
+        tables.comments(spark, folder), rollup_store_of(spark, folder), ["show_1", "show_2", "show_3"])
+    return rounded(latest.select("program_id", "window_start", "score", "total_comments"), 4, "score")
 
 
 @query("program_score_timeline", with_views(f"""
@@ -51,10 +78,9 @@ SELECT program_id, window_start, {r("score", 4)} AS score, positive_count, negat
 FROM metrics WHERE window_start >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
 """, "metrics"))
 def program_score_timeline(spark, folder):
-    comments = tables.comments(spark, folder)
-    start = sc.moment(comments, back=timedelta(days=7))
-    wide = filters.in_range(comments, sc.moment(comments, back=timedelta(days=7, hours=1)))
-    points = filters.metric_timeline(rollups.program_metrics(wide, "1 hour"), start=start, ts="window_start")
+    comments, path = tables.comments(spark, folder), rollup_store_of(spark, folder)
+    start = rollup_store.newest(comments, path, timedelta(days=7))
+    points = filters.metric_timeline(rollup_store.hours(comments, path), start=start, ts="window_start")
     return points.select(*POINT, "score")
 
 
@@ -107,9 +133,9 @@ SELECT program_id, window_start, {r("score", 4)} AS score, {r("coalesce(pos, 0)"
 FROM latest LEFT JOIN shares USING (program_id)
 """, "metrics"))
 def current_score_detail(spark, folder):
-    comments = tables.comments(spark, folder)
-    latest = windows.latest_per_program(hourly(spark, folder))
-    shares = mt.sentiment_shares(filters.trailing(comments, DAY))
+    comments, path = tables.comments(spark, folder), rollup_store_of(spark, folder)
+    latest, _ = settled(rollup_store.latest(comments, path), "latest")
+    shares = mt.sentiment_shares(filters.in_range(comments, sc.moment(latest, back=DAY, ts="newest")))
     return (
         latest.join(shares, "program_id", "left").fillna(0.0, ["positive_pct", "negative_pct"])
         .select("program_id", "window_start", sc.tidy("score", 4).alias("score"),
@@ -132,14 +158,14 @@ FROM stored s FULL JOIN
      USING (program_id)
 """, "metrics"))
 def score_with_fallback(spark, folder):
-    comments = tables.comments(spark, folder)
-    recent = filters.trailing(comments, DAY)
+    comments, path = tables.comments(spark, folder), rollup_store_of(spark, folder)
+    stored, _ = settled(rollup_store.latest(comments, path), "latest")
+    recent = filters.in_range(comments, sc.moment(stored, back=DAY, ts="newest"))
     cached = rollups.with_score(recent.groupBy("program_id").agg(
         F.max("timestamp").alias("updated_at"), F.count("*").alias("total_comments"),
         F.sum("sentiment_score").alias("sentiment_sum"), F.sum("engagement_score").alias("engagement_sum"),
     ))
-    stored = windows.latest_per_program(hourly(spark, folder), columns=("score",))
-    return rounded(joins.cached_or_stored(cached, stored, sc.moment(comments)), 4, "score")
+    return rounded(joins.cached_or_stored(cached, stored, sc.moment(stored, ts="newest")), 4, "score")
 
 
 @query("program_comparison", with_views(f"""

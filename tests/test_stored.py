@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chatterlens import schemas
 from chatterlens.functions import scalars as sc
 from chatterlens.operators import rollups, search, windows
-from chatterlens.sources import postings, store
+from chatterlens.sources import postings, rollup_store, store
 
 END = datetime(2024, 3, 10, 12)
 
@@ -91,3 +91,70 @@ def test_a_query_opens_the_folders_of_its_terms_only(spark, index):
     for name in glob.glob(f"{other}/.part-*"):
         os.unlink(name)
     assert search.indexed_search(spark, index, "fox blue", size=None).count() > 0
+
+
+# --- rollups up to a mark -----------------------------------------------------
+
+def spoken(spark, first, count, program="p", step=timedelta(minutes=7)):
+    rows = [(f"{program}{first + i}", program, END + step * (first + i), ["positive", "negative", "neutral"][i % 3],
+             [0.7, -0.6, 0.0][i % 3], float(i % 50)) for i in range(count)]
+    return spark.createDataFrame(
+        rows, "comment_id string, program_id string, timestamp timestamp_ntz, sentiment string, sentiment_score double, engagement_score double")
+
+
+def tidy(df, *columns):
+    rows = df.select("program_id", "window_start", "total_comments", "negative_count", F.round("score", 9).alias("score"), *columns).collect()
+    return sorted(tuple(r) for r in rows)
+
+
+def test_rollups_up_to_a_mark(spark, tmp_path):
+    path = str(tmp_path / "rollups")
+    comments = spoken(spark, 0, 60).unionByName(spoken(spark, 0, 9, "quiet")).unionByName(spoken(spark, 55, 5, "new"))
+    direct = rollups.program_metrics(comments, "1 hour")
+    assert rollup_store.mark(spark, path) is None
+    for upto in (2, 5, 5, 3):
+        rollup_store.fold(comments, path, END + timedelta(hours=upto))
+        assert rollup_store.mark(spark, path) == rollup_store._seconds(END + timedelta(hours=max(upto, 5 if upto == 3 else upto)))
+        assert tidy(rollup_store.hours(comments, path)) == tidy(direct)
+        assert tidy(rollup_store.latest(comments, path)) == tidy(
+            windows.latest_per_program(direct, columns=("score", "total_comments", "negative_count")))
+    assert comments.limit(1).select(rollup_store.newest(comments, path).alias("t")).first()["t"] == comments.agg(F.max("timestamp")).first()[0]
+    with pytest.raises(ValueError):
+        rollup_store.fold(comments, path, END + timedelta(hours=6, minutes=1))
+
+
+def test_late_comments_join_folded_hours(spark, tmp_path):
+    path = str(tmp_path / "rollups")
+    comments = spoken(spark, 0, 60).unionByName(spoken(spark, 0, 9, "quiet"))
+    rollup_store.fold(comments, path, END + timedelta(hours=5))
+    late = spoken(spark, 3, 8, "quiet", timedelta(minutes=9))
+    for _ in range(2):  # Added twice under one name, it counts once.
+        rollup_store.add_late(late, path, "monday")
+    direct = rollups.program_metrics(comments.unionByName(late), "1 hour")
+    assert tidy(rollup_store.hours(comments, path)) == tidy(direct)
+    assert tidy(rollup_store.latest(comments, path)) == tidy(
+        windows.latest_per_program(direct, columns=("score", "total_comments", "negative_count")))
+
+
+def test_only_the_raw_tail_is_scanned(spark, tmp_path):
+    raw, path = str(tmp_path / "raw"), str(tmp_path / "rollups")
+    spoken(spark, 0, 60).write.parquet(raw)
+    comments = spark.read.parquet(raw)
+    rollup_store.fold(comments, path, END + timedelta(hours=5))
+    latest = rollup_store.latest(comments, path)
+    latest.collect()
+    own = [line for line in scans(latest) if "/raw" in line]
+    assert len(own) == 1 and "GreaterThanOrEqual(timestamp," in own[0]
+
+
+@pytest.mark.parametrize("name", [
+    "program_score_now", "latest_per_program", "program_score_timeline", "current_score_detail", "score_with_fallback"])
+def test_queries_scan_raw_events_at_most_twice(spark, name):
+    import __spark_entry__ as entry
+    found = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    # Every scan is described once per (sub)plan; the plan before adaptive changes repeats it.
+    raw = {re.sub(r"^\s*\(\d+\)", "", part) for part in plan.split("\n\n")
+           if re.match(r"\s*\(\d+\) Scan parquet", part) and re.search(r"[\[ ]ts#", part)}
+    assert 1 <= len(raw) <= 2 and all(re.search(r"PushedFilters: \[.*\(ts", part) for part in raw), plan
