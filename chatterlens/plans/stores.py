@@ -16,7 +16,8 @@ def _stored(spark, folder, name: str) -> tuple[DataFrame, str]:
     """The comments in a fresh store, and its path."""
     path = scratch(spark, name)
     rows = tables.comments(spark, folder).withColumns({
-        "timestamp": F.col("timestamp").cast("timestamp"), "version": F.lit(1)})
+        "timestamp": F.col("timestamp").cast("timestamp"), "version": F.lit(1),
+        "metadata": F.create_map(F.lit("origin"), F.lit("events"), F.lit("user"), F.col("username"))})
     store.append(rows, path, "comments")
     return rows, path
 

@@ -43,11 +43,16 @@ def stream_rollup(spark, folder):
 SELECT program_id, count(DISTINCT comment_id) AS stored FROM comments GROUP BY 1
 """, "comments"))
 def stream_dedupe(spark, folder):
-    """Every event arrives twice; each id is stored once, however late it comes."""
+    """The events arrive in several batches and then all of them again; each id
+    is stored once, however late its copy comes."""
     path, checkpoint = _folders(spark, "stream-dedupe")
-    once = tables.comment_stream(spark, folder).select("comment_id", "program_id", "timestamp")
-    twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    sinks.finish(pipelines.store_new(twice, path, checkpoint))
+    source = scratch(spark, "arrivals")
+    events = tables.table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    for turn in ("first", "again"):
+        events.repartition(2, "event_id").write.parquet(f"{source}/turn={turn}")
+    arrivals = spark.readStream.schema(tables.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    once = tables.as_comments(arrivals).select("comment_id", "program_id", "timestamp")
+    sinks.finish(pipelines.store_new(once, path, checkpoint))
     return sinks.read_batches(spark, path).groupBy("program_id").agg(F.count("*").alias("stored"))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from chatterlens import schemas
 from chatterlens.functions import scalars as sc
-from chatterlens.operators import filters
+from chatterlens.operators import filters, joins
 from chatterlens.session import discard, settled
+from chatterlens.sources import id_index
 
 MONTH = "month"
 # Sort keys and bloom-filter columns of the stored tables.
@@ -23,6 +24,10 @@ LAYOUT = {
 }
 
 
+# The ids by which rows are replaced.
+KEYS = {"comments": "comment_id"}
+
+
 # --- writing ----------------------------------------------------------------
 
 def _laid_out(df: DataFrame, table: str, ts: str) -> DataFrame:
@@ -41,9 +46,33 @@ def _writer(df: DataFrame, table: str, mode: str):
 
 
 def append(df: DataFrame, path: str, table: str, ts: str = "timestamp") -> None:
+    """Add rows. Where the table has an index of ids, theirs are added first."""
+    key = KEYS.get(table)
+    if key in df.columns and id_index.known(df.sparkSession, path):
+        id_index.record(df.withColumn(MONTH, sc.month_key(ts)), path, key)
     _writer(_laid_out(df, table, ts), table, "append").parquet(path)
 
 
+def index_ids(spark: SparkSession, path: str, key: str) -> None:
+    """Index the ids of a stored table, if it isn't yet: its only scan of all keys."""
+    if exists(spark, path) and not id_index.known(spark, path):
+        id_index.record(read(spark, path), path, key)
+
+
+def insert_new(df: DataFrame, path: str, table: str, ts: str = "timestamp") -> None:
+    """Append the rows whose id is not stored yet, one per id; only the index
+    folders of these ids are read."""
+    spark, key = df.sparkSession, KEYS[table]
+    index_ids(spark, path, key)
+    fresh = df.dropDuplicates([key])
+    if id_index.known(spark, path):
+        fresh = joins.not_stored(df, id_index.entries_of(spark, path, df, key).withColumnRenamed("id", key), key)
+    staged, place = settled(fresh, "insert")
+    id_index.record(staged.withColumn(MONTH, sc.month_key(ts)), path, key)
+    _writer(_laid_out(staged, table, ts), table, "append").parquet(path)
+    discard(spark, place)
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """The declared columns; a missing one becomes NULL, a missing array empty."""
     def column(field) -> Column:
@@ -181,12 +210,14 @@ def upsert(
     new: DataFrame, path: str, table: str, key: str, version: str, ts: str = "timestamp",
 ) -> None:
     """Insert or replace rows by id, last version wins; only months that hold
-    old or new versions of the ids are rewritten."""
+    old or new versions of the ids are rewritten. Which these are says the index
+    of ids, from the folders of the incoming ids."""
     spark = new.sparkSession
     incoming, staged = settled(last_wins(new.withColumn(MONTH, sc.month_key(ts)), key, version), "upsert")
+    index_ids(spark, path, key)
+    touched = _months(incoming.select(MONTH).union(id_index.entries_of(spark, path, incoming, key).select(MONTH)))
+    id_index.record(incoming, path, key)
     stored = read(spark, path)
-    touched = _months(incoming.select(MONTH).union(
-        stored.join(incoming.select(key), key, "left_semi").select(MONTH)))
     old = stored.filter(F.col(MONTH).isin(touched))
     merged = last_wins(old.unionByName(incoming, allowMissingColumns=True), key, version)
     _replace_months(spark, merged, path, table, touched)

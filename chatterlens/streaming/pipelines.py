@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chatterlens.functions import labels as lab, scalars as sc
 from chatterlens.operators import filters, joins, labeling, metrics as mt, rollups
-from chatterlens.sources import readers, store
+from chatterlens.sources import id_index, readers, store
 from chatterlens.streaming import sinks
 
 
@@ -33,11 +33,16 @@ def deduplicated(stream: DataFrame, delay: str = "1 hour", ts: str = "timestamp"
 
 def store_new(stream: DataFrame, path: str, checkpoint: str, key: str = "comment_id", **run) -> StreamingQuery:
     """Append only ids no earlier batch has stored, however long ago. Copies within
-    a batch are settled too; the stream needs no watermark."""
+    a batch are settled too; the stream needs no watermark. A batch reads the
+    index folders of its own ids, not the stored table."""
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        stored = sinks.earlier_batches(batch.sparkSession, path, batch_id)
-        fresh = batch.dropDuplicates([key]) if stored is None else joins.not_stored(batch, stored, key)
+        rows = batch.persist()
+        stored = id_index.earlier_ids(batch.sparkSession, path, rows, key, batch_id)
+        fresh = rows.dropDuplicates([key]) if stored is None else joins.not_stored(rows, stored, key)
+        # The batch's own ids count for later batches only, so a replay finds the same rows.
         sinks.write_batch(fresh, path, batch_id)
+        id_index.record_batch(rows, path, key, batch_id)
+        rows.unpersist()
     return sinks.start(stream, on_batch, checkpoint, **run)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from chatterlens import schemas
 from chatterlens.functions import scalars as sc
 from chatterlens.operators import rollups, search, windows
-from chatterlens.sources import postings, rollup_store, store
+from chatterlens.sources import id_index, postings, rollup_store, store
+from chatterlens.streaming import pipelines, sinks
 
 END = datetime(2024, 3, 10, 12)
 
@@ -84,7 +85,7 @@ def test_a_query_opens_the_folders_of_its_terms_only(spark, index):
     assert re.search(r"PartitionFilters: \[bucket#\d+ (IN|INSET) ", scan)
     # A folder of no term of the query may be broken without harm.
     import glob, os
-    other = next(d for d in glob.glob(f"{index}/postings/batch=*/bucket=*") if d.rsplit("=", 1)[1] not in wanted)
+    other = sorted(d for d in glob.glob(f"{index}/postings/batch=*/bucket=*") if d.rsplit("=", 1)[1] not in wanted)[-1]
     for name in glob.glob(f"{other}/part-*"):
         with open(name, "wb") as out:
             out.write(b"broken")
@@ -158,3 +159,83 @@ def test_queries_scan_raw_events_at_most_twice(spark, name):
     raw = {re.sub(r"^\s*\(\d+\)", "", part) for part in plan.split("\n\n")
            if re.match(r"\s*\(\d+\) Scan parquet", part) and re.search(r"[\[ ]ts#", part)}
     assert 1 <= len(raw) <= 2 and all(re.search(r"PushedFilters: \[.*\(ts", part) for part in raw), plan
+
+
+# --- index of ids --------------------------------------------------------------
+
+def spoil(path, keep):
+    """Make every index folder unreadable but those to ``keep``."""
+    import glob
+    import os
+    for folder in glob.glob(f"{path}-ids/**/id_bucket=*", recursive=True):
+        if int(folder.rsplit("=", 1)[1]) in keep:
+            continue
+        for name in glob.glob(f"{folder}/part-*"):
+            with open(name, "wb") as out:
+                out.write(b"broken")
+        for name in glob.glob(f"{folder}/.part-*"):
+            os.unlink(name)
+
+
+def kept(spark, ids):
+    rows = spark.createDataFrame([(i,) for i in ids], "comment_id string")
+    return {r[0] for r in rows.select(id_index.bucket(F.col("comment_id"))).collect()}
+
+
+def versions(spark, ids, months, version, text="old"):
+    rows = [(i, text, datetime(2024, m, 2), version, {"k": str(version)}) for i, m in zip(ids, months)]
+    return spark.createDataFrame(
+        rows, "comment_id string, text string, timestamp timestamp, version int, metadata map<string,string>").withColumn(
+        "program_id", F.lit("p"))
+
+
+def test_an_upsert_opens_the_folders_of_its_ids_only(spark, tmp_path):
+    path = str(tmp_path / "comments")
+    ids = [f"c{i}" for i in range(200)]
+    store.append(versions(spark, ids, [1 + i % 4 for i in range(200)], 1), path, "comments")
+    store.upsert(versions(spark, ["c0", "new"], [1, 2], 2, "new"), path, "comments", "comment_id", "version")
+    assert id_index.known(spark, path)
+    moved = ["c1", "c7"]
+    spoil(path, kept(spark, moved + ["late"]))
+    store.upsert(versions(spark, moved, [4, 4], 3, "moved"), path, "comments", "comment_id", "version")
+    store.append(versions(spark, ["late"], [3], 1), path, "comments")
+    store.upsert(versions(spark, ["late"], [1], 2, "moved"), path, "comments", "comment_id", "version")
+    rows = {r["comment_id"]: (r["text"], r["month"], r["metadata"]) for r in store.read(spark, path).collect()}
+    assert len(rows) == 202 and store.read(spark, path).count() == 202
+    assert rows["c0"] == ("new", "202401", {"k": "2"}) and rows["new"][0] == "new"
+    assert rows["c1"][:2] == rows["c7"][:2] == ("moved", "202404") and rows["late"][:2] == ("moved", "202401")
+    assert rows["c2"] == ("old", "202403", {"k": "1"})
+
+
+def test_inserts_skip_stored_ids(spark, tmp_path):
+    path = str(tmp_path / "comments")
+    store.insert_new(versions(spark, ["a", "b", "a"], [1, 2, 1], 1), path, "comments")
+    spoil(path, kept(spark, ["b", "c"]))
+    store.insert_new(versions(spark, ["b", "c", "c"], [3, 3, 3], 2, "second"), path, "comments")
+    rows = [(r["comment_id"], r["text"], r["month"]) for r in store.read(spark, path).orderBy("comment_id").collect()]
+    assert rows == [("a", "old", "202401"), ("b", "old", "202402"), ("c", "second", "202403")]
+
+
+def test_compacting_ids_keeps_every_entry(spark, tmp_path):
+    path = str(tmp_path / "comments")
+    for month in (1, 2, 2):
+        id_index.record(versions(spark, ["a", "b", "c"], [month] * 3, 1).withColumn("month", sc.month_key("timestamp")), path, "comment_id")
+    id_index.compact(spark, path)
+    ids = spark.createDataFrame([("a",), ("x",), (None,)], "comment_id string")
+    found = sorted(tuple(r) for r in id_index.entries_of(spark, path, ids, "comment_id").collect())
+    assert found == [("a", "202401"), ("a", "202402")]
+
+
+def test_store_new_reads_ids_of_earlier_batches_only(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "kept", "checkpoint"))
+    schema = "comment_id string, n int"
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        sinks.finish(pipelines.store_new(stream, path, checkpoint))
+    run([("a", 1), ("b", 1), ("a", 1)])
+    run([("c", 2), ("a", 2)])
+    spoil(path, kept(spark, ["b", "d"]))
+    run([("b", 3), ("d", 3)])
+    found = sorted((r["comment_id"], r["n"]) for r in sinks.read_batches(spark, path).collect())
+    assert found == [("a", 1), ("b", 1), ("c", 2), ("d", 3)]
