@@ -133,25 +133,58 @@ def current_scores(stream: DataFrame) -> DataFrame:
     return rollups.program_snapshot(stream).withColumn("updated_at", F.current_timestamp())
 
 
-def keep_latest(updates: DataFrame, path: str, checkpoint: str, **run) -> StreamingQuery:
-    """Changed rows of an aggregation, batch by batch; read with ``latest_values``."""
-    return sinks.start(
-        updates, lambda batch, n: sinks.write_batch(batch, path, n), checkpoint, mode="update", **run)
+def keep_latest(
+    updates: DataFrame, path: str, checkpoint: str, *keys: str, fold_every: int = 10, **run,
+) -> StreamingQuery:
+    """Changed rows of an aggregation, batch by batch; every ``fold_every`` batches
+    they are folded into a base, one row per key, and the old folders go. Read
+    with ``latest_values``."""
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        sinks.write_batch(batch, path, batch_id)
+        if keys and batch_id % fold_every == fold_every - 1:
+            sinks.fold_batches(batch.sparkSession, path, keys, batch_id)
+    return sinks.start(updates, on_batch, checkpoint, mode="update", **run)
+
+
+def _replaced(result: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """Write a whole table per batch; the one before stays until the next, older ones go."""
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        sinks.write_batch(result(batch), path, batch_id)
+        sinks.drop_batches(batch.sparkSession, path, batch_id - 1)
+    return on_batch
 
 
 def snapshots(stream: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = (), **run) -> StreamingQuery:
     """The whole sentiment table after every batch; read with ``latest_batch``."""
     counts = mt.sentiment_counts(stream, by)
-    return sinks.start(
-        counts, lambda batch, n: sinks.write_batch(batch, path, n), checkpoint, mode="complete", **run)
+    return sinks.start(counts, _replaced(lambda batch: batch, path), checkpoint, mode="complete", **run)
+
+
+COMBO = ("sentiment", "entity", "aspect")
+
+
+def label_combos(labeled: DataFrame) -> DataFrame:
+    """Running counts of the labels' combinations, for :func:`keep_latest` by COMBO."""
+    return mt.quads_of(labeled).groupBy(*COMBO).agg(F.count("*").alias("n"))
+
+
+def label_report(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
+    """The label report over the combinations kept so far."""
+    return mt.report_of(sinks.latest_values(spark, path, *COMBO), limit)
 
 
 def report_snapshots(labeled: DataFrame, path: str, checkpoint: str, limit: int = 10, **run) -> StreamingQuery:
-    """The label report after every batch, over all labels so far."""
-    combos = mt.quads_of(labeled).groupBy("sentiment", "entity", "aspect").agg(F.count("*").alias("n"))
-    return sinks.start(
-        combos, lambda batch, n: sinks.write_batch(mt.report_of(batch, limit), path, n), checkpoint,
-        mode="complete", **run)
+    """The label report after every batch, over all labels so far. Only changed
+    combinations are written for it, beside the reports."""
+    counts = f"{path}-combos"
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        sinks.write_batch(batch, counts, batch_id)
+        if batch_id % 10 == 9:
+            sinks.fold_batches(spark, counts, COMBO, batch_id)
+        _replaced(lambda _: label_report(spark, counts, limit), path)(batch, batch_id)
+    return sinks.start(label_combos(labeled), on_batch, checkpoint, mode="update", **run)
 
 
 # --- labeling ---------------------------------------------------------------
@@ -177,19 +210,50 @@ def label_when_due(comments: DataFrame, threshold: int = 100, load=None) -> Data
 def label_backlog_stream(
     arrivals: DataFrame, path: str, checkpoint: str, threshold: int = 100, load=None, **run,
 ) -> StreamingQuery:
-    """Collect arrivals in a comment table and label its backlog when it is due."""
+    """Collect arrivals in a comment table and label its backlog when it is due.
+
+    Arrivals also go to a waiting table of their own, with the number that need
+    labels so far. Only when this reaches the threshold are the waiting rows read,
+    settled by id and, if as many are left, labeled and upserted; the comment
+    table itself is never scanned. Batches labeled once are dropped with the
+    next labeling. A replayed batch does the same again.
+    """
+    waiting, counts = f"{path}-waiting", f"{path}-waiting-counts"
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        store.upsert_or_create(batch, path, "comments", "comment_id", "created_at")
-        comments = store.read(spark, path)
-        predictions = label_when_due(comments, threshold, load)
-        if predictions is not None:
-            merged = joins.merge_predictions(
-                filters.backlog(comments), predictions.where("error IS NULL").select("comment_id", "labels"), F.current_timestamp())
-            store.rewrite(merged, path, "comments", "comment_id")
+        spark, rows = batch.sparkSession, batch.persist()
+        store.upsert_or_create(rows, path, "comments", "comment_id", "created_at")
+        sinks.write_batch(rows, waiting, batch_id)
+        since, before = _waiting_before(spark, counts, batch_id)
+        number = before + rows.filter(lab.needs_labeling()).count()
+        rows.unpersist()
+        if number >= threshold:
+            fresh = [n for n in sinks.batch_numbers(spark, waiting) if since < n <= batch_id]
+            settled_rows = store.last_wins(
+                spark.read.schema(batch.schema).parquet(*[f"{waiting}/{sinks.BATCH}={n}" for n in fresh]),
+                "comment_id", "created_at").filter(lab.needs_labeling()).persist()
+            number = settled_rows.count()
+            if number >= threshold:
+                made = labeling.label(settled_rows.select("comment_id", "text"), load)
+                labeled = joins.merge_predictions(
+                    settled_rows, made.where("error IS NULL").select("comment_id", "labels"), F.current_timestamp())
+                store.upsert(labeled.where("predicted_at IS NOT NULL"), path, "comments", "comment_id", "created_at")
+                sinks.drop_batches(spark, waiting, since + 1)
+                since, number = batch_id, 0
+            settled_rows.unpersist()
+        sinks.write_batch(spark.createDataFrame([(since, number)], "since int, waiting long"), counts, batch_id)
+        sinks.drop_batches(spark, counts, batch_id - 1)
     return sinks.start(arrivals, on_batch, checkpoint, **run)
 
 
+def _waiting_before(spark: SparkSession, counts: str, batch_id: int) -> tuple[int, int]:
+    """The batch up to which all is labeled, and how many comments may wait since."""
+    earlier = [n for n in sinks.batch_numbers(spark, counts) if n < batch_id]
+    if not earlier:
+        return -1, 0
+    return tuple(spark.read.parquet(f"{counts}/{sinks.BATCH}={earlier[-1]}").first())
+
+
 def notify(predictions: DataFrame, path: str, checkpoint: str, previews: int = 3, **run) -> StreamingQuery:
     """One notification row per batch: how many predictions and the newest few."""
     def on_batch(batch: DataFrame, batch_id: int) -> None:

@@ -62,7 +62,7 @@ def test_replayed_batch_does_not_double(spark, stream, folders):
 def test_stateful_rollup_in_update_mode(spark, stream, folders):
     path, checkpoint = folders("windowed")
     updates = pipelines.windowed_rollup(stream(), "5 minutes", "2 hours")
-    sinks.finish(pipelines.keep_latest(updates.withColumn("k", F.concat_ws("|", "program_id", "window_start")), path, checkpoint))
+    sinks.finish(pipelines.keep_latest(updates.withColumn("k", F.concat_ws("|", "program_id", "window_start")), path, checkpoint, "k"))
     total = sinks.latest_values(spark, path, "k").agg(F.sum("total_comments")).first()[0]
     assert total == 400
 
@@ -191,3 +191,59 @@ def test_replay(spark, tmp_path, folders):
     assert pipelines.replay_rate(spark, seq, 3).isStreaming
     (tmp_path / "files").mkdir()
     assert pipelines.replay_files(spark, str(tmp_path / "files"), "text string").isStreaming
+
+
+def test_running_tables_stay_small(spark, tmp_path, folders):
+    """Twenty batches leave as many folders as ten do, and the newest values."""
+    source = str(tmp_path / "in")
+    schema = "comment_id string, program_id string, sentiment string, topics array<string>"
+    for i in range(20):
+        rows = [(f"c{i}", f"p{i % 3}", "positive", ["all", f"t{i % 4}"])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    path, checkpoint = folders("topics")
+    sinks.finish(pipelines.keep_latest(pipelines.topic_counts(stream()), path, checkpoint, "topic", fold_every=5))
+    assert {r["topic"]: r["mentions"] for r in sinks.latest_values(spark, path, "topic").collect()} == {
+        "all": 20, "t0": 5, "t1": 5, "t2": 5, "t3": 5}
+    assert sinks.batch_numbers(spark, path) == [19] and sinks.batch_numbers(spark, f"{path}-base", "upto") == [19]
+    path, checkpoint = folders("snapshot")
+    sinks.finish(pipelines.snapshots(stream(), path, checkpoint, ("program_id",)))
+    assert sinks.batch_numbers(spark, path)[-2:] == sinks.batch_numbers(spark, path) and len(sinks.batch_numbers(spark, path)) <= 2
+    assert sinks.latest_batch(spark, path).agg(F.sum("count")).first()[0] == 20
+
+
+def test_folding_keeps_the_newest_row_per_key(spark, tmp_path):
+    path = str(tmp_path / "running")
+    for n in range(7):
+        rows = [("a", n, "x"), (f"k{n % 2}", 10 * n, "y")]
+        sinks.write_batch(spark.createDataFrame(rows, "k string, v int, z string"), path, n)
+        if n in (2, 5):
+            sinks.fold_batches(spark, path, ("k",), n)
+            sinks.fold_batches(spark, path, ("k",), n)  # Folded again, nothing changes.
+        expected = {"a": n, "k0": 10 * (n - n % 2)} | ({"k1": 10 * (n - 1 + n % 2)} if n else {})
+        assert {r["k"]: r["v"] for r in sinks.latest_values(spark, path, "k").collect()} == expected
+    assert sinks.batch_numbers(spark, path) == [5, 6]
+
+
+def test_the_backlog_waits_over_several_batches(spark, tmp_path, folders):
+    """Labels come when the threshold is reached, ids that came again or were labeled meanwhile count once or not at all."""
+    source = str(tmp_path / "in")
+    path, checkpoint = folders("due")
+
+    def arrive(ids, stamp, labels=None):
+        rows = [(i, "the show", END, END + timedelta(minutes=stamp)) for i in ids]
+        frame = spark.createDataFrame(rows, "comment_id string, text string, timestamp timestamp, created_at timestamp")
+        made = F.lit(None) if labels is None else F.array(F.struct(*[F.lit(x) for x in ("e", "Khác", "", "tích cực")], F.lit(1.0)))
+        store.conform(frame.withColumn("labels", made.cast(schemas.LABELS)), schemas.COMMENT).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schemas.COMMENT).option("maxFilesPerTrigger", 1).parquet(source)
+        sinks.finish(pipelines.label_backlog_stream(stream, path, checkpoint, threshold=4))
+        return store.read(spark, path).filter("predicted_at IS NOT NULL").count()
+    assert arrive(["a", "b"], 0) == 0
+    assert arrive(["a", "b"], 1) == 0  # Four rows, but two comments.
+    assert arrive(["c"], 2) == 0
+    assert arrive(["c", "x"], 3, labels=True) == 0  # Labeled elsewhere, they no longer wait.
+    assert arrive(["d", "e"], 4) == 4
+    assert arrive(["f", "g", "h"], 5) == 4
+    assert arrive(["i"], 6) == 8
+    assert sinks.batch_numbers(spark, f"{path}-waiting")[0] > 0 and len(sinks.batch_numbers(spark, f"{path}-waiting-counts")) <= 2
+    assert store.read(spark, path).count() == 10
