@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chatterlens import schemas
 from chatterlens.functions import scalars as sc
+from chatterlens.operators import skew
 
 
 def with_topic_sentiment(trends: DataFrame, entities: DataFrame) -> DataFrame:
@@ -41,8 +42,9 @@ def not_stored(new: DataFrame, stored: DataFrame, key: str = "comment_id") -> Da
     return new.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
 
 
-def restrict_to(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key), key, "left_semi")
+def restrict_to(df: DataFrame, ids: DataFrame, key: str, bound: int = 10_000) -> DataFrame:
+    """Rows whose key is among the ids, without a shuffle of ``df`` for up to ``bound`` ids."""
+    return skew.restrict_to(df, ids, key, bound)
 
 
 def mark_used(training: DataFrame, used_ids: DataFrame, used_at: Column | datetime, key: str = "id") -> DataFrame:
@@ -138,12 +140,14 @@ def cached_or_stored(cached: DataFrame, stored: DataFrame, as_of: Column | datet
 
 def around(
     moments: DataFrame, events: DataFrame, reach: timedelta = timedelta(minutes=30),
-    key: str = "program_id", ts: str = "timestamp",
+    key: str = "program_id", ts: str = "timestamp", split: bool = False,
 ) -> DataFrame:
     """Events of the same program within ``reach`` of each moment.
 
     Time is cut into slots as wide as ``reach``; each moment is looked up in
-    its own slot and both neighbours, which makes the join an equi-join.
+    its own slot and both neighbours, which makes the join an equi-join. With
+    ``split``, for raw comments as events, slots with a large share of them are
+    dealt over several tasks.
     """
     width = int(reach.total_seconds())
 
@@ -153,4 +157,6 @@ def around(
         "slot", F.explode(F.sequence(slot("moment") - 1, slot("moment") + 1)))
     right = events.withColumnRenamed(ts, "event_time").withColumn("slot", slot("event_time"))
     close = F.col("event_time").between(F.col("moment") - F.lit(reach), F.col("moment") + F.lit(reach))
-    return left.join(right, [key, "slot"]).filter(close).drop("slot")
+    met = skew.join(right, left, [key, "slot"]) if split else left.join(right, [key, "slot"])
+    columns = [key, *[c for c in (*left.columns, *right.columns) if c not in (key, "slot")]]
+    return met.filter(close).select(*columns)

@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from chatterlens import schemas
+from chatterlens.operators import skew
 from chatterlens.functions import scalars as sc
 from chatterlens.functions.labels import english_sentiment
 
@@ -62,13 +63,14 @@ def lexicon_labels(
 
 def lexicon_join(
     comments: DataFrame, lexicon: DataFrame, max_quads: int | None = None,
-    key: str = "comment_id",
+    key: str = "comment_id", split: bool = False,
 ) -> DataFrame:
     """The same for a lexicon table of any size: distinct tokens joined on the
     phrase. Spark broadcasts the table while its size allows and otherwise
-    shuffles, splitting tokens that are too frequent for one task."""
+    shuffles; with ``split``, tokens that are too frequent for one task are
+    found first and dealt over several."""
     words = sc.each(comments, F.array_distinct(sc.tokens("text")), "phrase", key)
-    hits = words.join(lexicon, "phrase")
+    hits = skew.join(words, lexicon, ["phrase"]) if split else words.join(lexicon, "phrase")
     if max_quads is not None:
         order = Window.partitionBy(key).orderBy("phrase")
         hits = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_quads)

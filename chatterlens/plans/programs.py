@@ -452,16 +452,13 @@ SELECT 'increment', topic, coalesce(f.score, 0) + coalesce(s.score, 0) FROM stor
 """, "comments"))
 def cached_topic_upsert(spark, folder):
     comments = tables.comments(spark, folder)
-    day_ago = sc.moment(comments, back=DAY)
-
-    def scores(rows):
-        return mt.topic_mentions(rows).select("topic", F.col("mentions").alias("score"))
-    stored = scores(comments.filter(F.col("timestamp") < day_ago))
-    fresh = scores(comments.filter(F.col("timestamp") >= day_ago))
-    replaced = store.replace_scores(stored, fresh.withColumn("seq", F.lit(1)), ("topic",))
-    added = store.increment_scores(stored, fresh, ("topic",))
-    return replaced.select(F.lit("replace").alias("how"), "topic", "score").unionByName(
-        added.select(F.lit("increment").alias("how"), "topic", "score"))
+    is_new = F.when(F.col("timestamp") >= sc.moment(comments, back=DAY), F.lit(1)).alias("seq")
+    named = sc.each(comments.withColumn("seq", is_new), "topics", "topic", "seq")
+    changes = named.groupBy("topic", "seq").agg(F.count("*").alias("score"))
+    folded = store.fold_scores(changes, ("topic",))
+    ways = F.array(*[F.struct(F.lit(how).alias("how"), F.col(score).alias("score")) for how, score in (
+        ("replace", "replaced"), ("increment", "incremented"))])
+    return folded.select("topic", F.inline(ways)).select("how", "topic", "score")
 
 
 # --- anomalies and events ---------------------------------------------------

@@ -297,3 +297,13 @@ def increment_scores(stored: DataFrame, changes: DataFrame, keys: tuple[str, ...
     """Add to the score of each member, starting at 0."""
     both = stored.select(*keys, "score").unionByName(changes.select(*keys, "score"))
     return both.groupBy(*keys).agg(F.sum("score").alias("score"))
+
+
+def fold_scores(changes: DataFrame, keys: tuple[str, ...] = ("time_range", "topic")) -> DataFrame:
+    """Both ways of writing a sorted set, in one aggregation: ``changes`` holds stored
+    members (``seq`` NULL) and new scores. ``replaced`` is the new score of the
+    greatest ``seq`` or else the stored one, ``incremented`` the sum of all."""
+    fresh = F.col("seq").isNotNull()
+    newest = F.max_by(F.when(fresh, F.col("score")), F.when(fresh, F.col("seq")))
+    return changes.groupBy(*keys).agg(
+        F.coalesce(newest, F.max(F.when(~fresh, F.col("score")))).alias("replaced"), F.sum("score").alias("incremented"))
