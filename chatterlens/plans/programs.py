@@ -512,7 +512,8 @@ WHERE severity = 'critical'
 ORDER BY "timestamp" DESC, program_id LIMIT 20
 """, "metrics"))
 def recent_anomalies(spark, folder):
-    found = windows.anomalies(hourly(spark, folder), "volume")
+    hours = rollup_store.hours(tables.comments(spark, folder), rollup_store_of(spark, folder))
+    found, _ = settled(windows.anomalies(hours, "volume"), "anomalies")
     return filters.recent_anomalies(found, timedelta(days=3), severity="critical")
 
 

@@ -97,8 +97,7 @@ VIEWS = {
   SELECT comment_id, program_id, phrase, entity, aspect, opinion, vi_sentiment,
          CASE vi_sentiment WHEN 'tích cực' THEN 'positive' WHEN 'tiêu cực' THEN 'negative'
               ELSE 'neutral' END AS sentiment
-  FROM (SELECT DISTINCT comment_id, program_id, token FROM words) JOIN lexicon ON token = phrase
-  QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY phrase) <= 4""",
+  FROM (SELECT DISTINCT comment_id, program_id, token FROM words) JOIN lexicon ON token = phrase""",
 }
 NEEDS = {
     "metrics": ("comments",), "heads": ("logits",), "quads": ("lexicon", "words"),

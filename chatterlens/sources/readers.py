@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType, VariantType
 
 from chatterlens import schemas
 
@@ -34,9 +34,11 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def to_driver(df: DataFrame, limit: int = 1000):
-    """A bounded number of rows as pandas, for display."""
-    return df.limit(limit).toPandas()
+def to_driver(df: DataFrame, limit: int = 1000, *order: str | Column):
+    """The first rows as pandas, for display: by ``order``, else by all columns
+    that can be ordered, so that equal data shows equal rows."""
+    by = order or [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return (df.orderBy(*by) if by else df).limit(limit).toPandas()
 
 
 # --- messages ---------------------------------------------------------------

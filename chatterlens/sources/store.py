@@ -16,7 +16,7 @@ from chatterlens.sources import id_index
 MONTH = "month"
 # Sort keys and bloom-filter columns of the stored tables.
 LAYOUT = {
-    "comments": (("program_id", "timestamp", "comment_id"), ("program_id",)),
+    "comments": (("program_id", "timestamp", "comment_id"), ("program_id", "comment_id")),
     "metrics": (("program_id", "timestamp"), ("program_id",)),
     "aggregates": (("program_id", "timestamp", "topic"), ("program_id", "topic")),
     "anomalies": (("program_id", "timestamp"), ("program_id",)),

@@ -108,10 +108,10 @@ def timed_texts(spark: SparkSession, folder: str, heavy: bool = False) -> DataFr
     )
 
 
-def text_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents arriving as unlabeled comments."""
+def text_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Documents arriving as unlabeled comments, so many files at a time at most."""
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    rows = spark.readStream.schema(schema).parquet(f"{folder}/documents.parque[t]")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/documents.parque[t]")
     return rows.select(
         F.col("doc_id").alias("comment_id"), "text", F.lit(None).cast(schemas.LABELS).alias("labels"),
         F.lit(None).cast("timestamp").alias("predicted_at"),

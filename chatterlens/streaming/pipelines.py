@@ -195,6 +195,9 @@ def label_stream(stream: DataFrame, path: str, checkpoint: str, load=None, **run
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         todo = batch.filter(lab.needs_labeling()).select("comment_id", "text")
+        # Scoring is the cost here: the rows of one file are dealt over all tasks.
+        tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        todo = todo.repartition(tasks, "comment_id")
         sinks.write_batch(
             labeling.label(todo, load).withColumn("predicted_at", F.current_timestamp()), path, batch_id)
     return sinks.start(stream, on_batch, checkpoint, **run)

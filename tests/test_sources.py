@@ -49,6 +49,8 @@ def test_messages_round_trip_and_quarantine(spark, tmp_path):
     readers.write_parquet(sent, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).collect() == spark.read.json(str(tmp_path / "j")).select(*sent.columns).collect()
     assert len(readers.to_driver(spark.range(10), 3)) == 3
+    assert list(readers.to_driver(spark.range(100).repartition(7), 3)["id"]) == [0, 1, 2]
+    assert list(readers.to_driver(spark.range(100).repartition(7), 3, F.col("id").desc())["id"]) == [99, 98, 97]
 
 
 def test_generator_is_repeatable_and_valid(spark):
