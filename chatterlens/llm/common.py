@@ -7,7 +7,8 @@ import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,19 @@ def ship(spark: SparkSession) -> None:
     context._chatterlens_shipped = True
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside send their rows to Python in batches of ``rows``: whole
+    texts are long, and each batch lies in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Hand memory of dropped Arrow tables and arrays back, between stages of a long job."""
     gc.collect()

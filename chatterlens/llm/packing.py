@@ -95,7 +95,7 @@ def _batch(sequences: list[tuple[int, list, bool]], keep_ids: bool, unfinished:
 
 def _pack_texts(path: str, end_id: int, size: int, windows: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, done = bpe.encoder(path, 1_000_000), []
+        coder, done = bpe.encoder(path, 500_000), []
         number = TaskContext.get().partitionId() * SEQUENCES
 
         def emit(pieces):

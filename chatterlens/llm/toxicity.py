@@ -273,7 +273,7 @@ def without_toxic(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
         m = model.value
         for batch in batches:
             keep = []
-            for _, texts in textbits.blocks(batch.column(text_col)):
+            for _, texts in textbits.blocks(batch.column(text_col), 500_000):
                 keep += (_probabilities(texts, m)[0] < 0.5).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
     return docs.mapInArrow(run, docs.schema)

@@ -18,8 +18,9 @@ from chatterlens.session import settled
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled examples near them don't call toxic."""
     common.ship(spark)
-    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    kept, _ = settled(toxicity.without_toxic(docs, model), "not-toxic")
+    with common.small_batches(spark):
+        model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+        kept, _ = settled(toxicity.without_toxic(docs, model), "not-toxic")
     model.destroy()
     common.give_back()
     return kept
@@ -35,7 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of every group of near copies the document with the least id, of several
     texts under it the one of the least key, of its repeated rows one; documents
     without words or id are in no group and stay."""
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
+    with common.small_batches(spark):
+        found = minhash.near_duplicates(docs, shingle=5, percent=80)
     alone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
     first = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
     chosen = found.select("doc_id", "text_key", alone.alias("alone"), (~alone & first).alias("first"))
@@ -45,7 +47,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that start anywhere else too."""
-    return suffix_dedup.cut_texts(docs).withColumn("n_chars", F.length("text").cast("long"))
+    with common.small_batches(spark):
+        cut = suffix_dedup.cut_texts(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
