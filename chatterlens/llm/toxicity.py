@@ -2,12 +2,12 @@
 
 Terms are lower-cased words and their first 4, 5 and 6 bytes (word stems).
 A bounded sample of labelled texts serves as examples, with all of their terms;
-document frequencies of these are counted over all texts. A term weighs its TF-IDF
-times one plus the root of its chi-square between the classes. The nearest examples
-by cosine are found exactly: an inverted index adds up every shared term of every
-example. Terms that no example has cannot be shared and don't count to a text's
-length. Distance-weighted votes are turned into probabilities by a logistic
-fit on further labelled texts, which are not examples.
+document frequencies of these are counted over all texts. The nearest examples of
+either class by TF-IDF cosine are found exactly, with a block-max inverted index.
+Terms that no example has cannot be shared and are left out of a text's vector.
+Neighbours vote by their cosine, and by what of it comes from terms that are
+significantly more frequent in toxic examples (chi-square). A logistic fit on further
+labelled texts, which are not examples, turns the votes into probabilities.
 """
 
 from __future__ import annotations
@@ -25,7 +25,22 @@ from chatterlens.session import settled
 #: Labelled texts of each class that become examples, and as many to calibrate on.
 SAMPLE = 2000
 STEMS = (4, 5, 6)
+#: Neighbours of each class that vote.
 NEIGHBOURS = 15
+#: Examples in a block of the index, and numbers of the sketch that orders them.
+BLOCK, SKETCH = 32, 128
+#: Terms of more than one in FREQUENT examples are laid out in blocks.
+FREQUENT = 16
+#: Blocks opened at first, in shares of those that ``k`` examples fill.
+FIRST = 1
+#: Texts searched for at a time.
+TOGETHER = 128
+#: Sums of single precision may be off by less than this share; what is within it is added up again in double.
+SLACK = 1e-3
+#: Votes enter the calibration as log(1 + STRETCH * vote).
+STRETCH = 50.0
+#: Least chi-square (one in a hundred by chance) of a term that tells the classes apart.
+TELLING = 6.63
 
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[[c for c in range(256) if c >= 0x80 or chr(c).isalnum()]] = True
@@ -60,43 +75,168 @@ def vectors(texts: list[bytes], features: np.ndarray) -> list[tuple[np.ndarray,
     return [(feature[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def similar_first(x: np.ndarray, size: int) -> np.ndarray:
+    """An order of rows that puts alike ones next to each other: halves along
+    the direction of greatest spread, until a part has at most ``size`` rows."""
+    order, parts = [], [np.arange(len(x))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= size:
+            order.append(part)
+            continue
+        centred = x[part] - x[part].mean(axis=0)
+        along = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        part = part[np.argsort(along, kind="stable")]
+        # The left part is a multiple of the block.
+        half = size * (-(-len(part) // size) // 2)
+        parts += [part[half:], part[:half]]
+    return np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
+
+
 class Index:
-    """Examples as unit vectors, laid out term by term."""
+    """Examples as unit TF-IDF vectors in blocks of alike ones of one class.
+
+    Per term it holds the postings. Terms of many examples are also laid out
+    block by block, with the greatest weight in every block. These weights, on top
+    of what the other terms add up to, bound the cosines in a block; blocks are
+    opened by falling bound until none can hold one of the ``k`` best.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: np.ndarray, idf: np.ndarray):
-        self.idf, self.labels, self.names = idf, labels.astype(np.float64), names
+        self.idf, self.blocks, self.greatest = idf, None, None
         none = np.zeros(0, dtype=np.int64)
         feature = np.concatenate([none, *(f for f, _ in rows)])
-        order = np.argsort(feature, kind="stable")
-        self.rows = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in rows])[order]
-        self.weights = np.concatenate([np.zeros(0), *(self.unit(*r) for r in rows)])[order]
-        self.begin = np.searchsorted(feature[order], np.arange(len(idf) + 1))
+        weight = np.concatenate([np.zeros(0), *(self.unit(*r) for r in rows)])
+        owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+        sketch = np.zeros((len(rows), SKETCH))
+        np.add.at(sketch, (owner, feature % SKETCH), weight)
+        place, spot = 0, np.zeros(len(rows), dtype=np.int64)
+        self.classes: list[tuple[int, int]] = []  # Blocks of each class.
+        for label in (0, 1):
+            own = np.flatnonzero(labels == label)
+            own = own[np.argsort(names[own], kind="stable")]
+            spot[own[similar_first(sketch[own], BLOCK)]] = place + np.arange(len(own))
+            blocks = -(-len(own) // BLOCK)
+            self.classes.append((place // BLOCK, place // BLOCK + blocks))
+            place += blocks * BLOCK
+        # Places of the examples in the blocks, and back; the last block of a class may have room left.
+        self.names, self.spot, self.example = names, spot, np.full(place, -1, dtype=np.int64)
+        self.example[spot] = np.arange(len(rows))
+        order = np.lexsort((spot[owner], feature))
+        self.rows, self.weights = spot[owner][order].astype(np.int32), weight[order].astype(np.float32)
+        self.begin = np.searchsorted(feature[order], np.arange(len(idf) + 1)).astype(np.int32)
+        frequent = np.flatnonzero(np.diff(self.begin) * FREQUENT > len(rows))
+        self.frequent = np.full(len(idf), -1, dtype=np.int32)
+        self.frequent[frequent] = np.arange(len(frequent))
+
+    def lay_out(self) -> None:
+        """The blocks of frequent terms; made where they are used, never sent."""
+        terms = np.flatnonzero(self.frequent >= 0)
+        posting, at = _ranges(self.begin[terms], self.begin[terms + 1], np.arange(len(terms)))
+        row = self.rows[posting]
+        self.blocks = np.zeros((len(self.example) // BLOCK, len(terms), BLOCK), dtype=np.float32)
+        self.blocks[row // BLOCK, at, row % BLOCK] = self.weights[posting]
+        self.greatest = self.blocks.max(axis=2).T.copy()
+        self.rows = self.rows.astype(np.int64)
 
     def unit(self, features: np.ndarray, times: np.ndarray) -> np.ndarray:
         w = (1 + np.log(times)) * self.idf[features]
         return w / np.sqrt((w * w).sum())
 
     def nearest(self, features: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k best examples with a term in common."""
-        if not len(features) or not len(self.rows):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        first = self.begin[features]
-        count = self.begin[features + 1] - first
-        place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        score = np.bincount(
-            self.rows[place], np.repeat(self.unit(features, times), count) * self.weights[place], len(self.names))
-        some = np.flatnonzero(score > 0)
-        if len(some) > k:
-            some = some[score[some] >= np.partition(score[some], -k)[-k]]
-        some = some[np.lexsort((self.names[some], -score[some]))[:k]]
-        return some, score[some]
-
-    def votes(self, features: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """What the calibration sees, and the neighbours' places."""
-        places, near = self.nearest(features, times, k)
-        weight, label = near**2, self.labels[places]
-        return np.array([
-            (weight * label).sum() / (weight.sum() + 0.05), near[label > 0].sum() / k, near[label == 0].sum() / k]), places
+        """Numbers and cosines of the ``k`` best examples with a term in common."""
+        return self._merged(*self.nearest_by_class([(features, times)], k)[0], k)
+
+    def _merged(self, clean, toxic, k: int) -> tuple[np.ndarray, np.ndarray]:
+        found, cosine = (np.concatenate(pair) for pair in zip(clean, toxic))
+        order = np.lexsort((self.names[found], -cosine))[:k]
+        return found[order], cosine[order]
+
+    def nearest_by_class(
+        self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, opened: list[np.ndarray] | None = None,
+    ) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """Per query and class (0, 1) the numbers and cosines of the ``k`` best
+        examples with a term in common; of equal cosines the lesser id.
+        ``opened`` is given which query opened which block."""
+        if not len(self.rows):
+            return [[(np.zeros(0, dtype=np.int64), np.zeros(0))] * 2 for _ in queries]
+        if self.blocks is None:
+            self.lay_out()
+        terms, weights = [], []
+        light = np.zeros((len(queries), self.blocks.shape[1]), dtype=np.float32)
+        base = np.zeros((len(queries), len(self.example)))
+        for i, (features, times) in enumerate(queries):
+            q = self.unit(features, times) if len(features) else np.zeros(0)
+            term = self.frequent[features]
+            dense, rare = term >= 0, features[term < 0]
+            terms.append(term[dense])
+            weights.append(q[dense])
+            light[i, terms[i]] = weights[i]
+            posting, part = _ranges(self.begin[rare], self.begin[rare + 1], q[~dense])
+            if len(posting):
+                base[i] = np.bincount(self.rows[posting], part * self.weights[posting], len(self.example))
+        score = base.reshape(len(queries), -1, BLOCK).copy()
+        bound = score.max(axis=2) + light @ self.greatest
+        floor, todo, step = np.zeros((len(queries), 2)), bound > 0, FIRST * -(-k // BLOCK)
+        while todo.any():
+            now = np.zeros_like(todo)
+            for a, b in self.classes:
+                # The best blocks of a class not opened yet.
+                best = np.argsort(np.where(todo[:, a:b], -bound[:, a:b], 0), axis=1, kind="stable")[:, :step]
+                np.put_along_axis(now[:, a:b], best, True, axis=1)
+            now &= todo
+            for block in np.flatnonzero(now.any(axis=0)):
+                which = np.flatnonzero(now[:, block])
+                score[which, block] += light[which] @ self.blocks[block]
+            if opened is not None:
+                opened.append(now)
+            todo &= ~now
+            for c, (a, b) in enumerate(self.classes):
+                if (b - a) * BLOCK >= k:
+                    own = score[:, a:b].reshape(len(queries), -1)
+                    floor[:, c] = np.partition(own, -k, axis=1)[:, -k] * (1 - SLACK)
+                todo[:, a:b] &= bound[:, a:b] >= floor[:, c, None]
+            step = len(self.blocks)
+        return [
+            [self._exact(base[i], score[i], a, b, floor[i, c], terms[i], weights[i], k) for c, (a, b) in enumerate(self.classes)]
+            for i in range(len(queries))]
+
+    def _exact(self, base, score, a, b, floor, term, weight, k) -> tuple[np.ndarray, np.ndarray]:
+        """The best of the blocks from ``a`` to ``b``, with cosines in double precision."""
+        own = a * BLOCK + np.flatnonzero(score[a:b].ravel() >= max(floor, 1e-30))
+        cells = self.blocks[(own // BLOCK)[:, None], term, (own % BLOCK)[:, None]]
+        exact = base[own] + (weight * cells).sum(axis=1)
+        found = self.example[own]
+        order = np.lexsort((self.names[found], -exact))[:k]
+        return found[order], exact[order]
+
+    def votes(
+        self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, telling: np.ndarray,
+    ) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Per query what the calibration sees, and the numbers of the ``k``
+        nearest. Seen are the votes of either class's neighbours: by cosine, and by
+        what of it comes from terms that tell the classes apart (``telling``: their weight)."""
+        seen, nearest = np.zeros((len(queries), 4)), []
+        for start in range(0, len(queries), TOGETHER):
+            some = queries[start:start + TOGETHER]
+            for i, (clean, toxic) in enumerate(self.nearest_by_class(some, k), start):
+                features, times = queries[i]
+                told = telling[features] > 0
+                if told.any():
+                    weight = self.unit(features, times)[told] * telling[features[told]]
+                    posting, part = _ranges(self.begin[features[told]], self.begin[features[told] + 1], weight)
+                    shared = np.bincount(self.rows[posting], part * self.weights[posting], len(self.example))
+                    seen[i, 2:] = [shared[self.spot[found]].sum() / k for found, _ in (toxic, clean)]
+                seen[i, :2] = toxic[1].sum() / k, clean[1].sum() / k
+                nearest.append(self._merged(clean, toxic, k)[0])
+        return np.log1p(STRETCH * seen), nearest
+
+
+def _ranges(first: np.ndarray, last: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the given ranges, and each range's value for all of its numbers."""
+    count = last.astype(np.int64) - first
+    upto = np.cumsum(count)
+    return np.repeat(first - upto + count, count) + np.arange(upto[-1] if len(upto) else 0), np.repeat(value, count)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -153,12 +293,8 @@ def _frequencies(features: np.ndarray):
 
 def _probabilities(texts: list[bytes], model: dict) -> tuple[np.ndarray, list[list[int]]]:
     index, b = model["index"], model["coefficients"]
-    seen, evidence = [], []
-    for found, times in vectors(texts, model["features"]):
-        x, places = index.votes(found, times, model["neighbours"])
-        seen.append(x)
-        evidence.append(index.names[places].tolist())
-    return 1 / (1 + np.exp(-np.clip(np.stack(seen) @ b[:-1] + b[-1], -30, 30))), evidence
+    x, places = index.votes(vectors(texts, model["features"]), model["neighbours"], model["telling"])
+    return 1 / (1 + np.exp(-np.clip(x @ b[:-1] + b[-1], -30, 30))), [index.names[p].tolist() for p in places]
 
 
 def _votes(sent):
@@ -166,10 +302,10 @@ def _votes(sent):
         model = sent.value
         for batch in batches:
             for first, texts in textbits.blocks(batch.column("text")):
-                x = np.stack([model["index"].votes(*v, model["neighbours"])[0] for v in vectors(texts, model["features"])])
+                x, _ = model["index"].votes(vectors(texts, model["features"]), model["neighbours"], model["telling"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("toxic").slice(first, len(texts)), *(pa.array(x[:, i]) for i in range(3))],
-                    ["toxic", "x0", "x1", "x2"])
+                    [batch.column("toxic").slice(first, len(texts)), *(pa.array(x[:, i]) for i in range(4))],
+                    ["toxic", "x0", "x1", "x2", "x3"])
     return run
 
 
@@ -199,7 +335,7 @@ def fit(
 
     ``labels`` has ``doc_id`` and ``toxic``; ``may_learn`` is a condition on
     ``doc_id``. Null ids are never learned from; of contradicting labels the
-    toxic one counts. Without labels of both classes the model gives every text
+    toxic one counts, of several texts under one id the least. Without labels of both classes the model gives every text
     the share of label 1 (0 without any). What travels to tasks and the driver
     are the terms of at most four times ``sample`` texts.
     """
@@ -215,7 +351,8 @@ def fit(
     drawn = [_drawn(known, t, r, sample) for t in (0, 1) for r in (0, 1)]
     # At most four times ``sample`` ids, whatever the tables hold.
     chosen = drawn[0].union(drawn[1]).union(drawn[2]).union(drawn[3])
-    texts = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "role", "toxic", "text")
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct("text", "role", "toxic")).alias("one")).select("doc_id", "one.role", "one.toxic", "one.text")
     learned, _ = settled(texts.mapInArrow(
         _terms_of, "doc_id long, role int, toxic int, text string, terms array<long>"), "examples")
     known_terms = learned.where("role = 0").select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
@@ -232,19 +369,21 @@ def fit(
         _sparse(every), "doc_id long, toxic int, f array<int>, n array<int>").toArrow().sort_by("doc_id")
     sparse = list(zip(*(_lists(small.column(x)) for x in ("f", "n"))))
     toxic, names = (small.column(x).to_numpy().astype(np.int64) for x in ("toxic", "doc_id"))
-    weight = idf * (1 + np.sqrt(chi_square(a, c, toxic.sum(), (1 - toxic).sum())))
-    model = {"index": Index(sparse, toxic, names, weight), "features": every, "neighbours": neighbours}
-    del small, sparse
+    pos, neg = toxic.sum(), (1 - toxic).sum()
+    chi = chi_square(a, c, pos, neg)
+    telling = np.where((chi >= TELLING) & (a * neg > c * pos), np.sqrt(chi), 0).astype(np.float32)
+    model = {"index": Index(sparse, toxic, names, idf), "features": every, "neighbours": neighbours, "telling": telling}
+    del small, sparse, known_terms, counted, a, c, chi
     sent = spark.sparkContext.broadcast(model)
     seen = learned.where("role = 1").select("toxic", "text").mapInArrow(
-        _votes(sent), "toxic int, x0 double, x1 double, x2 double").toArrow()
+        _votes(sent), "toxic int, x0 double, x1 double, x2 double, x3 double").toArrow()
     sent.unpersist()
     everything = share.get(0, 0) + share.get(1, 0)
     prior = (share.get(1, 0) + 1e-6) / (everything + 1e-3) if everything else 1e-6
-    coefficients = np.array([0.0, 0.0, 0.0, np.log(prior / max(1 - prior, 1e-6))])
+    coefficients = np.array([0.0, 0.0, 0.0, 0.0, np.log(prior / max(1 - prior, 1e-6))])
     y = seen.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        x = np.column_stack([seen.column(f"x{i}").to_numpy() for i in range(3)])
+        x = np.column_stack([seen.column(f"x{i}").to_numpy() for i in range(4)])
         order = np.lexsort((*x.T, y))  # The sums don't depend on the order of rows.
         x, y = x[order], y[order]
         # Classes weigh as much as they occur among all labels.

@@ -288,6 +288,74 @@ def test_nearest_is_exact():
         assert np.allclose(near, want) and np.allclose(every[index.names[places]] @ dense(*q), near)
 
 
+def vectors_about(make, topics, rows, size=3000):
+    """Vectors whose terms come mostly from one of several vocabularies; some rows are empty or repeat."""
+    made = []
+    for i in range(rows):
+        few = int(make.integers(1, 40))
+        own = (i % topics) * (size // topics) + (make.random(few) ** 3 * (size // topics)).astype(int)
+        f = np.unique(np.concatenate([own, make.integers(0, size, 2)]))
+        made.append((f, make.integers(1, 4, len(f))))
+    made[5] = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    return made + made[:40] + made[:40]
+
+
+@pytest.mark.parametrize("k", [1, 15, 700])
+def test_nearest_of_each_class_is_exact(k):
+    make = np.random.default_rng(6)
+    rows = vectors_about(make, 6, 900)
+    idf, labels, names = make.random(3000) + 1, make.integers(0, 2, len(rows)), make.permutation(len(rows)) + 7
+    index = toxicity.Index(rows, labels, names, idf)
+    every = np.zeros((len(rows), 3000))
+    for v, (f, t) in zip(every, rows):
+        if len(f):
+            v[f] = index.unit(f, t).astype(np.float32)  # The index keeps weights in single precision.
+    unseen = (np.array([2999]), np.array([1])) if not every[:, 2999].any() else rows[5]
+    queries = [*rows[:60], unseen]
+    for (f, t), found in zip(queries, index.nearest_by_class(queries, k)):
+        cosine = (every[:, f] * index.unit(f, t)).sum(axis=1) if len(f) else np.zeros(len(rows))
+        for label, (places, near) in enumerate(found):
+            own = np.flatnonzero((labels == label) & (cosine > 0))
+            want = np.sort(cosine[own])[::-1][:k]
+            assert np.allclose(near, want, rtol=1e-12)
+            assert len(set(places.tolist())) == len(want) and (np.diff(near) <= 0).all()
+            at = {n: cosine[i] for i, n in enumerate(names)}
+            assert np.allclose([at[n] for n in index.names[places]], near, rtol=1e-12)
+            # Of repeated examples, whose cosines are equal, the lesser ids come first.
+            for a, b in zip(range(len(near)), range(1, len(near))):
+                assert near[a] > near[b] or index.names[places[a]] < index.names[places[b]]
+
+
+def test_block_bounds_spare_postings():
+    make = np.random.default_rng(7)
+    # Ten of twenty common words of little weight, and words of one of 20 subjects.
+    rows = []
+    for i in range(2000):
+        f = np.unique(np.concatenate([make.choice(20, 10, replace=False), 20 + (i % 20) * 50 + make.integers(0, 50, 10)]))
+        rows.append((f, np.ones(len(f), dtype=int)))
+    idf = np.where(np.arange(1020) < 20, 0.5, 3.0)
+    index = toxicity.Index(rows, np.arange(len(rows)) // 20 % 2, np.arange(len(rows)), idf)
+    opened: list = []
+    index.nearest_by_class(rows[:100], 15, opened)
+    touched = exhaustive = 0
+    for i, (f, _) in enumerate(rows[:100]):
+        block = np.concatenate([np.flatnonzero(o[i]) for o in opened])
+        assert len(set(block.tolist())) == len(block)  # No block is opened twice.
+        term = index.frequent[f]
+        exhaustive += (index.begin[f + 1] - index.begin[f]).sum()
+        touched += np.count_nonzero(index.blocks[block][:, term[term >= 0]])
+        touched += (index.begin[f + 1] - index.begin[f])[term < 0].sum()
+    assert touched < 0.5 * exhaustive
+
+
+def test_examples_of_one_class_or_none():
+    for labels in (np.zeros(3, dtype=int), np.ones(3, dtype=int), np.zeros(0, dtype=int)):
+        rows = [(np.array([0, i]), np.array([1, 2])) for i in range(1, len(labels) + 1)]
+        index = toxicity.Index(rows, labels, np.arange(len(rows)), np.ones(5))
+        seen, near = index.votes([(np.array([0, 4]), np.array([1, 1])), (np.zeros(0, dtype=int), np.zeros(0, dtype=int))], 2, np.ones(5))
+        assert seen.shape == (2, 4) and [len(n) for n in near] == [min(len(rows), 2), 0]
+
+
 def test_url_rules(spark):
     rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
     cases = {
