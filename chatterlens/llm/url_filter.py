@@ -4,11 +4,12 @@ A URL's path is a list of segments. Per host, segments that vary (ids, or names
 with many siblings) become wildcards, so that the URLs of a host fold into few
 templates. Sibling templates whose share of labelled bad URLs does not differ
 significantly are merged. A template is rejected when its share of bad URLs,
-smoothed towards that of all labelled URLs, is high.
+smoothed towards that of the branch above it, is high.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def segments(path: Column) -> Column:
 
 
 def templates(
-    shapes: DataFrame, levels: int = 8, fanout: int = 30, least_share: float = 0.05, z: float = 1.96,
+    shapes: DataFrame, fanout: int = 30, least_share: float = 0.05, z: float = 1.96,
     weight: float = 5.0, least_labelled: int = 5, purity: float = 0.8,
 ) -> DataFrame:
     """Verdict per shape. ``shapes``: ``host, shape`` (segments), ``n`` URLs,
@@ -64,17 +65,29 @@ def templates(
     every child below ``least_share`` of the node's URLs becomes a wildcard.
     Then, from the same counts, labelled children whose share of bad URLs does
     not differ (two-sided test, ``z``) from that of their labelled siblings
-    become one branch. Segments past ``levels`` are one tail. Each level groups
-    and joins the table of shapes, never the URLs.
+    become one branch. A branch's share is smoothed towards that of the node
+    above it as ``weight`` more URLs, a host's towards that of all labelled URLs;
+    so a branch without labels is judged as the node above it. The tree goes down,
+    however deep, while a node has ``least_labelled`` labelled URLs; what is below
+    one that has fewer is one tail, and a host that has fewer rejects nothing.
+    Each level groups and joins the shapes that are still open, never the URLs.
     """
-    df = shapes.withColumn("template", F.array().cast("array<string>"))
-    deepest = df.agg(F.max(F.size("shape"))).first()[0] or 0
-    for i in range(min(levels, deepest)):
-        here = F.get("shape", F.lit(i))
-        node = ["host", "template"]
-        df = df.withColumn("segment", here)
-        child = df.where("segment IS NOT NULL").groupBy(*node, "segment").agg(
-            F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    # The prior is one row; a scalar, not a join.
+    prior = shapes.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("prior")).scalar()
+    hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).select(
+        "host", ((F.col("b") + weight * prior) / (F.col("l") + weight)).alias("smoothed"),
+        (F.col("l") >= least_labelled).alias("open"))
+    table, _ = settled(shapes.join(hosts, "host").withColumn("template", F.array().cast("array<string>")), "url-level")
+    result = ["host", "shape", "template", "smoothed"]
+    tail = F.when(F.size("shape") > 0, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))
+    done, level = [table.where("NOT open").withColumn("template", tail).select(*result, F.lit(False).alias("rejected"))], 0
+    df = table.where("open")
+    node = ["host", "template"]
+    while not df.isEmpty():
+        # A path that ends here is a child too, never merged with others.
+        df = df.withColumn("segment", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
+        child = df.groupBy(*node, "segment").agg(
+            F.min("smoothed").alias("above"), F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         total = child.groupBy(*node).agg(
             F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("children"),
             F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
@@ -85,24 +98,25 @@ def templates(
         gap = F.abs(F.try_divide("b", "l") - F.try_divide(other_b, other_l))
         noise = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "l") + F.try_divide(F.lit(1.0), other_l)))
         alike = (F.col("l") > 0) & (other_l > 0) & (gap <= z * noise)
-        named = child.join(total, node).select(
-            *node, "segment",
-            F.when((F.col("segment") == "*") | many, F.lit("*")).when(alike, F.lit("{}")).otherwise(F.col("segment"))
-            .alias("becomes"))
-        df = df.join(named, [*node, "segment"], "left").withColumn(
-            "template", F.when(F.col("becomes").isNull(), F.col("template"))
-            .otherwise(F.concat("template", F.array("becomes")))).drop("segment", "becomes")
-        df, _ = settled(df, "url-level")
-    df = df.withColumn("template", F.when(
-        F.size("shape") > levels, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))
-    known = df.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("prior"))
-    sums = df.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    # The prior is one row; a scalar, not a join.
-    prior = known.select(F.coalesce("prior", F.lit(0.0))).scalar()
-    smoothed = (F.col("b") + weight * prior) / (F.col("l") + weight)
-    verdicts = sums.select("host", "template", smoothed.alias("smoothed"), (
-        (F.col("l") >= least_labelled) & (smoothed >= purity)).alias("rejected"))
-    return df.select("host", "shape", "template").join(verdicts, ["host", "template"])
+        becomes = F.when(F.col("segment") == "", F.lit("")).when((F.col("segment") == "*") | many, F.lit("*")).when(
+            alike, F.lit("{}")).otherwise(F.col("segment"))
+        named = child.join(total, node).withColumn("becomes", becomes)
+        branch = named.groupBy(*node, "becomes").agg(
+            F.min("above").alias("above"), F.sum("l").alias("l"), F.sum("b").alias("b")).select(
+            *node, "becomes", ((F.col("b") + weight * F.col("above")) / (F.col("l") + weight)).alias("below"),
+            (F.col("l") >= least_labelled).alias("more"))
+        moved = named.select(*node, "segment", "becomes").join(branch, [*node, "becomes"])
+        ended = F.col("becomes") == ""
+        deeper = F.when(ended, F.col("template")).otherwise(F.concat("template", F.array("becomes")))
+        table, _ = settled(df.drop("smoothed", "open").join(moved, [*node, "segment"]).select(
+            "host", "shape", "n", "labelled", "bad", F.col("below").alias("smoothed"), deeper.alias("template"),
+            (~ended & F.col("more")).alias("open")), "url-level")
+        level += 1
+        tail = F.when(F.size("shape") > level, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))
+        done.append(table.where("NOT open").withColumn("template", tail).select(
+            *result, (F.col("smoothed") >= purity).alias("rejected")))
+        df = table.where("open")
+    return reduce(DataFrame.unionByName, done)
 
 
 def judge(

@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -380,6 +380,86 @@ def test_url_templates_reject_by_purity(spark):
     assert got[100] == "block" and got[101] == "allow"
 
 
+def judged_by_tree(rows, fanout=30, least_share=0.05, z=1.96, weight=5.0, least_labelled=5, purity=0.8):
+    """The template tree by recursion over lists of (path segments, bad)."""
+    labelled = [bad for *_, bad in rows if bad is not None]
+    prior = sum(labelled) / len(labelled) if labelled else 0.0
+    out = {}
+
+    def counts(some):
+        known = [bad for *_, bad in some if bad is not None]
+        return len(some), len(known), sum(known)
+
+    def share(some, above):
+        _, l, b = counts(some)
+        return (b + weight * above) / (l + weight)
+
+    def walk(some, level, above):
+        children = defaultdict(list)
+        for row in some:
+            children[row[1][level] if len(row[1]) > level else ""].append(row)
+        all_n, all_l, all_b = counts(some)
+        branches = defaultdict(list)
+        for name, own in children.items():
+            n, l, b = counts(own)
+            other = all_l - l
+            alike = False
+            if l and other:
+                pooled = all_b / all_l
+                noise = (pooled * (1 - pooled) * (1 / l + 1 / other)) ** 0.5
+                alike = abs(b / l - (all_b - b) / other) <= z * noise
+            many = len(children) > fanout and n < least_share * all_n
+            branches["" if name == "" else "*" if name == "*" or many else "{}" if alike else name] += own
+        for name, own in branches.items():
+            below = share(own, above)
+            if name and counts(own)[1] >= least_labelled:
+                walk(own, level + 1, below)
+            else:
+                out.update({row[0]: below >= purity for row in own})
+
+    hosts = defaultdict(list)
+    for number, url, bad in rows:
+        host, _, path = url.partition("://")[2].partition("/")
+        wild = ["*" if any(c.isdigit() for c in p) or len(p) > 32 else p for p in path.split("/") if p]
+        hosts[host].append((number, wild, bad))
+    for some in hosts.values():
+        if counts(some)[1] >= least_labelled:
+            walk(some, 0, share(some, prior))
+        else:
+            out.update({row[0]: False for row in some})
+    return out
+
+
+def test_url_tree_against_recursion(spark):
+    from pyspark.sql import functions as F
+
+    make, rows = random.Random(8), []
+    for i in range(3000):
+        deep = [make.choice("abc") for _ in range(make.randrange(12))]
+        if make.random() < 0.3:
+            deep.append(f"p{i}" if make.random() < 0.5 else "".join(make.choices("qrstuvw", k=5)))
+        bad = None if make.random() < 0.3 else int(make.random() < (0.97 if deep[:2] == ["a", "b"] or deep[1:4] == ["c"] * 3 else 0.1))
+        rows.append((i, f"http://{make.choice(['one', 'two', 'six'])}.org/{'/'.join(deep)}", bad))
+    # Ten levels alike, then branches that part; a host with too few labels.
+    rows += [(5000 + i, f"http://deep.org/{'x/' * 10}{'good' if i % 2 else 'vile'}/k", 0 if i % 2 else 1) for i in range(60)]
+    rows += [(6000 + i, "http://few.org/x", 1 if i < 4 else None) for i in range(8)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judge(frame, [], F.col("bad")).collect()}
+    assert got == judged_by_tree(rows)
+    assert got[5000] and not got[5001] and not got[6000] and sum(got.values()) > 50
+
+
+def test_url_branches_without_labels_are_judged_as_the_node_above(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"http://bad.org/x/{'abcdef'[i % 6]}", 1) for i in range(60)]
+    rows += [(100 + i, f"http://fine.org/x/{'abcdef'[i % 6]}", int(i % 3 == 0)) for i in range(60)]
+    rows += [(200, "http://bad.org/x/unseen", None), (201, "http://fine.org/x/unseen", None), (202, "http://other.org/x", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(frame, [], F.col("bad")).collect()}
+    assert (got[200], got[201], got[202]) == ("block", "allow", "allow")
+
+
 def test_topk_scores_are_exact_in_either_integer_type():
     rng = np.random.default_rng(3)
     for most, density, kind in ((40, 1.0, np.int32), (40, 0.1, np.int32), (2**28, 0.8, np.int64)):
