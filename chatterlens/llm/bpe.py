@@ -10,6 +10,7 @@ looking up chunks is numpy work on bytes.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,29 +67,33 @@ class Encoder:
         """Ids of chunks, one after the other, and how many each has. Chunks of
         a blank and something else are encoded as one text, since the places
         between them are cuts too."""
-        plain = np.array([len(c) > 1 and c[0] == 32 and c[1] > 32 and c[-1] < 0x80 for c in chunks])
-        ids, size = [], np.zeros(len(chunks), dtype=np.int64)
-        lists: list = [None] * len(chunks)
+        long = np.array([len(c) for c in chunks], dtype=np.int64)
+        buf = np.frombuffer(b"".join(chunks), dtype=np.uint8)
+        end = np.cumsum(long)
+        begin = end - long
+        second = buf[np.minimum(begin + 1, len(buf) - 1)]
+        plain = (long > 1) & (buf[begin] == 32) & (second > 32) & (buf[end - 1] < 0x80)
+        made, size = np.zeros(0, dtype=np.uint32), np.zeros(len(chunks), dtype=np.int64)
         if plain.any():
-            some = np.flatnonzero(plain)
-            text = b"".join(chunks[i] for i in some.tolist()).decode("utf-8", "replace")
+            text = buf[np.repeat(plain, long)].tobytes().decode("utf-8", "replace")
             flat = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.cumsum(self.width[flat])
-            want = np.cumsum([len(chunks[i]) for i in some.tolist()])
+            want = np.cumsum(long[plain])
             at = np.searchsorted(ends, want)
             if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all():
-                for i, part in zip(some.tolist(), np.split(flat, at[:-1] + 1)):
-                    lists[i] = part
+                made, size[plain] = flat, np.diff(at, prepend=-1)
             else:
                 plain[:] = False
         rest = np.flatnonzero(~plain).tolist()
-        if rest:
-            made = self.tokenizer.encode_batch_fast(
-                [chunks[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)
-            for i, e in zip(rest, made):
-                lists[i] = np.array(e.ids, dtype=np.uint32)
-        size[:] = [len(x) for x in lists]
-        ids = np.concatenate(lists) if lists else np.zeros(0, dtype=np.uint32)
+        if not rest:
+            return made, size
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(
+            [chunks[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)]
+        size[rest] = [len(x) for x in lists]
+        ids = np.zeros(int(size.sum()), dtype=np.uint32)
+        own = np.repeat(plain, size)
+        ids[own] = made
+        ids[~own] = np.fromiter(chain.from_iterable(lists), dtype=np.uint32)
         return ids, size
 
     def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:

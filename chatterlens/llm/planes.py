@@ -43,11 +43,13 @@ _SEGMENT = pa.schema([
 
 def to_planes(ids: np.ndarray, bits: bool, level: int = 3) -> list[bytes]:
     """Compressed planes of 32-bit ids, lowest first."""
-    raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    rows = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     if bits:
-        rows = np.packbits(np.unpackbits(raw, axis=1, bitorder="little").T, axis=1, bitorder="little")
-    else:
-        rows = np.ascontiguousarray(raw.T)
+        # A byte that no id uses has eight empty planes.
+        empty = np.zeros(-(-len(ids) // 8), dtype=np.uint8)
+        rows = [
+            np.packbits(row & np.uint8(1 << bit), bitorder="little") if used else empty
+            for row, used in zip(rows, rows.any(axis=1)) for bit in range(8)]
     squeeze = zstandard.ZstdCompressor(level=level)
     return [squeeze.compress(row.tobytes()) for row in rows]
 
@@ -57,8 +59,13 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     open_ = zstandard.ZstdDecompressor()
     rows = [np.frombuffer(open_.decompress(p), dtype=np.uint8) for p in planes]
     if len(rows) == 32:
-        bits = np.stack([np.unpackbits(r, count=n, bitorder="little") for r in rows], axis=1)
-        raw = np.packbits(bits, axis=1, bitorder="little")
+        raw = np.zeros((n, 4), dtype=np.uint8)
+        for byte in range(4):
+            value = np.zeros(n, dtype=np.uint8)
+            for bit, row in enumerate(rows[8 * byte: 8 * byte + 8]):
+                if row.any():
+                    value |= np.unpackbits(row, count=n, bitorder="little") << np.uint8(bit)
+            raw[:, byte] = value
     else:
         raw = np.ascontiguousarray(np.stack(rows, axis=1))
     return raw.reshape(-1).view("<u4")
@@ -122,7 +129,8 @@ def write(
     common.ship(spark)
     rows = common.text_rows(docs, id_col, text_col)
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
-    ordered.mapInArrow(_write_shard(tokenizer_path, end_id, block_ids, bits), BLOCK).write.parquet(f"{folder}/blocks")
+    with common.small_batches(spark):
+        ordered.mapInArrow(_write_shard(tokenizer_path, end_id, block_ids, bits), BLOCK).write.parquet(f"{folder}/blocks")
     totals = spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     # One row per shard, so a single ordered window over them stays small.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,10 +193,13 @@ def crc_join(first: int, second: int, length: int) -> int:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Per stored document: ``doc_id, start, n_tokens, ids_crc32``, from the
-    files alone. Only documents that lie in several blocks are grouped."""
+    files alone, whose blocks are opened once. Checksums are joined in Python
+    only for documents that lie in several blocks."""
 
     @F.udf("long")
     def whole_crc(parts):
+        if parts is None:
+            return None
         total = None
         for p in sorted(parts, key=lambda p: p["doc_at"]):
             total = p["crc"] if total is None else crc_join(total, p["crc"], 4 * p["n"])
@@ -198,6 +209,6 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     rows = segments(spark, folder, keep_ids=False).groupBy("shard", "row").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"),
         F.first("crc").alias("crc"), parts.alias("parts"))
-    one = rows.where(F.size("parts") == 1).withColumn("ids_crc32", F.col("crc"))
-    many = rows.where(F.size("parts") > 1).withColumn("ids_crc32", whole_crc("parts"))
-    return one.unionByName(many).select("doc_id", "start", "n_tokens", "ids_crc32")
+    several = F.when(F.size("parts") > 1, F.col("parts"))
+    return rows.select(
+        "doc_id", "start", "n_tokens", F.coalesce(whole_crc(several), F.col("crc")).alias("ids_crc32"))

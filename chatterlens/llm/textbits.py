@@ -12,6 +12,7 @@ contracts ask, so bytes are enough.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ def slice_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def digests(values: Iterable[bytes | memoryview], count: int, seed: int = 0) -> np.ndarray:
     """64-bit XXH3 of each value."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(v, seed) for v in values), dtype=U64, count=count)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values, repeat(seed)), dtype=U64, count=count)
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
