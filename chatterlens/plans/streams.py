@@ -10,7 +10,7 @@ from chatterlens.operators import metrics as mt, rollups
 from chatterlens.plans.registry import query, r, score, with_views
 from chatterlens.session import scratch
 from chatterlens.sources import store, tables
-from chatterlens.streaming import pipelines, sinks
+from chatterlens.streaming import pipelines, replay, sinks
 
 
 def _folders(spark, name):
@@ -126,9 +126,7 @@ def stream_backlog(spark, folder):
     comments = store.conform(documents.select(
         F.col("doc_id").cast("string").alias("comment_id"), F.col("lang").alias("program_id"), "text",
         moment.alias("timestamp"), moment.alias("created_at"), F.lit(None).cast(schemas.LABELS).alias("labels")), schemas.COMMENT)
-    for turn in range(5):
-        comments.filter(F.col("comment_id").cast("long") % 5 == turn).coalesce(1).write.parquet(f"{source}/turn={turn}")
-    arrivals = spark.readStream.schema(schemas.COMMENT).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    arrivals = replay.in_turns(comments, source, F.col("comment_id").cast("long") % 5, 5)
     sinks.finish(pipelines.label_backlog_stream(arrivals, path, checkpoint, threshold=-(-documents.count() // 2)))
     done = F.col("predicted_at").isNotNull()
     return store.read(spark, path).groupBy("program_id").agg(

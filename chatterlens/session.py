@@ -67,6 +67,12 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in files.listStatus(folder))
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """What the files below a folder hold together."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
 def file_marks(spark: SparkSession, paths: list[str]) -> str:
     """Names, sizes and times of the files at the given paths, to tell whether they changed."""
     marks = []
