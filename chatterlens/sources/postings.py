@@ -2,9 +2,8 @@
 
 ``postings`` holds one row per term and comment: how often it occurs, the
 comment's length, and a few kept columns to filter and sort by. It lies in
-folders by a hash of the term and in ranges of (term, id) within them, so that
-a frequent term spreads over many files and a query opens the folders of its
-own terms only. ``terms`` has one row per term and batch with the number of
+folders by a hash of the term, sorted by (term, id) in each file; a large folder
+spreads over many files and a query opens the folders of its own terms only. ``terms`` has one row per term and batch with the number of
 comments that hold it, ``stats`` one row per batch. A batch is there once its
 stats are; a batch that is written again replaces itself.
 """
@@ -14,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chatterlens.functions import scalars as sc
-from chatterlens.session import child_names, discard, settled
+from chatterlens.session import child_names
 
 #: Folders of the index, by a hash of the term.
 BUCKETS = 64
@@ -39,18 +38,22 @@ def cut(comments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "comment_id", *keep, "doc_length", "posting.*")
 
 
+def _by_bucket(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows dealt by their folder and sorted in it. Adaptive execution splits a
+    folder with many rows over tasks and puts small ones together; texts are
+    cut up once, since no ranges have to be found by a sample first."""
+    return rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *order)
+
+
 def add(comments: DataFrame, path: str, keep: tuple[str, ...] = (), batch: int = 0) -> None:
     """Index comments that no other batch holds."""
     spark = comments.sparkSession
-    # Ranges are found by a sample: written first, the texts are not cut up for it again.
-    rows, staged = settled(cut(comments, keep).withColumn("bucket", bucket_of(F.col("term"))), "postings")
-    rows.repartitionByRange("bucket", "term", "comment_id").sortWithinPartitions("bucket", "term", "comment_id").write.mode(
-        "overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
-    discard(spark, staged)
+    rows = cut(comments, keep).withColumn("bucket", bucket_of(F.col("term")))
+    _by_bucket(rows, "term", "comment_id").write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{path}/postings/batch={batch}")
     written = spark.read.parquet(f"{path}/postings/batch={batch}")
     counted = written.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
-    counted.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
-        "bucket").parquet(f"{path}/terms/batch={batch}")
+    _by_bucket(counted, "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/batch={batch}")
     known = spark.read.parquet(f"{path}/terms/batch={batch}").agg(F.sum("occurrences").alias("words"))
     comments.agg(F.count("*").alias("docs"), F.count("text").alias("texts")).withColumn("words", F.coalesce(known.scalar(), F.lit(0))).write.mode(
         "overwrite").parquet(f"{path}/stats/batch={batch}")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from chatterlens import session
+from chatterlens.sources import postings
 from chatterlens.streaming import replay, sinks
 
 
@@ -25,3 +27,20 @@ def test_turns_with_few_rows_or_none_are_batches(spark, tmp_path):
     stream = replay.in_turns(rows, str(tmp_path / "turns"), turn, 5, cycles=2, files=3)
     once = [[0], [], list(range(2, 40)), [1], []]
     assert _batches(spark, stream, tmp_path) == once * 2
+
+
+def test_index_is_written_straight_from_the_texts(spark, tmp_path, monkeypatch):
+    def no_table(*_):
+        raise AssertionError("texts cut up are stored beside the index")
+    monkeypatch.setattr(session, "scratch", no_table)
+    rows = spark.range(0, 4000, 1, 8).select(
+        F.col("id").alias("comment_id"), F.concat(F.lit("the word"), F.col("id").cast("string")).alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        postings.add(rows, str(tmp_path / "index"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert postings.hits(spark, str(tmp_path / "index"), ["the"]).count() == 4000
+    bucket = spark.range(1).select(postings.bucket_of(F.lit("the"))).first()[0]
+    assert len(list((tmp_path / "index" / "postings" / "batch=0" / f"bucket={bucket}").glob("*.parquet"))) > 1
