@@ -104,10 +104,9 @@ class Index:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: np.ndarray, idf: np.ndarray):
         self.idf, self.blocks, self.greatest = idf, None, None
-        none = np.zeros(0, dtype=np.int64)
-        feature = np.concatenate([none, *(f for f, _ in rows)])
+        feature = np.concatenate([np.zeros(0, dtype=np.int32), *(f for f, _ in rows)], dtype=np.int32)
         weight = np.concatenate([np.zeros(0), *(self.unit(*r) for r in rows)])
-        owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in rows])
         sketch = np.zeros((len(rows), SKETCH))
         np.add.at(sketch, (owner, feature % SKETCH), weight)
         place, spot = 0, np.zeros(len(rows), dtype=np.int64)
@@ -373,11 +372,12 @@ def fit(
     chi = chi_square(a, c, pos, neg)
     telling = np.where((chi >= TELLING) & (a * neg > c * pos), np.sqrt(chi), 0).astype(np.float32)
     model = {"index": Index(sparse, toxic, names, idf), "features": every, "neighbours": neighbours, "telling": telling}
-    del small, sparse, known_terms, counted, a, c, chi
+    del small, sparse, known_terms, counted, a, c, chi, df, order
+    common.give_back()
     sent = spark.sparkContext.broadcast(model)
     seen = learned.where("role = 1").select("toxic", "text").mapInArrow(
         _votes(sent), "toxic int, x0 double, x1 double, x2 double, x3 double").toArrow()
-    sent.unpersist()
+    sent.destroy()
     everything = share.get(0, 0) + share.get(1, 0)
     prior = (share.get(1, 0) + 1e-6) / (everything + 1e-3) if everything else 1e-6
     coefficients = np.array([0.0, 0.0, 0.0, 0.0, np.log(prior / max(1 - prior, 1e-6))])
