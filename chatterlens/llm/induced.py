@@ -17,6 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
+#: Pairs of suffixes that are compared at a time.
+PAIRS = 250_000
+
 
 class SymbolQueue:
     """Tuples by symbol, first in first out; at most ``limit`` in memory."""
@@ -114,6 +117,8 @@ class _Induction:
 def common_prefix(text: np.ndarray, x: np.ndarray, y: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of pairs of suffixes by direct comparison, up to ``cap``;
     texts of bytes are compared eight at a time."""
+    if len(x) > PAIRS:
+        return np.concatenate([common_prefix(text, x[i: i + PAIRS], y[i: i + PAIRS], cap) for i in range(0, len(x), PAIRS)])
     out = np.zeros(len(x), dtype=np.int64)
     live = np.arange(len(x))
     n = len(text)
@@ -137,12 +142,18 @@ def common_prefix(text: np.ndarray, x: np.ndarray, y: np.ndarray, cap: int) -> n
     return out.astype(np.uint16)
 
 
+def _number(n: int) -> type:
+    """The narrowest kind of integer, of two, that holds places of a text of ``n`` symbols."""
+    return np.int32 if n < 2**31 else np.int64
+
+
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it (the empty suffix is least)."""
     n = len(text)
-    step = np.sign(text[1:].astype(np.int64) - text[:-1])
-    settled = np.append(step, -1)
-    where = np.where(settled != 0, np.arange(n), n)
+    settled = np.full(n, -1, dtype=np.int8)
+    np.subtract(text[1:] > text[:-1], text[1:] < text[:-1], out=settled[:-1], dtype=np.int8)
+    number = _number(n)
+    where = np.where(settled != 0, np.arange(n, dtype=number), number(n))
     following = np.minimum.accumulate(where[::-1])[::-1]
     return settled[following] > 0
 
@@ -249,7 +260,7 @@ def suffixes(
         for some, _ in induce(text, small, rough, np.zeros(len(rough), dtype=np.uint16), symbols, 1, limit, folder):
             ordered.append(some[star[some]])
         ordered = np.concatenate(ordered)[::-1]
-        end = np.full(n, n, dtype=np.int64)
+        end = np.full(n, n, dtype=_number(n))
         end[places[:-1]] = places[1:]
         length = end[ordered] - ordered
         # Neighbours are the same substring if they agree up to and with the next S* place.
@@ -260,9 +271,10 @@ def suffixes(
         pair = np.flatnonzero(alike)
         agreed = common_prefix(text, x[pair], y[pair], min(most, 65_000)).astype(np.int64)
         equal[1:][pair] = agreed > length[:-1][pair]
-        name = np.zeros(n, dtype=np.int64)
+        name = np.zeros(n, dtype=_number(n))
         name[ordered] = np.cumsum(~equal) - 1
         reduced = name[places]
+        del name, end, length, x, y, alike, pair, agreed, equal
         if int(reduced.max()) + 1 == len(places):
             ranked = ordered
         elif len(reduced) <= base:

@@ -56,7 +56,7 @@ def _sign(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(bands * rows)
         for batch in batches:
-            for first, texts in textbits.blocks(batch.column("text")):
+            for first, texts in textbits.blocks(batch.column("text"), 500_000):
                 sets = textbits.shingle_hashes(*textbits.word_hashes(texts), size)
                 low = minima(sets, a, b)
                 keys = np.zeros((len(sets), bands), dtype=np.uint64)

@@ -106,7 +106,7 @@ def _pack_texts(path: str, end_id: int, size: int, windows: int, keep_ids: bool)
         packer = Packer(size, windows, emit)
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for first, texts in textbits.blocks(batch.column("text")):
+            for first, texts in textbits.blocks(batch.column("text"), 500_000):
                 ids, at = coder.encode(texts)
                 for i in range(len(texts)):
                     own = np.append(ids[at[i]: at[i + 1]], np.uint32(end_id))

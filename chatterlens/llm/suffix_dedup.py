@@ -25,7 +25,9 @@ from chatterlens.llm import common, induced, textbits
 from chatterlens.session import settled
 
 #: Bytes of pieces that are sorted together; an anchor's pieces never part.
-SHARD = 3_000_000
+SHARD = 1_500_000
+#: Bytes of texts that are cut at a time; about a hundred times as much lies in memory meanwhile.
+AT_ONCE = 500_000
 #: Low bits of a key that hold the place, so that the leftmost of equal hashes wins.
 PLACE = np.uint64(2**24 - 1)
 #: From this many different pieces on, an anchor is split by a second anchor.
@@ -75,7 +77,7 @@ def _cut(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            for begin, texts in textbits.blocks(batch.column("text"), 1_000_000):
+            for begin, texts in textbits.blocks(batch.column("text"), AT_ONCE):
                 buf, starts = textbits.joined(texts)
                 prefix = textbits.prefix_hash(buf)
                 first, last = starts[:-1], starts[1:] - 1 - size
@@ -122,11 +124,9 @@ def repeated(pieces: list[bytes], times: list[int], size: int, limit: int = 4_00
     # Bytes of UTF-8 never are 255, so all symbols still fit a byte; 0 ends a piece.
     text = np.frombuffer(b"\xff".join(pieces) + b"\xff", dtype=np.uint8) + np.uint8(1)
     starts = np.cumsum([0, *[len(p) + 1 for p in pieces]])
-    room = np.repeat(starts[1:] - 1, np.diff(starts)) - np.arange(len(text))
     found = np.zeros(len(text), dtype=bool)
     last = None
     for places, common_ in induced.suffixes(text, size, limit):
-        # A prefix in common that passes a piece's end does not count, nor does the piece's end.
         hit = np.flatnonzero(common_ >= size)
         found[places[hit]] = True
         before = hit[hit > 0] - 1
@@ -134,8 +134,8 @@ def repeated(pieces: list[bytes], times: list[int], size: int, limit: int = 4_00
         if len(hit) and hit[0] == 0 and last is not None:
             found[last] = True
         last = places[-1]
-    found &= room >= size
-    return [np.arange(len(p) - size + 1) if t > 1 else np.flatnonzero(found[a: a + len(p)])
+    # A prefix in common that passes a piece's end does not count: windows start where they fit.
+    return [np.arange(len(p) - size + 1) if t > 1 else np.flatnonzero(found[a: a + max(len(p) - size + 1, 0)])
             for p, t, a in zip(pieces, times, starts.tolist())]
 
 

@@ -35,6 +35,8 @@ FREQUENT = 16
 FIRST = 1
 #: Texts searched for at a time.
 TOGETHER = 128
+#: Bytes of texts whose terms are taken at a time; about ten times as much lies in memory meanwhile.
+AT_ONCE = 500_000
 #: Sums of single precision may be off by less than this share; what is within it is added up again in double.
 SLACK = 1e-3
 #: Votes enter the calibration as log(1 + STRETCH * vote).
@@ -266,7 +268,7 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, texts in textbits.blocks(batch.column("text")):
+        for first, texts in textbits.blocks(batch.column("text"), AT_ONCE):
             found, owner = terms(texts)
             order = np.argsort(owner, kind="stable")
             bounds = np.searchsorted(owner[order], np.arange(len(texts) + 1))
@@ -280,7 +282,7 @@ def _frequencies(features: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(features) + 1, dtype=np.int64), 0
         for batch in batches:
-            for _, texts in textbits.blocks(batch.column("text")):
+            for _, texts in textbits.blocks(batch.column("text"), AT_ONCE):
                 for found, _ in vectors(texts, features):
                     df[found] += 1
                 n += len(texts)
@@ -300,7 +302,7 @@ def _votes(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for first, texts in textbits.blocks(batch.column("text")):
+            for first, texts in textbits.blocks(batch.column("text"), AT_ONCE):
                 x, _ = model["index"].votes(vectors(texts, model["features"]), model["neighbours"], model["telling"])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("toxic").slice(first, len(texts)), *(pa.array(x[:, i]) for i in range(4))],
@@ -311,7 +313,7 @@ def _votes(sent):
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in textbits.blocks(batch.column("text")):
+            for first, texts in textbits.blocks(batch.column("text"), AT_ONCE):
                 p, evidence = _probabilities(texts, sent.value)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(texts)), pa.array(p), pa.array(evidence, pa.list_(pa.int64()))],
@@ -412,16 +414,18 @@ def without_toxic(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
         m = model.value
         for batch in batches:
             keep = []
-            for _, texts in textbits.blocks(batch.column(text_col), 500_000):
+            for _, texts in textbits.blocks(batch.column(text_col), AT_ONCE):
                 keep += (_probabilities(texts, m)[0] < 0.5).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
+        # The worker may stay idle beside the next stages' tasks.
+        common.give_back()
     return docs.mapInArrow(run, docs.schema)
 
 
 def _sparse(features: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in textbits.blocks(batch.column("text")):
+            for first, texts in textbits.blocks(batch.column("text"), AT_ONCE):
                 made = vectors(texts, features)
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(first, len(texts)) for c in ("doc_id", "toxic")),
