@@ -37,6 +37,8 @@ FIRST = 1
 TOGETHER = 128
 #: Bytes of texts whose terms are taken at a time; about ten times as much lies in memory meanwhile.
 AT_ONCE = 500_000
+#: Steps from where a hash's highest bits lead, before halving.
+NEAR = 12
 #: Sums of single precision may be off by less than this share; what is within it is added up again in double.
 SLACK = 1e-3
 #: Votes enter the calibration as log(1 + STRETCH * vote).
@@ -66,11 +68,39 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owner)
 
 
+def places(features: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes among the sorted distinct ``features``, and which are there.
+
+    Hashes are spread evenly, so a table over their highest bits leads to within
+    a few places of each; where many features share these bits, halving goes on.
+    """
+    if not len(features):
+        return np.zeros(len(found), dtype=np.int64), np.zeros(len(found), dtype=bool)
+    shift = np.uint64(64 - max(len(features).bit_length(), 1))
+    ends = np.cumsum(np.bincount((features >> shift).astype(np.int64), minlength=1 << int(64 - shift)))
+    part = (found >> shift).astype(np.int64)
+    end = ends[part]
+    place = np.where(part > 0, ends[part - 1], 0)
+    left = np.flatnonzero(place < end)
+    hit = np.zeros(len(found), dtype=bool)
+    for _ in range(NEAR):
+        there = features[place[left]]
+        hit[left[there == found[left]]] = True
+        left = left[there < found[left]]
+        place[left] += 1
+        left = left[place[left] < end[left]]
+        if not len(left):
+            return place, hit
+    place[left] = np.searchsorted(features, found[left])
+    inside = left[place[left] < len(features)]
+    hit[inside] = features[place[inside]] == found[inside]
+    return place, hit
+
+
 def vectors(texts: list[bytes], features: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text the features it has and how often; ``features`` is sorted."""
     found, owner = terms(texts)
-    place = np.minimum(np.searchsorted(features, found), max(len(features) - 1, 0))
-    hit = features[place] == found if len(features) else np.zeros(len(found), dtype=bool)
+    place, hit = places(features, found)
     keys, times = np.unique(owner[hit] * max(len(features), 1) + place[hit], return_counts=True)
     doc, feature = np.divmod(keys, max(len(features), 1))
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))

@@ -1,11 +1,12 @@
-"""Memory of the corpus operators' Python tasks."""
+"""Memory and lookups of the corpus operators' Python tasks."""
 
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from chatterlens.llm import induced, suffix_dedup
+from chatterlens.llm import induced, suffix_dedup, toxicity
 
 
 def _texts(n, size, seed=0):
@@ -58,3 +59,27 @@ def test_common_prefixes_in_parts_are_the_same(monkeypatch):
     whole = induced.common_prefix(text, x, y, 200)
     monkeypatch.setattr(induced, "PAIRS", 7)
     assert induced.common_prefix(text, x, y, 200).tolist() == whole.tolist()
+
+
+@pytest.mark.parametrize("features", [
+    np.zeros(0, dtype=np.uint64), np.array([5], dtype=np.uint64), np.array([2**64 - 1], dtype=np.uint64),
+    np.arange(100, 400, dtype=np.uint64), np.uint64(2**64 - 300) + np.arange(300, dtype=np.uint64),
+    np.unique(np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64)),
+])
+def test_places_of_hashes(features):
+    other = np.random.default_rng(3).integers(0, 2**64, 2000, dtype=np.uint64)
+    found = np.concatenate([features[::-1], other, features + np.uint64(1), features, np.array([0, 2**64 - 1], dtype=np.uint64)])
+    place, hit = toxicity.places(features, found)
+    assert hit.tolist() == np.isin(found, features).tolist()
+    assert (features[place[hit]] == found[hit]).all()
+
+
+def test_spread_hashes_need_no_halving(monkeypatch):
+    features = np.unique(np.random.default_rng(4).integers(0, 2**64, 50_000, dtype=np.uint64))
+    sought, halve = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *args, **more: (sought.append(np.size(v)), halve(a, v, *args, **more))[1])
+    texts = [t.replace(b" ", b"q ") for t in _texts(20, 3000)]
+    toxicity.vectors(texts, features)
+    words = sum(len(t.split()) for t in texts)
+    # Owners of words and bounds of texts are looked up; the words' hashes are not.
+    assert sum(sought) < 1.2 * words
